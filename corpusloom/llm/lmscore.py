@@ -25,33 +25,49 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common
 
 #: Bytes of context of each predictor; bits of the number of slots of the model; bytes coded between two updates.
-ORDERS, SLOT_BITS, BLOCK = (1, 2, 3, 4, 6), 22, 64
+ORDERS, SLOT_BITS, BLOCK = (1, 2, 4, 6), 22, 64
 #: Estimator's added count; step of the weights; their first value; gates by known order; buckets of the refinement and the weight of what it starts with.
-DELTA, RATE, FIRST, GATES, BUCKETS, TRUST = 0.4, 0.002, 0.35, 3, 16, 16.0
+DELTA, RATE, FIRST, GATES, BUCKETS, TRUST = 0.4, 0.002, 0.35, 3, 32, 16.0
 #: Bytes of text that are coded side by side.
 GROUP_BYTES = 4 << 20
 _SCALE = np.float32(1 / 16)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
-def keys(data: np.ndarray, offsets: np.ndarray, order: int) -> np.ndarray:
-    """For each byte 24 bits of its hashed context and the byte itself, as uint32. Bytes before a text count as 0."""
+def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each predictor its number and, for each byte, 24 bits of its hashed context and the byte itself, as uint32. Bytes before a text count as 0."""
     n = len(data)
-    h = np.full(n, order, np.uint64)
     begin = offsets[:-1][np.diff(offsets) > 0]
-    for k in range(1, order + 1):
-        if k >= n + 1:
-            break
-        previous = np.zeros(n, np.uint8)
-        previous[k:] = data[:-k] if k < n else data[:0]
+    end = np.append(begin[1:], n)
+    h = np.zeros(n, np.uint64)
+    previous = np.empty(n, np.uint8)
+    term = np.empty(n, np.uint64)
+    byte = data.astype(np.uint32)
+    for k in range(1, ORDERS[-1] + 1):
+        previous[:k] = 0
+        previous[k:] = data[: max(0, n - k)]
         for j in range(k):  # not beyond the beginning of a text
             at = begin + j
-            previous[at[at < np.append(begin[1:], n)]] = 0
-        h += previous * _K[k]
-    h *= _K[0]
-    h ^= h >> np.uint64(29)
-    h *= _K[7]
-    return ((h >> np.uint64(40)) << np.uint64(8)).astype(np.uint32) | data
+            previous[at[at < end]] = 0
+        np.multiply(previous, _K[k], out=term)
+        h += term
+        if k in ORDERS:
+            i = ORDERS.index(k)
+            if k == 1:
+                yield i, (previous.astype(np.uint32) << np.uint32(8)) | byte
+                continue
+            np.right_shift(h, np.uint64(29), out=term)
+            term ^= h
+            term *= _K[7]
+            term >>= np.uint64(40)
+            yield i, (term.astype(np.uint32) << np.uint32(8)) | byte
+
+
+def _few(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """_counted() of keys below 2**16."""
+    n = np.bincount(key, minlength=1 << 16)
+    key = np.flatnonzero(n)
+    return key.astype(np.uint32), n[key]
 
 
 def _counted(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -86,8 +102,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in common.slices(batch, 0):
             data, offsets = text_bytes(part.column(0))
-            for i, order in enumerate(ORDERS):
-                have[i].append(_counted(keys(data, offsets, order)))
+            for i, key in contexts(data, offsets):
+                have[i].append(_few(key) if ORDERS[i] == 1 else _counted(key))
                 if len(have[i]) == 8:
                     have[i] = [merged(have[i])]
     for i, parts in enumerate(have):
@@ -114,10 +130,13 @@ def paths(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return out.view(np.int64)[:, 0], counts[0]
 
 
-def _slots(o: np.ndarray, key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and 16 check bits of (order, key)."""
-    h = common.mix(key.astype(np.uint64) + np.uint64((int(o) + 1) * int(_K[1]) & 0xFFFFFFFFFFFFFFFF))
-    return (h >> np.uint64(64 - bits)).astype(np.int64), (h & np.uint64(0xFFFF)).astype(np.uint16)
+def _slots(o: int, key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slot and 8 check bits of (order, key)."""
+    h = key.astype(np.uint64) * _K[1]
+    h += np.uint64((int(o) + 1) * int(_K[2]) & 0xFFFFFFFFFFFFFFFF)
+    check = (h >> np.uint64(24)).astype(np.uint8)
+    h >>= np.uint64(64 - bits)
+    return h.view(np.int64), check
 
 
 def _paths(bits: int):
@@ -132,7 +151,7 @@ def _paths(bits: int):
             at = at[np.lexsort((byte[at], ctx[at]))]
             path, total = paths(ctx[at], byte[at].astype(np.int64), n[at])
             known = total > 1  # else nothing is left of the context without the occurrence itself
-            slot, check = _slots(k, ((ctx[at].astype(np.int64) << 8) | byte[at])[known], bits)
+            slot, check = _slots(int(k), ((ctx[at].astype(np.uint64) << np.uint64(8)) | byte[at].astype(np.uint64))[known], bits)
             path, weight = path[known], n[at][known]
             for a in range(0, len(slot), 1 << 18):
                 s = slice(a, a + (1 << 18))
@@ -147,13 +166,15 @@ class Model:
     def __init__(self, bits: int, slot: np.ndarray, check: np.ndarray, path: np.ndarray):
         self.bits = bits
         self.path = np.zeros(1 << bits, np.int64)
-        self.check = np.zeros(1 << bits, np.uint16)
+        self.check = np.zeros(1 << bits, np.uint8)
         self.path[slot] = path
         self.check[slot] = check
 
     def look_up(self, i: int, key: np.ndarray) -> np.ndarray:
         slot, check = _slots(i, key, self.bits)
-        return np.where(self.check[slot] == check, self.path[slot], 0)
+        out = self.path.take(slot)
+        out *= self.check.take(slot) == check
+        return out
 
 
 def fit(docs: DataFrame, bits: int = SLOT_BITS) -> Model:
@@ -162,11 +183,11 @@ def fit(docs: DataFrame, bits: int = SLOT_BITS) -> Model:
     summed = counted.repartition("o", "ctx").groupBy("o", "ctx", "byte").agg(F.sum("n").alias("n"))
     best = summed.mapInArrow(_paths(bits), "slot int, check int, path long, n long").groupBy("slot").agg(F.max(F.struct("n", "path", "check")).alias("m"))
     t = best.select("slot", F.col("m.check").alias("check"), F.col("m.path").alias("path")).toArrow()
-    return Model(bits, t.column(0).to_numpy(), t.column(1).to_numpy().astype(np.uint16), t.column(2).to_numpy())
+    return Model(bits, t.column(0).to_numpy(), t.column(1).to_numpy().astype(np.uint8), t.column(2).to_numpy())
 
 
-_CENTRES = (np.arange(BUCKETS) + 0.5) / 2
-_START = (1 / (1 + np.exp(-_CENTRES))).astype(np.float32)
+#: Buckets of half a unit of the mixed log odds; the mirrored bucket has the bits that such odds got wrong.
+_START = TRUST / (1 + np.exp(-(np.arange(BUCKETS) + 0.5 - BUCKETS / 2) / 2))
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -176,52 +197,68 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     if not len(data):
         return out
     k = len(ORDERS)
-    path = np.empty((len(data) + BLOCK, k), np.int64)
-    path[len(data) :] = 0
-    gate = np.zeros(len(data) + BLOCK, np.uint8)
-    for i, order in enumerate(ORDERS):
-        p = model.look_up(i, keys(data, offsets, order))
-        path[: len(data), i] = p
+    path = np.zeros((k, len(data) + 1), np.int64)  # the last stands for what is beyond a text
+    gate = np.zeros(len(data) + 1, np.uint8)
+    for i, key in contexts(data, offsets):
+        path[i, :-1] = model.look_up(i, key)
         # The longest known context decides: none or the shortest, up to the middle, the longest.
-        np.maximum(gate[: len(data)], np.where(p != 0, np.uint8(0 if i == 0 else 1 if i <= k // 2 else 2), np.uint8(0)), out=gate[: len(data)])
+        if i:
+            gate[:-1][path[i, :-1] != 0] = 1 if i <= k // 2 else 2
     order = np.argsort(-sizes, kind="stable")
     starts, sizes = offsets[:-1][order], sizes[order]
     n = len(order)
-    weights = np.full((n, GATES, 8, k), FIRST, np.float32)
-    right = np.tile(_START * np.float32(TRUST), (n, 1))
-    seen = np.full((n, BUCKETS), TRUST, np.float32)
+    weights = np.full((k, n * GATES, 8), FIRST, np.float32)
+    hits = np.tile(_START, (n, 1))
     bits = np.zeros(n)
     inside = np.arange(BLOCK)
     for begin in range(0, int(sizes[0]), BLOCK):
         m = int(np.searchsorted(-sizes, -begin, side="left"))  # texts longer than begin
-        at = (starts[:m, None] + (begin + inside))
-        valid = begin + inside < sizes[:m, None]
-        at = np.minimum(at, len(data))
-        x = path[at].view(np.int8).reshape(m, BLOCK, k, 8).astype(np.float32)
-        x *= _SCALE
+        full = int(np.searchsorted(-sizes, -(begin + BLOCK), side="right"))
+        at = starts[:m, None] + (begin + inside)
+        if full < m:
+            at[full:][begin + inside >= sizes[full:m, None]] = len(data)
+        rows = np.arange(m, dtype=np.int64)[:, None]
         g = gate[at]
-        rows = np.arange(m)[:, None]
-        w = weights[rows, g]  # m, BLOCK, 8, k
-        dot = np.einsum("dbkj,dbjk->dbj", x, w)
+        chosen = (rows * GATES + g).reshape(-1)
+        x = np.empty((k, m * BLOCK * 8), np.float32)
+        dot = np.zeros(m * BLOCK * 8, np.float32)
+        for i in range(k):
+            np.multiply(path[i].take(at.reshape(-1)).view(np.int8), _SCALE, out=x[i], casting="unsafe")
+            w = weights[i].take(chosen, axis=0).reshape(-1)
+            w *= x[i]
+            dot += w
         np.clip(dot, -20, 20, out=dot)
-        p = 1 / (1 + np.exp(-dot))
-        bucket = np.minimum((np.abs(dot) * 2).astype(np.int32), BUCKETS - 1)
-        rate = (right[:m] / seen[:m])[rows[:, :, None], bucket]
-        refined = np.where(dot > 0, rate, 1 - rate)
-        final = (p + refined) * np.float32(0.5)
-        mask = valid[:, :, None]
+        p = np.negative(dot)
+        np.exp(p, out=p)
+        p += 1
+        np.reciprocal(p, out=p)
+        dot *= 2
+        dot += BUCKETS // 2
+        np.clip(dot, 0, BUCKETS - 1, out=dot)
+        bucket = dot.astype(np.int64).reshape(m, -1)
+        bucket += rows * BUCKETS
+        bucket = bucket.reshape(-1)
+        rate = (hits[:m] / (hits[:m] + hits[:m, ::-1])).astype(np.float32)
+        final = rate.reshape(-1).take(bucket)
+        final += p
+        final *= np.float32(0.5)
         np.maximum(final, np.float32(1 / 65536), out=final)
-        bits[:m] -= np.where(mask, np.log2(final), 0).sum(axis=(1, 2), dtype=np.float64)
-        # What the block teaches.
-        error = np.where(mask, 1 - p, 0).astype(np.float32)
-        for c in range(GATES):
-            e = error * (g == c)[:, :, None] if GATES > 1 else error
-            weights[:m, c] += np.float32(RATE) * np.einsum("dbkj,dbj->djk", x, e)
-        flat = (bucket + rows[:, :, None] * BUCKETS)[np.broadcast_to(mask, bucket.shape)]
-        hit = (dot > 0)[np.broadcast_to(mask, dot.shape)]
-        seen[:m] += np.bincount(flat, minlength=m * BUCKETS).reshape(m, BUCKETS)
-        right[:m] += np.bincount(flat[hit], minlength=m * BUCKETS).reshape(m, BUCKETS)
-    out[order] = bits
+        np.log(final, out=final)
+        lengths = final.reshape(m, -1)
+        bits[:full] -= lengths[:full].sum(axis=1, dtype=np.float64)
+        for r in range(full, m):  # a text's last block
+            bits[r] -= lengths[r, : (int(sizes[r]) - begin) * 8].sum(dtype=np.float64)
+        if not full:
+            continue
+        # What the block teaches the texts that go on.
+        z = full * BLOCK * 8
+        hits[:full] += np.bincount(bucket[:z], minlength=full * BUCKETS).reshape(full, BUCKETS)
+        error = np.subtract(np.float32(RATE), p[:z] * np.float32(RATE))
+        gates = (g[:full, None, :] == np.arange(GATES, dtype=np.uint8)[:, None]).astype(np.float32)
+        for i in range(k):
+            step = np.multiply(x[i, :z], error).reshape(full, BLOCK, 8)
+            weights[i, : full * GATES] += np.matmul(gates, step).reshape(-1, 8)
+    out[order] = bits / np.log(2)
     return out
 
 
