@@ -151,6 +151,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
     each (doc_id, item_id); equally good items are all listed. Further columns are ignored; with an empty table on
     either side there is no row.
     """
+    common.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     items = common.materialise(benchmark_windows(benchmark, window, shortest), "benchmark-windows")
     stats = items.agg(F.count("*").alias("n"), F.collect_set("size").alias("sizes")).first()

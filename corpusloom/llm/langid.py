@@ -204,6 +204,7 @@ def identify(docs: DataFrame, model: Model | None = None, **options) -> DataFram
     sorts first. Repeated rows get equal answers; null ids and labels pass (unlabelled rows aren't trained on). With no
     labelled row every text is rejected. Further columns are ignored; an empty table gives no row.
     """
+    common.small_batches(docs.sparkSession)
     model = model or fit(docs, **options)
     run = _classify(model)
 
@@ -217,6 +218,7 @@ def identify(docs: DataFrame, model: Model | None = None, **options) -> DataFram
 
 def accepted(docs: DataFrame, model: Model | None = None, **options) -> DataFrame:
     """The documents whose language is accepted, all columns unchanged. As identify() says of nulls and empty texts, which go."""
+    common.small_batches(docs.sparkSession)
     model = model or fit(docs, **options)
 
     @F.pandas_udf("boolean")

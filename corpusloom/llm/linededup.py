@@ -2,15 +2,21 @@
 
 Lines are normalised (white space runs become one space, trimmed, lower case) and hashed; a line hash that occurs in
 more than MAX_DOCS distinct documents is dropped from every document, and the remaining lines are put together again
-in their order. Only (hash, document) pairs are shuffled for the count; the texts themselves are read a second time
-and joined with the few positions to drop.
+in their order. Texts are read once to hash their lines, which are kept as (document, position, hash); only (hash,
+document) pairs are shuffled for the count. The texts themselves are read a second time and joined with the few
+positions to drop.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm import common
 
@@ -20,8 +26,30 @@ MAX_DOCS, MIN_WORDS = 2, 3
 BROADCAST_ROWS = 200_000
 
 
-def normalised(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, "[ \\t\\r\\f\\x0B]+", " ")))
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 11, 12, 13, 32]] = True
+
+
+def hashed_lines(column: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, position, hash) of the lines of a batch of texts that are looked at."""
+    data, offsets = common.flat(column)  # lower case, a line feed after each text
+    ends = np.flatnonzero(data == 10)
+    starts = np.concatenate([[0], ends[:-1] + 1]).astype(np.int64)
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    pos = np.arange(len(starts)) - np.searchsorted(starts, offsets[:-1])[row]
+    # Runs of blanks become one space; none is left at either end of a line.
+    blank = _BLANK[data]
+    solid = ~blank & (data != 10)
+    keep = solid.copy()
+    keep[1:] |= blank[1:] & solid[:-1]
+    kept = np.where(blank, np.uint8(32), data)[keep]
+    place = np.concatenate([[0], np.cumsum(keep)])
+    a, z = place[starts], place[ends]
+    z = z - ((z > a) & (kept[np.maximum(z - 1, 0)] == 32))
+    spaces = np.concatenate([[0], np.cumsum(kept == 32)])
+    looked = (z > a) & (spaces[z] - spaces[a] >= min_words - 1)
+    row, pos, a, z = row[looked], pos[looked], a[looked], z[looked]
+    return row, pos, common.hash_spans(kept, a, z)
 
 
 def _content() -> list[Column]:
@@ -30,11 +58,19 @@ def _content() -> list[Column]:
 
 
 def line_hashes(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, _cl_h, _cl_n, pos, line_hash) for each line that is looked at."""
-    lines = docs.filter("length(text) > 0").select("doc_id", *_content(), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    lines = lines.select("doc_id", "_cl_h", "_cl_n", "pos", normalised("line").alias("line"))
-    enough = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) >= min_words - 1 if min_words > 1 else F.lit(True)
-    return lines.filter((F.length("line") > 0) & enough).select("doc_id", "_cl_h", "_cl_n", "pos", F.xxhash64("line").alias("line_hash"))
+    """(doc_id, _cl_h, _cl_n, pos, line_hash) for each line that is looked at. Texts are read once and lines leave Python as hashes."""
+    common.small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, 3):
+                row, pos, h = hashed_lines(part.column(3), min_words)
+                at = pa.array(row)
+                yield pa.record_batch([*(part.column(k).take(at) for k in range(3)), pa.array(pos, pa.int32()), pa.array(common.signed(h))], names=["doc_id", "_cl_h", "_cl_n", "pos", "line_hash"])
+
+    named = docs.filter("length(text) > 0").select("doc_id", *_content(), "text")
+    return named.mapInArrow(run, f"doc_id {kind}, _cl_h long, _cl_n int, pos int, line_hash long")
 
 
 def frequent_lines(hashes: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
@@ -43,7 +79,7 @@ def frequent_lines(hashes: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     return spread.groupBy("line_hash", "doc_id").agg(F.lit(1).alias("one")).groupBy("line_hash").agg(F.count("one").alias("n_docs")).filter(F.col("n_docs") > max_docs)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _without(text: pd.Series, positions: pd.Series) -> pd.Series:
     def one(t, p):
         if t is None or p is None:
@@ -65,7 +101,7 @@ def dedup_lines(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_
     Further columns pass through; an empty table gives an empty one.
     """
     wide = {c.lower() for c in docs.columns}
-    hashes = line_hashes(docs, min_words)
+    hashes = common.materialise(line_hashes(docs, min_words), "line-hashes")
     frequent = common.materialise(frequent_lines(hashes, max_docs), "frequent-lines")
     small = frequent.count() <= BROADCAST_ROWS * 10
     flagged = hashes.select("_cl_h", "_cl_n", "pos", "line_hash")

@@ -179,6 +179,7 @@ class Model:
 
 def fit(docs: DataFrame, bits: int = SLOT_BITS) -> Model:
     """Counts of all documents. Each task sends its distinct (context, byte) counts once, by context; of those that share a slot the most frequent holds it. The model has a fixed number of slots, so it can be broadcast at any size of the corpus."""
+    common.small_batches(docs.sparkSession)
     counted = docs.select("text").filter("length(text) > 0").mapInArrow(_count, "o byte, ctx int, byte short, n long")
     summed = counted.repartition("o", "ctx").groupBy("o", "ctx", "byte").agg(F.sum("n").alias("n"))
     best = summed.mapInArrow(_paths(bits), "slot int, check int, path long, n long").groupBy("slot").agg(F.max(F.struct("n", "path", "check")).alias("m"))
@@ -268,6 +269,7 @@ def scored(docs: DataFrame, model: Model | None = None, bits: int = SLOT_BITS) -
     Null and empty texts have 0 bytes, 0 bits and a null ratio. Repeated rows are counted, scored and listed each, all
     alike; a null doc_id is listed as null. Further columns are ignored; an empty table gives no row.
     """
+    common.small_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model or fit(docs, bits))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -121,6 +121,7 @@ _PLACES = 3 ** np.arange(len(RULES), dtype=np.int64)
 
 def vote_patterns(docs: DataFrame) -> DataFrame:
     """(doc_id, pattern): a document's votes as one number in base 3. A null text votes like an empty one: every rule abstains."""
+    common.small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,6 +51,7 @@ def token_lengths(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = V
             n = [count(t.as_py()) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
+    common.small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long")
 

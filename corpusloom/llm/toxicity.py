@@ -296,6 +296,7 @@ def toxic_documents(docs: DataFrame, lexicon: Lexicon | None = None) -> DataFram
     Repeated rows are listed each; a null doc_id is listed as null. Further columns are ignored; an empty table gives
     no row.
     """
+    common.small_batches(docs.sparkSession)
     lexicon = lexicon or seeded()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
