@@ -46,16 +46,30 @@ def has(text: Column, pattern: str) -> Column:
     return text.rlike(pattern)
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x evaluated once, however often f uses it; nested, the expression stays linear in size."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def spans(text: Column, pattern: Column | str) -> Column:
     """array<struct<pos int, sample string>>: all matches of a pattern (Java's dialect, never empty) in their order."""
     p = _lit(pattern)
-    found, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern if isinstance(pattern, str) else p, -1)
+    kind = "array<struct<pos:int,sample:string>>"
+
+    def located(t: Column) -> Column:
+        found, gaps = F.regexp_extract_all(t, p, F.lit(0)), F.split(t, pattern if isinstance(pattern, str) else p, -1)
+        pairs = F.arrays_zip(found.alias("m"), gaps.alias("g"))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
-    def at(m: Column, i: Column) -> Column:
-        total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-        return F.struct((total(F.slice(gaps, F.lit(1), i + 1)) + total(F.slice(found, F.lit(1), i))).alias("pos"), m.alias("sample"))
+        def step(a: Column, x: Column) -> Column:
+            pos = a["at"] + F.length(x["g"])
+            # The gap after the last match has no match beside it.
+            out = F.when(x["m"].isNull(), a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(pos.alias("pos"), x["m"].alias("sample")))))
+            return F.struct((pos + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), out.alias("out"))
 
-    return F.when(F.regexp_like(text, p), F.transform(found, at)).otherwise(F.array().cast("array<struct<pos:int,sample:string>>"))
+        return F.aggregate(pairs, start, step, lambda a: a["out"])
+
+    return let(text, lambda t: F.when(F.regexp_like(t, p), located(t)).otherwise(F.array().cast(kind)))
 
 
 def line_at(text: Column, pos: Column) -> Column:
@@ -65,9 +79,12 @@ def line_at(text: Column, pos: Column) -> Column:
 
 def blanked(text: Column, pattern: str) -> Column:
     """The text with everything that matches replaced by as many spaces; line feeds stay. Length and lines don't change."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    blanks = F.concat(F.transform(found, lambda m: F.regexp_replace(m, r"[^\n]", " ")), F.array(F.lit("")))
-    return F.when(text.rlike(pattern), F.array_join(F.zip_with(gaps, blanks, lambda g, b: F.concat(g, b)), "")).otherwise(text)
+    def masked(t: Column) -> Column:
+        found, gaps = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
+        blanks = F.concat(F.transform(found, lambda m: F.regexp_replace(m, r"[^\n]", " ")), F.array(F.lit("")))
+        return F.when(t.rlike(pattern), F.array_join(F.zip_with(gaps, blanks, lambda g, b: F.concat(g, b)), "")).otherwise(t)
+
+    return let(text, masked)
 
 
 #: What isn't prose in marked-up text, in the order in which it is masked. Unrolled, so that long texts can't exhaust Java's stack.

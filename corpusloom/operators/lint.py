@@ -124,8 +124,11 @@ def longest_per_line(text: Column, patterns: list[str], code: str, message: str)
     def best(same: Column) -> Column:
         return F.aggregate(F.slice(same, 2, F.greatest(F.size(same) - 1, F.lit(0))), F.element_at(same, 1), lambda a, x: F.when(F.length(x["sample"]) > F.length(a["sample"]), x).otherwise(a))
 
-    lines = F.array_distinct(F.transform(found, lambda x: x["line"]))
-    return F.when(F.size(found) > 0, F.transform(lines, lambda n: best(F.filter(found, lambda x: x["line"] == n)))).otherwise(nothing())
+    def each_line(all_: Column) -> Column:
+        lines = F.array_distinct(F.transform(all_, lambda x: x["line"]))
+        return F.transform(lines, lambda n: X.let(F.filter(all_, lambda x: x["line"] == n), best))
+
+    return X.let(found, each_line)
 
 
 def literal_findings(pieces: Column, rows: list[tuple[str, str, str]], severity: str = "error", suppress: bool = False) -> Column:
@@ -184,8 +187,8 @@ def typography_findings(pieces: Column, style: str) -> Column:
         p = "(?Ud)" + pattern
 
         def first(s: Column) -> Column:
-            found = X.spans(s["text"], p)
-            found = F.when(s["text"].rlike(_ODD), F.filter(found, lambda m, i: (i == 0) | (_line(s, m["pos"]) != _line(s, F.get(found, i - 1)["pos"])))).otherwise(F.slice(found, 1, 1))
+            leading = lambda all_: F.filter(all_, lambda m, i: (i == 0) | (_line(s, m["pos"]) != _line(s, F.get(all_, i - 1)["pos"])))
+            found = X.let(X.spans(s["text"], p), lambda all_: F.when(s["text"].rlike(_ODD), leading(all_)).otherwise(F.slice(all_, 1, 1)))
 
             def one(m: Column) -> Column:
                 begin = F.greatest(m["pos"] - 12, F.lit(0))
@@ -240,6 +243,14 @@ def guarded_findings(names: Column, pieces: Column, o: Options) -> Column:
     return F.concat(*parts)
 
 
+def _told(text: Column, id_: str, message: str):
+    def told(used: Column) -> Column:
+        sample = F.array_join(F.transform(F.slice(used, 1, 3), lambda x: x["form"]), " / ")
+        return one_if(F.size(used) >= 2, finding(X.line_at(text, F.get(used, F.lit(1))["pos"]), f"consistency.{id_}", message, sample, "warning"))
+
+    return told
+
+
 def consistency_findings(text: Column, compared: Column, o: Options) -> Column:
     """Two forms of one thing in a document, outside of lines of comparison and of longer forms."""
     every = o.pack.forms()
@@ -262,8 +273,8 @@ def consistency_findings(text: Column, compared: Column, o: Options) -> Column:
 
         used = F.array_sort(F.filter(F.array(*map(first, forms)), lambda x: x["pos"] >= 0))
         several = reduce(lambda a, b: a + b, [compared.contains(f).cast("int") for f in forms]) >= 2
-        sample = F.array_join(F.transform(F.slice(used, 1, 3), lambda x: x["form"]), " / ")
-        parts.append(F.when(several & (F.size(used) >= 2), F.array(finding(X.line_at(text, F.get(used, F.lit(1))["pos"]), f"consistency.{id_}", message, sample, "warning"))).otherwise(nothing()))
+
+        parts.append(F.when(several, X.let(used, _told(text, id_, message))).otherwise(nothing()))
     return F.concat(*parts)
 
 
@@ -272,7 +283,7 @@ _HEADING = r"(?Udm)^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
 
 def heading_findings(text: Column, style: str) -> Column:
     found = F.transform(X.spans(text, _HEADING), lambda m: F.struct(m["pos"].alias("pos"), m["sample"].alias("all"), F.length(F.regexp_extract(m["sample"], _HEADING, 1)).alias("level"), F.trim(F.regexp_extract(m["sample"], _HEADING, 2)).alias("title")))
-    jumps = F.filter(found, lambda h, i: (i > 0) & (h["level"] > F.get(found, i - 1)["level"] + 1))
+    jumps = X.let(found, lambda all_: F.filter(all_, lambda h, i: (i > 0) & (h["level"] > F.get(all_, i - 1)["level"] + 1)))
     bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
     out = F.transform(jumps, lambda h: finding(X.line_at(text, h["pos"]), "markdown.heading-level", "a heading level is left out", bare(h["all"])))
     if style == "readme":
@@ -312,9 +323,12 @@ def list_findings(text: Column) -> Column:
         )
 
     rows = F.aggregate(lines, start, step, lambda a: a["out"])
-    first = lambda r: F.element_at(F.filter(rows, lambda x: x["group"] == r["group"]), 1)["item"]
-    odd = F.filter(rows, lambda r: r["item"]["stop"] != first(r)["stop"])
-    odd = F.filter(odd, lambda r, i: (i == 0) | (r["group"] != F.get(odd, i - 1)["group"]))
+    def differing(all_: Column) -> Column:
+        first = lambda r: F.element_at(F.filter(all_, lambda x: x["group"] == r["group"]), 1)["item"]
+        return F.filter(all_, lambda r: r["item"]["stop"] != first(r)["stop"])
+
+    odd = X.let(rows, differing)
+    odd = X.let(odd, lambda all_: F.filter(all_, lambda r, i: (i == 0) | (r["group"] != F.get(all_, i - 1)["group"])))
     return F.when(text.rlike(r"(?Udm)^\s*(?:[-*+]|\d+[.)])\s+\S") & text.rlike(X.CJK), F.transform(odd, lambda r: finding(r["item"]["line"], "markdown.list-punctuation", "let the items of a list end alike", head(r["item"]["value"], 48)))).otherwise(nothing())
 
 
@@ -367,10 +381,13 @@ def repeated_findings(text: Column, o: Options) -> Column:
     found = F.filter(found, lambda m: m["s"].rlike("[。！？!?]$"))
     norm = F.transform(found, lambda m: F.struct(m["pos"].alias("pos"), F.regexp_replace(m["s"], r"(?U)[\s`*_>#-]", "").alias("n")))
     norm = F.filter(norm, lambda m: (F.length(m["n"]) >= least) & (m["n"].rlike(X.CJK) if o.script_gate else F.lit(True)))
-    names = F.transform(norm, lambda m: m["n"])
-    again = F.filter(norm, lambda m, i: F.array_position(names, m["n"]) <= i)
-    some = F.size(F.array_distinct(names)) < F.size(names)
-    return F.when(text.rlike(X.CJK if o.script_gate else ".") & some, F.transform(again, lambda m: finding(X.line_at(text, m["pos"]), "structure.repeated-sentence", "the sentence was there before", head(m["n"], 24)))).otherwise(nothing())
+    def again(all_: Column) -> Column:
+        names = F.transform(all_, lambda m: m["n"])
+        later = lambda ns: F.filter(all_, lambda m, i: F.array_position(ns, m["n"]) <= i)
+        return F.when(F.size(F.array_distinct(names)) < F.size(names), X.let(names, later)).otherwise(F.slice(all_, 1, 0))
+
+    out = F.transform(X.let(norm, again), lambda m: finding(X.line_at(text, m["pos"]), "structure.repeated-sentence", "the sentence was there before", head(m["n"], 24)))
+    return F.when(text.rlike(X.CJK if o.script_gate else "."), out).otherwise(nothing())
 
 
 # ---- commits and change requests ------------------------------------------------------------------
