@@ -142,3 +142,8 @@ def segments(text: Column) -> Column:
     counted = F.transform(pieces, lambda x: F.regexp_count(F.concat(x, F.lit("\n")), F.lit(NUMBERED_BREAK)))
     odd = F.transform(pieces, lambda x, i: F.struct((F.aggregate(F.slice(counted, F.lit(1), i), F.lit(1), lambda a, c: a + c)).alias("line"), x.alias("text")))
     return F.when(text.rlike("[\r\x85\u2028\u2029]"), odd).otherwise(plain)
+
+
+def suffix(path: Column) -> Column:
+    """The lower-case ending of the last part of a path, with its dot; empty if there is none."""
+    return F.lower(F.regexp_extract(F.regexp_extract(path, r"([^/]*)$", 1), r"^.+(\.[^.]+)$", 1))

@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.text import suffix  # noqa: F401
+
 MARKDOWN = (".md", ".markdown", ".mdx")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _CODE_LINE = re.compile(r"(?: {4}|\t)\S")
@@ -80,6 +82,24 @@ def without_code_spans(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
+#: What isn't prose in marked-up text, in the order in which it is masked.
+_MARKUP = [
+    re.compile(r"(?is)<(?:code|pre)\b[^>]*+>.*?</(?:code|pre)\s*+>"),
+    re.compile(r"(?<=\])\([^)\n\\]*+(?:\\.[^)\n\\]*+)*+\)"),
+    re.compile(r"(?:https?|ftp)://[^\s<>()]++"),
+    re.compile(r"(?<![\w.+-])[\w.+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    re.compile(r"\{(?:#|\.)[^}\n]+\}"),
+    re.compile(r"<[^>\n]++>"),
+]
+
+
+def without_markup(text: str) -> str:
+    """Code elements, link destinations, addresses, attribute lists and tags as spaces."""
+    for p in _MARKUP:
+        text = p.sub(lambda m: spaces(m[0]), text)
+    return text
+
+
 #: A JSON string that is no key.
 JSON_VALUE = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?!\s*:)', re.S)
 
@@ -141,9 +161,3 @@ def code_spans_masked(text: Column) -> Column:
 
 def json_masked(text: Column) -> Column:
     return _where(F.lit(True), _json, text, F.lit(False))
-
-
-def suffix(path: Column) -> Column:
-    """The lower-case ending of the last part of a path, with its dot; empty if there is none."""
-    name = F.regexp_extract(path, r"([^/]*)$", 1)
-    return F.lower(F.regexp_extract(name, r"^.+(\.[^.]+)$", 1))
