@@ -1,9 +1,11 @@
 """Bits per byte under online logistic context mixing.
 
-Bit predictors: for each order in ORDERS the preceding bytes are hashed to a context, and the bits of the next byte,
-first the highest, are predicted from how often each was seen there in the whole corpus. Counts of (context, byte) are
-gathered over all documents, and what is predicted for an occurrence leaves that occurrence out, so that no text is
-scored by itself. Mixing: the predictors' log odds are weighed and added; the weights are chosen by a gate (place of
+Bit predictors: for each order in ORDERS the preceding bytes are the context, and the bits of the next byte, first the
+highest, are predicted from how often each was seen there in the whole corpus. Counts of (context, byte) are gathered
+over all documents, none is left out, and what is predicted for an occurrence leaves that occurrence out, so that no
+text is scored by itself. Order, context and byte fit in 64 bits as they are, so nothing collides. The documents are
+spread over parts of about PART_BYTES; each part sends its distinct counts to buckets of contexts, where they are added
+up, and gets back the odds of what it asked for, so no table of all contexts is ever in one place. Mixing: the predictors' log odds are weighed and added; the weights are chosen by a gate (place of
 the bit, and the longest context that is known) and learn online while a document is read, by the gradient of its code
 length, in blocks of BLOCK bytes: a block is coded with what the blocks before it taught. Refinement: an adaptive map
 from the mixed odds to how often such a prediction came true in this document so far is averaged with the mix.
@@ -24,50 +26,41 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import common
 
-#: Bytes of context of each predictor; bits of the number of slots of the model; bytes coded between two updates.
-ORDERS, SLOT_BITS, BLOCK = (1, 2, 4, 6), 22, 64
+#: Bytes of context of each predictor (6 at most, to fit a key); bytes coded between two updates.
+ORDERS, BLOCK = (1, 2, 4, 6), 64
 #: Estimator's added count; step of the weights; their first value; gates by known order; buckets of the refinement and the weight of what it starts with.
 DELTA, RATE, FIRST, GATES, BUCKETS, TRUST = 0.4, 0.002, 0.35, 3, 32, 16.0
 #: Bytes of text that are coded side by side.
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
+#: Bytes of text of a part, about.
+PART_BYTES = 16 << 20
 _SCALE = np.float32(1 / 16)
-_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
 
 def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each predictor its number and, for each byte, 24 bits of its hashed context and the byte itself, as uint32. Bytes before a text count as 0."""
+    """For each predictor its number and, for each byte, the key of number, context and the byte itself, as uint64. Bytes before a text count as 0."""
     n = len(data)
     begin = offsets[:-1][np.diff(offsets) > 0]
     end = np.append(begin[1:], n)
-    h = np.zeros(n, np.uint64)
+    context = data.astype(np.uint64)  # the byte itself lowest, the one before it next
     previous = np.empty(n, np.uint8)
-    term = np.empty(n, np.uint64)
-    byte = data.astype(np.uint32)
     for k in range(1, ORDERS[-1] + 1):
         previous[:k] = 0
         previous[k:] = data[: max(0, n - k)]
         for j in range(k):  # not beyond the beginning of a text
             at = begin + j
             previous[at[at < end]] = 0
-        np.multiply(previous, _K[k], out=term)
-        h += term
+        context |= previous.astype(np.uint64) << np.uint64(8 * k)
         if k in ORDERS:
             i = ORDERS.index(k)
-            if k == 1:
-                yield i, (previous.astype(np.uint32) << np.uint32(8)) | byte
-                continue
-            np.right_shift(h, np.uint64(29), out=term)
-            term ^= h
-            term *= _K[7]
-            term >>= np.uint64(40)
-            yield i, (term.astype(np.uint32) << np.uint32(8)) | byte
+            yield i, context | np.uint64(i << 56)
 
 
 def _few(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """_counted() of keys below 2**16."""
     n = np.bincount(key, minlength=1 << 16)
     key = np.flatnonzero(n)
-    return key.astype(np.uint32), n[key]
+    return key.astype(np.uint64), n[key]
 
 
 def _counted(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -93,30 +86,59 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(key: np.ndarray) -> bytes:
+    """Ascending keys as bytes: their differences, the lowest bytes of all first, compressed."""
+    return pa.compress(np.ascontiguousarray(np.diff(key, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T), "zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes, n: int) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(blob, n * 8, "zstd"), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(flat.T).view(np.uint64)[:, 0], dtype=np.uint64)
+
+
+def distinct(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a column of texts, ascending, and how often each occurs."""
     have: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in ORDERS]
 
     def merged(parts):
         return _counted(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])) if len(parts) > 1 else parts[0]
 
-    for batch in batches:
+    for batch in pa.table({"text": column}).to_batches():
         for part in common.slices(batch, 0):
             data, offsets = text_bytes(part.column(0))
             for i, key in contexts(data, offsets):
-                have[i].append(_few(key) if ORDERS[i] == 1 else _counted(key))
+                have[i].append(_few(key & np.uint64(0xFFFF)) if ORDERS[i] == 1 else _counted(key))
                 if len(have[i]) == 8:
                     have[i] = [merged(have[i])]
-    for i, parts in enumerate(have):
-        if parts:
-            key, n = merged(parts)
-            for a in range(0, len(key), 1 << 18):
-                k = key[a : a + (1 << 18)]
-                yield pa.record_batch([pa.array(np.full(len(k), i, np.int8)), pa.array((k >> 8).astype(np.int32)), pa.array((k & 255).astype(np.int16)), pa.array(n[a : a + (1 << 18)].astype(np.int64))], names=["o", "ctx", "byte", "n"])
+    got = [merged(parts) for parts in have if parts]
+    return (np.concatenate([k for k, _ in got]), np.concatenate([n for _, n in got])) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+_COUNTS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("size", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
+_COUNTS_SQL = "part int, bucket int, size int, keys binary, values binary"
+
+
+def _count(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        key, n = distinct(table.column("text"))
+        bucket = (common.mix(key >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        key, n = key[order], n[order]
+        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+        rows = [(part, b, z - a, _packed(key[a:z]), pa.compress(n[a:z].astype(np.int64), "zstd", asbytes=True)) for b, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())) if z > a]
+        return pa.table([list(c) for c in zip(*rows)], schema=_COUNTS) if rows else _COUNTS.empty_table()
+
+    return run
 
 
 def paths(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows in the order of (ctx, byte): the eight log odds of a byte's bits, in sixteenths, as the bytes of a word; and the count of its context. One occurrence of the byte itself is left out."""
-    key = (ctx.astype(np.int64) << 8) | byte
+    return _odds((ctx.astype(np.int64) << 8) | byte, n)
+
+
+def _odds(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """paths() of ascending keys."""
     counts = []
     for j in range(9):
         g = key >> (8 - j)
@@ -130,61 +152,97 @@ def paths(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return out.view(np.int64)[:, 0], counts[0]
 
 
-def _slots(o: int, key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and 8 check bits of (order, key)."""
-    h = key.astype(np.uint64) * _K[1]
-    h += np.uint64((int(o) + 1) * int(_K[2]) & 0xFFFFFFFFFFFFFFFF)
-    check = (h >> np.uint64(24)).astype(np.uint8)
-    h >>= np.uint64(64 - bits)
-    return h.view(np.int64), check
-
-
-def _paths(bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        t = pa.Table.from_batches(got)
-        o, ctx, byte, n = (t.column(k).to_numpy() for k in range(4))
-        for k in np.unique(o):
-            at = np.flatnonzero(o == k)
-            at = at[np.lexsort((byte[at], ctx[at]))]
-            path, total = paths(ctx[at], byte[at].astype(np.int64), n[at])
-            known = total > 1  # else nothing is left of the context without the occurrence itself
-            slot, check = _slots(int(k), ((ctx[at].astype(np.uint64) << np.uint64(8)) | byte[at].astype(np.uint64))[known], bits)
-            path, weight = path[known], n[at][known]
-            for a in range(0, len(slot), 1 << 18):
-                s = slice(a, a + (1 << 18))
-                yield pa.record_batch([pa.array(slot[s].astype(np.int32)), pa.array(check[s].astype(np.int32)), pa.array(path[s]), pa.array(weight[s])], names=["slot", "check", "path", "n"])
+def _add_up(whole: bool):
+    """The counts of a bucket of contexts, from all parts, to the odds that each part asked for; with `whole`, to those of all keys once."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part, bucket, size, blobs, values = (table.column(c).to_pylist() for c in _COUNTS.names)
+        keys = [_unpacked(b, n) for b, n in zip(blobs, size)]
+        key, n = _counted(np.concatenate(keys), np.concatenate([np.frombuffer(pa.decompress(v, k * 8, "zstd"), np.int64) for v, k in zip(values, size)]))
+        path, total = _odds(key.view(np.int64), n)
+        path[total < 2] = 0  # nothing is left of the context without the occurrence itself
+        rows = []
+        for p, blob, k in [(0, None, key)] if whole else zip(part, blobs, keys):
+            word = path if whole else path[np.searchsorted(key, k)]
+            known = word != 0
+            rows.append((p, bucket[0], int(known.sum()), blob if known.all() and blob else _packed(k[known]), pa.compress(word[known], "zstd", asbytes=True)))
+        return pa.table([list(c) for c in zip(*rows)], schema=_COUNTS)
 
     return run
 
 
 class Model:
-    """The slots: log odds of the bytes' bits, and check bits of what holds each slot (0 odds where nothing is known)."""
-
-    def __init__(self, bits: int, slot: np.ndarray, check: np.ndarray, path: np.ndarray):
-        self.bits = bits
-        self.path = np.zeros(1 << bits, np.int64)
-        self.check = np.zeros(1 << bits, np.uint8)
-        self.path[slot] = path
-        self.check[slot] = check
+    """Open-addressed tables, one a predictor, of keys and the log odds of their bytes' bits (0 odds where nothing is known). A table has twice as many places as keys or more, and no key is left out."""
+
+    def __init__(self, key: np.ndarray, path: np.ndarray):
+        self.tables = []
+        order = (key >> np.uint64(56)).astype(np.int64)
+        for i in range(len(ORDERS)):
+            self.tables.append(self._table(key[order == i], path[order == i]))
+
+    @staticmethod
+    def _place(key: np.ndarray, bits: int) -> np.ndarray:
+        h = key ^ (key >> np.uint64(29))
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h >>= np.uint64(64 - bits)
+        return h.view(np.int64)
+
+    def _table(self, key: np.ndarray, path: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+        bits = max(4, (2 * len(key)).bit_length())
+        keys, words = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << bits, np.int64)
+        at, left = self._place(key, bits), np.arange(len(key))
+        taken = np.zeros(1 << bits, bool)
+        while len(left):
+            left = left[np.argsort(taken[at[left]], kind="stable")]
+            free = left[~taken[at[left]]]
+            keys[at[free]] = key[free]  # of several, one stays
+            won = free[keys[at[free]] == key[free]]
+            words[at[won]] = path[won]
+            taken[at[won]] = True
+            left = left[keys[at[left]] != key[left]]
+            at[left] = (at[left] + 1) & ((1 << bits) - 1)
+        return bits, keys, words
 
     def look_up(self, i: int, key: np.ndarray) -> np.ndarray:
-        slot, check = _slots(i, key, self.bits)
-        out = self.path.take(slot)
-        out *= self.check.take(slot) == check
+        bits, keys, words = self.tables[i]
+        at = self._place(key, bits)
+        there = keys.take(at)
+        out = words.take(at)
+        other = np.flatnonzero(there != key)
+        out[other] = 0
+        other = other[there[other] != np.uint64(0xFFFFFFFFFFFFFFFF)]
+        at = at[other]
+        while len(other):  # the next place, until the key or a free one is met
+            at = (at + 1) & ((1 << bits) - 1)
+            there = keys.take(at)
+            same = there == key[other]
+            out[other[same]] = words[at[same]]
+            go = ~same & (there != np.uint64(0xFFFFFFFFFFFFFFFF))
+            other, at = other[go], at[go]
         return out
 
 
-def fit(docs: DataFrame, bits: int = SLOT_BITS) -> Model:
-    """Counts of all documents. Each task sends its distinct (context, byte) counts once, by context; of those that share a slot the most frequent holds it. The model has a fixed number of slots, so it can be broadcast at any size of the corpus."""
-    common.small_batches(docs.sparkSession)
-    counted = docs.select("text").filter("length(text) > 0").mapInArrow(_count, "o byte, ctx int, byte short, n long")
-    summed = counted.repartition("o", "ctx").groupBy("o", "ctx", "byte").agg(F.sum("n").alias("n"))
-    best = summed.mapInArrow(_paths(bits), "slot int, check int, path long, n long").groupBy("slot").agg(F.max(F.struct("n", "path", "check")).alias("m"))
-    t = best.select("slot", F.col("m.check").alias("check"), F.col("m.path").alias("path")).toArrow()
-    return Model(bits, t.column(0).to_numpy(), t.column(1).to_numpy().astype(np.uint8), t.column(2).to_numpy())
+def _model(table: pa.Table) -> Model:
+    size, blobs, values = (table.column(c).to_pylist() for c in ("size", "keys", "values"))
+    if not size:
+        return Model(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return Model(np.concatenate([_unpacked(b, n) for b, n in zip(blobs, size)]), np.concatenate([np.frombuffer(pa.decompress(v, n * 8, "zstd"), np.int64) for v, n in zip(values, size)]))
+
+
+def _parts(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(doc_id, text, part), and the number of parts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // PART_BYTES))
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part")), parts
+
+
+def _looked_up(spread: DataFrame, parts: int, whole: bool) -> DataFrame:
+    return spread.groupBy("part").applyInArrow(_count(parts), _COUNTS_SQL).groupBy("bucket").applyInArrow(_add_up(whole), _COUNTS_SQL)
+
+
+def fit(docs: DataFrame) -> Model:
+    """The counts of all documents in one place: for a corpus whose contexts fit there. scored() does without."""
+    return _model(_looked_up(*_parts(docs), True).toArrow())
 
 
 #: Buckets of half a unit of the mixed log odds; the mirrored bucket has the bits that such odds got wrong.
@@ -263,27 +321,39 @@ def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return out
 
 
-def scored(docs: DataFrame, model: Model | None = None, bits: int = SLOT_BITS) -> DataFrame:
+def scored(docs: DataFrame, model: Model | None = None, bits: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, total_bits, bits_per_byte) for every document, over its whole text.
 
-    Null and empty texts have 0 bytes, 0 bits and a null ratio. Repeated rows are counted, scored and listed each, all
-    alike; a null doc_id is listed as null. Further columns are ignored; an empty table gives no row.
+    Without a model, that of all documents is used. Null and empty texts have 0 bytes, 0 bits and a null ratio. Repeated
+    rows are counted, scored and listed each, all alike; a null doc_id is listed as null. Further columns are ignored; an
+    empty table gives no row. `bits`, once the size of the table of slots, is taken but has no effect.
     """
     common.small_batches(docs.sparkSession)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model or fit(docs, bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_bytes long, total_bits double, bits_per_byte double"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, 1, GROUP_BYTES):
                 data, offsets = text_bytes(part.column(1))
-                total = code_lengths(shared.value, data, offsets)
+                total = code_lengths(model, data, offsets)
                 n = np.diff(offsets)
                 ratio = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
                 yield pa.record_batch([part.column(0), pa.array(n.astype(np.int64)), pa.array(total), ratio], names=["doc_id", "n_bytes", "total_bits", "bits_per_byte"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, total_bits double, bits_per_byte double")
+    if model is not None:
+        shared = spark.sparkContext.broadcast(model)
+        return docs.select("doc_id", "text").mapInArrow(lambda batches: run(batches, shared.value), schema)
+    spread, parts = _parts(docs)
+
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        out = list(run(texts.select(["doc_id", "text"]).combine_chunks().to_batches(), _model(known)))
+        if out:
+            return pa.Table.from_batches(out)
+        return pa.table({"doc_id": pa.array([], texts.schema.field("doc_id").type), "n_bytes": pa.array([], pa.int64()), "total_bits": pa.array([], pa.float64()), "bits_per_byte": pa.array([], pa.float64())})
+
+    return spread.groupBy("part").cogroup(_looked_up(spread, parts, False).groupBy("part")).applyInArrow(score, schema)
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

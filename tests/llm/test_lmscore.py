@@ -90,3 +90,20 @@ def test_own_occurrences_are_left_out(make):
     """A text of bytes that never recur in a context learns nothing from itself."""
     once = "".join(chr(c) for c in range(33, 126))
     assert m.scored(make([once])).first().bits_per_byte > 6
+
+
+def test_no_context_is_left_out(make, monkeypatch):
+    """Every (context, byte) that recurs is known, whatever else there is, in one place and in parts; none that doesn't occur is."""
+    import random
+
+    rng = random.Random(4)
+    rows = ["".join(chr(rng.randint(33, 126)) for _ in range(3000)) for _ in range(100)] * 2
+    data, offsets = m.text_bytes(pa.array(rows))
+    model = m.fit(make(rows))
+    for i, key in m.contexts(data, offsets):
+        assert (model.look_up(i, key) != 0).mean() > 0.99
+        assert not model.look_up(i, key | np.uint64(128)).any()  # such bytes don't occur
+    small = rows[:6] + rows[100:106]
+    whole = {r.doc_id: r.total_bits for r in m.scored(make(small)).collect()}
+    monkeypatch.setattr(m, "PART_BYTES", 4000)
+    assert {r.doc_id: r.total_bits for r in m.scored(make(small)).collect()} == pytest.approx(whole, rel=1e-4)
