@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import common
 
 #: Bytes of context of each predictor (6 at most, to fit a key); bytes coded between two updates.
-ORDERS, BLOCK = (1, 2, 4, 6), 64
+ORDERS, BLOCK = (1, 2, 3, 4, 6), 64
 #: Estimator's added count; step of the weights; their first value; gates by known order; buckets of the refinement and the weight of what it starts with.
 DELTA, RATE, FIRST, GATES, BUCKETS, TRUST = 0.4, 0.002, 0.35, 3, 32, 16.0
 #: Bytes of text that are coded side by side.

@@ -107,3 +107,9 @@ def test_no_context_is_left_out(make, monkeypatch):
     whole = {r.doc_id: r.total_bits for r in m.scored(make(small)).collect()}
     monkeypatch.setattr(m, "PART_BYTES", 4000)
     assert {r.doc_id: r.total_bits for r in m.scored(make(small)).collect()} == pytest.approx(whole, rel=1e-4)
+
+
+def test_all_predictors_are_there(make, corpus):
+    assert m.ORDERS == (1, 2, 3, 4, 6)
+    data, offsets = m.text_bytes(pa.array([corpus[0][1]]))
+    assert [i for i, _ in m.contexts(data, offsets)] == [0, 1, 2, 3, 4]
