@@ -100,23 +100,29 @@ def _rows(column: pa.Array, sizes: list[int], bits: np.ndarray | None, whole_sho
     template, filler, slot, first = templates(column)
     n_words = np.diff(first)
     slots_before = np.concatenate([[0], np.cumsum(slot)])
-    fill = filler[slot]
+    # The slots of a window; of one that is found by its fillers the numbers, which don't hang on what is around it.
+    number = template == _NUM
+    numbers_before = np.concatenate([[0], np.cumsum(number)]) + slots_before[-1]
+    fill = np.concatenate([filler[slot], filler[number]])
     for size in sizes:
         h = window_hashes(template, size)
         if not len(h):
             continue
+        # Placeholders of a window of which more than half are such say too little: it is found by its fillers, as an exact copy.
+        rich = (slots_before[size:] - slots_before[:-size]) * 2 > size
+        if rich.any():
+            h[rich] = common.mix(window_hashes(filler, size)[rich])
         if bits is not None:
             at = np.flatnonzero(bits[(h >> np.uint64(64 - (len(bits) - 1).bit_length())).astype(np.int64)])
         else:
             at = np.arange(len(h))
         row = np.searchsorted(first, at, side="right") - 1
         ok = at + size <= first[row + 1]
-        # A window of which more than half are placeholders says too little.
-        ok &= (slots_before[at + size] - slots_before[at]) * 2 <= size
         if whole_short and size < sizes[-1]:
             ok &= n_words[row] == size
         at, row = at[ok], row[ok]
-        yield row, at - first[row], size, h[at], slots_before[at], slots_before[at + size], fill
+        a, b = (np.where(rich[at], numbers_before[x], slots_before[x]) for x in (at, at + size))
+        yield row, at - first[row], size, h[at], a, b, fill
 
 
 def _windows(sizes: list[int], bits, whole_short: bool, key: str):
@@ -146,8 +152,8 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW, shortest: int
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest: int = SHORTEST, coverage: float = COVERAGE, consistent: float = CONSISTENT) -> DataFrame:
     """(doc_id, item_id, covered, item_tokens, coverage, slots, changed_slots) for each item that leaks into a document.
 
-    Rows with a null doc_id or item_id, or a null or empty text, take no part; items of fewer than `shortest` words or
-    made mostly of placeholders are never found. Repeated rows, and passages that a document repeats, give one row for
+    Rows with a null doc_id or item_id, or a null or empty text, take no part; items of fewer than `shortest` words are
+    never found, and windows made mostly of placeholders only as exact copies. Repeated rows, and passages that a document repeats, give one row for
     each (doc_id, item_id); equally good items are all listed. Further columns are ignored; with an empty table on
     either side there is no row.
     """

@@ -106,3 +106,10 @@ def test_templates():
     words = re.findall(r"\w+", text)
     assert [kinds.get(int(t), w.lower()) for t, w in zip(template, words)] == ["in", "N", "N", "paid", "#", "#", "U", "bob", "paid", "dollars"]
     assert slot.sum() == 5
+
+
+def test_items_dense_in_slots_are_found_as_copies(make, bench):
+    items = [(7, "Compute 12 + 7 * 3 - 45 / 9 + 18 = ?"), (8, "In 2001 Anna Berg 12 km 30 kg 45 days 17 miles and 3 hours")]
+    b = bench.sparkSession.createDataFrame(items, "item_id long, text string")
+    rows = [FILL + items[0][1], FILL + items[1][1], FILL + "compute 13 + 7 * 3 - 45 / 9 + 18 = ?"]
+    assert set(found(d.leaks(make(rows), b))) == {(0, 7), (1, 8)}
