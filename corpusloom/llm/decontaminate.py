@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates.
 
 Both sides are canonicalised: numbers, units after numbers and names (capitalised words within a sentence) become typed
-placeholders, all else is lower-cased words. Every window of WINDOW template tokens is hashed, document windows are
+placeholders, all else is lower-cased words. Texts are read in up to three ways, so that a name may also begin a
+sentence, or be written as a plain word. Every window of WINDOW template tokens is hashed, document windows are
 hash-joined with benchmark windows, and on each alignment of a document with an item the slots are compared: a copy has
 the same fillers, a re-parameterised question has others, but each of the item's fillers must correspond to one and the
 same filler of the document throughout. An item leaks into a document if the windows of its consistent alignments cover
@@ -46,11 +47,22 @@ def _in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(template, filler, slot, first): for each token its template hash, the hash of its own lower-case form, whether it is a slot; and the first token of each text (rows + 1)."""
+    return _tokens(column, False)[:4]
+
+
+def _tokens(column: pa.Array, whole_numbers: bool = True) -> tuple[np.ndarray, ...]:
+    """templates(), and for each token whether it is a name within a sentence, and a capitalised word that begins one. whole_numbers: a number with a point, or commas before three digits, is one token."""
     raw, offsets = common.flat(column, lower=False)
     starts, ends = common.words(raw)
+    if whole_numbers and len(starts):
+        figures = np.concatenate([[0], np.cumsum((raw >= 48) & (raw <= 57))])
+        whole = figures[ends] - figures[starts] == ends - starts
+        sign = raw[np.minimum(ends[:-1], len(raw) - 1)]
+        join = whole[:-1] & whole[1:] & (starts[1:] == ends[:-1] + 1) & ((sign == 46) | ((sign == 44) & (ends[1:] - starts[1:] == 3)))
+        starts, ends = starts[np.append(True, ~join)], ends[np.append(~join, True)]
     first = common.counts_by_row(starts, offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), first
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool), first, np.zeros(0, bool), np.zeros(0, bool)
     # Lower case in place: A-Z, and the capitals of Latin-1, Greek and Cyrillic that keep their length.
     data = raw.copy()
     big = (raw >= 65) & (raw <= 90)
@@ -81,7 +93,21 @@ def templates(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     row_start[first[:-1][first[:-1] < len(starts)]] = True
     unit &= ~row_start
     template = np.where(digit, _NUM, np.where(unit, _UNITS, np.where(name, _NAME, filler)))
-    return template, filler, digit | name | unit, first
+    name &= ~digit & ~unit
+    return template, filler, digit | name | unit, first, name, capital & ~name & ~digit & ~unit
+
+
+def _readings(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(template, filler, slot, first, changed) of each reading: names within a sentence are placeholders; so are words that begin one and are such names elsewhere in the text; names are words, as in a copy in lower case or capitals. changed: the tokens that differ from the first reading."""
+    template, filler, slot, first, name, initial = _tokens(column)
+    yield template, filler, slot, first, None
+    row = np.searchsorted(first, np.arange(len(filler)), side="right").astype(np.uint64)
+    word = common.mix(filler + row * np.uint64(0x9E3779B97F4A7C15))
+    more = initial & _in(word, np.unique(word[name]))
+    if more.any():
+        yield np.where(more, _NAME, template), filler, slot | more, first, more
+    if name.any():
+        yield np.where(name, filler, template), filler, slot & ~name, first, name
 
 
 def window_hashes(template: np.ndarray, size: int) -> np.ndarray:
@@ -97,8 +123,14 @@ def window_hashes(template: np.ndarray, size: int) -> np.ndarray:
 
 def _rows(column: pa.Array, sizes: list[int], bits: np.ndarray | None, whole_short: bool):
     """(row, pos, size, hash, fillers of the slots) of the windows of a batch. whole_short: texts shorter than the window count as one window of their own size."""
-    template, filler, slot, first = templates(column)
+    for reading in _readings(column):
+        yield from _read_rows(*reading, sizes, bits, whole_short)
+
+
+def _read_rows(template, filler, slot, first, changed, sizes, bits, whole_short):
+    """_rows() of one reading; of a further one the windows in which it differs."""
     n_words = np.diff(first)
+    changes = None if changed is None else np.concatenate([[0], np.cumsum(changed)])
     slots_before = np.concatenate([[0], np.cumsum(slot)])
     # The slots of a window; of one that is found by its fillers the numbers, which don't hang on what is around it.
     number = template == _NUM
@@ -118,6 +150,8 @@ def _rows(column: pa.Array, sizes: list[int], bits: np.ndarray | None, whole_sho
             at = np.arange(len(h))
         row = np.searchsorted(first, at, side="right") - 1
         ok = at + size <= first[row + 1]
+        if changes is not None:
+            ok &= changes[at + size] > changes[at]
         if whole_short and size < sizes[-1]:
             ok &= n_words[row] == size
         at, row = at[ok], row[ok]

@@ -113,3 +113,12 @@ def test_items_dense_in_slots_are_found_as_copies(make, bench):
     b = bench.sparkSession.createDataFrame(items, "item_id long, text string")
     rows = [FILL + items[0][1], FILL + items[1][1], FILL + "compute 13 + 7 * 3 - 45 / 9 + 18 = ?"]
     assert set(found(d.leaks(make(rows), b))) == {(0, 7), (1, 8)}
+
+
+def test_names_that_begin_sentences_numbers_with_separators_and_case(make, bench):
+    anna = "Anna has 12 apples. Anna gives 5 apples to Boris. Anna buys 3 more. How many has Anna now?"
+    money = "a plain ticket to the far harbour costs 5 dollars and the way back costs 7 dollars"
+    walk = "On the way home Anna meets Boris and then Anna tells Boris what Clara said of David"
+    b = bench.sparkSession.createDataFrame([(1, anna), (2, money), (3, walk)], "item_id long, text string")
+    rows = [anna.replace("Anna", "Carla"), FILL + money.replace("5", "3.50").replace("7", "1,200"), FILL + walk.lower(), FILL + walk.upper(), "The end. In The Hall. " + anna]
+    assert set(found(d.leaks(make(rows), b))) == {(0, 1), (1, 2), (2, 3), (3, 3), (4, 1)}
