@@ -30,6 +30,13 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[9, 11, 12, 13, 32]] = True
 
 
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Where a Chinese, Japanese, Korean or (U+0E00 to U+0EFF) Thai or Lao character begins."""
+    thai = data == 0xE0
+    thai[:-1] &= (data[1:] >= 0xB8) & (data[1:] <= 0xBB)
+    return common._WIDE[data] | thai
+
+
 def hashed_lines(column: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, position, hash) of the lines of a batch of texts that are looked at."""
     data, offsets = common.flat(column)  # lower case, a line feed after each text
@@ -47,7 +54,9 @@ def hashed_lines(column: pa.Array, min_words: int) -> tuple[np.ndarray, np.ndarr
     a, z = place[starts], place[ends]
     z = z - ((z > a) & (kept[np.maximum(z - 1, 0)] == 32))
     spaces = np.concatenate([[0], np.cumsum(kept == 32)])
-    looked = (z > a) & (spaces[z] - spaces[a] >= min_words - 1)
+    # In a script without spaces a character counts as a word.
+    unspaced = np.concatenate([[0], np.cumsum(_unspaced(kept))])
+    looked = (z > a) & ((spaces[z] - spaces[a] >= min_words - 1) | (unspaced[z] - unspaced[a] >= min_words))
     row, pos, a, z = row[looked], pos[looked], a[looked], z[looked]
     return row, pos, common.hash_spans(kept, a, z)
 
@@ -94,7 +103,7 @@ def dedup_lines(docs: DataFrame, max_docs: int = MAX_DOCS, min_words: int = MIN_
     """The documents without the lines that occur in more than max_docs documents, and a column lines_dropped.
 
     All occurrences go, also repeated ones within a text. Lines of fewer than min_words words, and blank lines, are
-    kept. n_chars is set to the new length. With spare_share, a document of whose lines (of those looked at) that share
+    kept; in scripts without spaces each character counts as a word. n_chars is set to the new length. With spare_share, a document of whose lines (of those looked at) that share
     or more would go is a copy rather than a carrier of boilerplate and is left whole, for a near-duplicate step to
     decide about. A null text stays null with 0 lines dropped and an empty one empty; a document all of whose lines go
     has an empty text. Rows with the same doc_id count as one document; equal lines of repeated rows are dropped alike.

@@ -54,3 +54,9 @@ def test_copies_are_spared(make):
 def test_repeated_rows_are_one_document(make):
     rows = [(1, "same line of text")] * 5
     assert {r.text for r in linededup.dedup_lines(make(rows)).collect()} == {"same line of text"}
+
+
+def test_unspaced_passages_count(make):
+    passages = ["本公司保留所有权利未经许可不得转载", "สงวนลิขสิทธิ์ตามกฎหมาย"]
+    rows = [(i, f"own text number {i}\n" + "\n".join(passages)) for i in range(4)]
+    assert {r.text for r in linededup.dedup_lines(make(rows)).collect()} == {f"own text number {i}" for i in range(4)}
