@@ -1,18 +1,26 @@
 """Bits per byte under online logistic context mixing.
 
-Bit predictors: for each order in ORDERS the preceding bytes are the context, and the bits of the next byte, first the
-highest, are predicted from how often each was seen there in the whole corpus. Counts of (context, byte) are gathered
-over all documents, none is left out, and what is predicted for an occurrence leaves that occurrence out, so that no
-text is scored by itself. Order, context and byte fit in 64 bits as they are, so nothing collides. The documents are
-spread over parts of about PART_BYTES; each part sends its distinct counts to buckets of contexts, where they are added
-up, and gets back the odds of what it asked for, so no table of all contexts is ever in one place. Mixing: the predictors' log odds are weighed and added; the weights are chosen by a gate (place of
-the bit, and the longest context that is known) and learn online while a document is read, by the gradient of its code
-length, in blocks of BLOCK bytes: a block is coded with what the blocks before it taught. Refinement: an adaptive map
-from the mixed odds to how often such a prediction came true in this document so far is averaged with the mix.
-The sum over all bits is the document's code length.
-
-Bits are counted relative to the bit that came: an input is positive if its predictor leant to the right value. So one
-lookup by (context, byte) gives the eight log odds of a byte, packed in a word.
+Predictors: for each order in ORDERS the preceding bytes are a context, and the bits of the next byte, first the
+highest, are predicted from how often a 0 and a 1 came there, at the node (context, bits of this byte so far), in the
+corpus. A further predictor follows long matches: at anchors, where a hash of the last ANCHOR bytes has zeros at its
+end, the text is expected to go on as it did after the same bytes elsewhere, until it doesn't.
+Counts are gathered over all documents, and grow with them: none is left out, and order, context and byte fit in 64
+bits as they are, so nothing collides (the ANCHOR bytes are hashed to 64 bits).
+
+What is held out: documents are spread over parts of about PART_BYTES (FOLDS at least) by a hash of id and text, and a
+part's documents are predicted from the counts of all other parts. So the predictors of a document are fixed before it
+is read, no text predicts itself or what follows in it, and what they say of a node hangs only on bytes that have
+passed: the probabilities of the 256 next bytes add up to 1, and the sum over all bits is a code length.
+
+Mixing: the predictors' log odds are weighed and added; the weights are chosen by a gate (place of the bit, the longest
+context that other parts know, whether a match is followed) and learn online while a document is read, by the gradient
+of its code length, in blocks of BLOCK bytes: a block is coded with what the blocks before it taught. Refinement: an
+adaptive map from the mixed odds to how often such odds were right in this document so far is averaged with the mix;
+odds of 0 stay even.
+
+Log odds are kept relative to the bit that came (positive if the predictor leant to it), which changes nothing in the
+sums: mix, weights' gradient and refinement are symmetric in the two values of a bit. So one lookup by (context, byte)
+gives the eight log odds of a byte, packed in a word.
 """
 
 from __future__ import annotations
@@ -21,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,12 +37,16 @@ from corpusloom.llm import common
 
 #: Bytes of context of each predictor (6 at most, to fit a key); bytes coded between two updates.
 ORDERS, BLOCK = (1, 2, 3, 4, 6), 64
-#: Estimator's added count; step of the weights; their first value; gates by known order; buckets of the refinement and the weight of what it starts with.
-DELTA, RATE, FIRST, GATES, BUCKETS, TRUST = 0.4, 0.002, 0.35, 3, 32, 16.0
-#: Bytes of text that are coded side by side.
+#: Estimator's added count; step of the weights; their first value; buckets of the refinement (odd: the middle one is for even odds) and the weight of what it starts with.
+DELTA, RATE, FIRST, BUCKETS, TRUST = 0.4, 0.002, 0.35, 33, 16.0
+#: Gates: none or the shortest order known, up to the middle, the longest, a match. Log odds of a match, in sixteenths, and the first value of its weight.
+GATES, MATCH_ODDS, MATCH_FIRST = 4, 80, 0.6
+#: Bytes of an anchor; zero bits of its hash (one position in 2**ANCHOR_BITS is an anchor); bytes that are expected after it.
+ANCHOR, ANCHOR_BITS, FOLLOWER = 24, 5, 48
+#: Bytes of text that are coded side by side; a longer text is coded in pieces of that size.
 GROUP_BYTES = 2 << 20
-#: Bytes of text of a part, about.
-PART_BYTES = 16 << 20
+#: Bytes of text of a part, about, and parts at least.
+PART_BYTES, FOLDS = 8 << 20, 16
 _SCALE = np.float32(1 / 16)
 
 
@@ -56,11 +69,51 @@ def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.nd
             yield i, context | np.uint64(i << 56)
 
 
-def _few(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """_counted() of keys below 2**16."""
-    n = np.bincount(key, minlength=1 << 16)
-    key = np.flatnonzero(n)
-    return key.astype(np.uint64), n[key]
+_SPREAD = common.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_STEP = 0xD6E8FEB86659FD93
+
+
+def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, keys) of the anchors: the ANCHOR bytes before a position, of the same text, have a hash that ends in zeros."""
+    n = len(data)
+    if n <= ANCHOR:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def joined(long: np.ndarray, short: np.ndarray, size: int) -> np.ndarray:
+        """The hash of `size` bytes more, those before; entry i is of the bytes that end at i."""
+        out = long.copy()
+        out[size:] += short[: n - size] * np.uint64(pow(_STEP, size, 1 << 64))
+        return out
+
+    one = _SPREAD[data]
+    two = joined(one, one, 1)
+    four = joined(two, two, 2)
+    eight = joined(four, four, 4)
+    h = joined(joined(eight, eight, 8), eight, 16)
+    at = np.flatnonzero((h[ANCHOR - 1 : -1] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ANCHOR_BITS) == 0) + ANCHOR
+    row = np.searchsorted(offsets, at, side="right") - 1
+    at = at[at - offsets[row] >= ANCHOR]
+    return at, common.mix(h[at - 1])
+
+
+def followers(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The FOLLOWER bytes from each position, 0 beyond the text's end."""
+    end = offsets[np.searchsorted(offsets, at, side="right")]
+    place = at[:, None] + np.arange(FOLLOWER)
+    return np.where(place < end[:, None], data[np.minimum(place, len(data) - 1)], 0).astype(np.uint8)
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, int, bool]]:
+    """(data, offsets, skip, more): whole texts, unless there is but one and it is longer than `most`: then runs of it, each after `skip` bytes that were in the run before."""
+    most = most or GROUP_BYTES
+    if len(offsets) != 2 or len(data) <= most:
+        yield data, offsets, 0, False
+        return
+    step = max(most // BLOCK, 2) * BLOCK
+    for a in range(0, len(data), step):
+        skip = min(a, ANCHOR + FOLLOWER)
+        part = data[a - skip : a + step]
+        yield part, np.array([0, len(part)]), skip, a + step < len(data)
 
 
 def _counted(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -79,7 +132,7 @@ def _counted(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray,
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a batch of texts, end to end, and their offsets."""
-    column = pa.compute.fill_null(column.cast(pa.large_string()), "")
+    column = pc.fill_null(column.cast(pa.large_string()), "")
     n = len(column)
     offsets = np.frombuffer(column.buffers()[1], np.int64, n + 1 + column.offset)[column.offset :] if n else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
@@ -96,89 +149,145 @@ def _unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(flat.T).view(np.uint64)[:, 0], dtype=np.uint64)
 
 
-def distinct(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of a column of texts, ascending, and how often each occurs."""
+def _squeezed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x), "zstd", asbytes=True)
+
+
+def distinct(column: pa.ChunkedArray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of a column of texts: the distinct keys, ascending, and how often each occurs; the distinct anchors and the least follower of each."""
     have: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in ORDERS]
+    found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def merged(parts):
         return _counted(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])) if len(parts) > 1 else parts[0]
 
     for batch in pa.table({"text": column}).to_batches():
         for part in common.slices(batch, 0):
-            data, offsets = text_bytes(part.column(0))
-            for i, key in contexts(data, offsets):
-                have[i].append(_few(key & np.uint64(0xFFFF)) if ORDERS[i] == 1 else _counted(key))
-                if len(have[i]) == 8:
-                    have[i] = [merged(have[i])]
+            for data, offsets, skip, more in pieces(*text_bytes(part.column(0))):
+                at, anchor = anchors(data, offsets)
+                # What follows an anchor may lie beyond a run of a long text: then it is taken with the next run.
+                ready = at <= (len(data) - FOLLOWER if more else len(data))
+                found.append((anchor[ready], followers(data, offsets, at[ready])))
+                for i, key in contexts(data, offsets):
+                    have[i].append(_counted(key[skip:]))
+                    if len(have[i]) == 8:
+                        have[i] = [merged(have[i])]
     got = [merged(parts) for parts in have if parts]
-    return (np.concatenate([k for k, _ in got]), np.concatenate([n for _, n in got])) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    keys = (np.concatenate([k for k, _ in got]), np.concatenate([n for _, n in got])) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    if not found:
+        return keys, (np.zeros(0, np.uint64), np.zeros((0, FOLLOWER), np.uint8))
+    anchor, after = np.concatenate([k for k, _ in found]), np.concatenate([f for _, f in found])
+    order = np.lexsort((*np.ascontiguousarray(after[:, ::-1]).view(np.uint64).T, anchor))
+    anchor, after = anchor[order], after[order]
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+    return keys, (anchor[first], after[first])
+
+
+#: Rows between the steps: kind 0 has keys and counts (then odds), kind 1 anchors and followers. `bucket` is of contexts.
+_COUNTS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int8()), ("size", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
+_COUNTS_SQL = "part int, bucket int, kind byte, size int, keys binary, values binary"
 
 
-_COUNTS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("size", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
-_COUNTS_SQL = "part int, bucket int, size int, keys binary, values binary"
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([list(c) for c in zip(*rows)], schema=_COUNTS) if rows else _COUNTS.empty_table()
 
 
 def _count(buckets: int):
+    """The counts and followers of a part's texts, split by bucket. Only buckets that get something have a row."""
+
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        key, n = distinct(table.column("text"))
-        bucket = (common.mix(key >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
-        order = np.argsort(bucket, kind="stable")
-        key, n = key[order], n[order]
-        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-        rows = [(part, b, z - a, _packed(key[a:z]), pa.compress(n[a:z].astype(np.int64), "zstd", asbytes=True)) for b, (a, z) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())) if z > a]
-        return pa.table([list(c) for c in zip(*rows)], schema=_COUNTS) if rows else _COUNTS.empty_table()
+        rows = []
+        for kind, (key, values) in enumerate(distinct(table.column("text"))):
+            bucket = (common.mix(key if kind else key >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            key, values, bucket = key[order], values[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else np.zeros(1, np.int64)
+            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                rows.append((part, int(bucket[a]), kind, z - a, _packed(key[a:z]), _squeezed(values[a:z].astype(np.uint8 if kind else np.int64))))
+        return _table(rows)
 
     return run
 
 
-def paths(ctx: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows in the order of (ctx, byte): the eight log odds of a byte's bits, in sixteenths, as the bytes of a word; and the count of its context. One occurrence of the byte itself is left out."""
-    return _odds((ctx.astype(np.int64) << 8) | byte, n)
-
-
-def _odds(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """paths() of ascending keys."""
-    counts = []
+def levels(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For ascending keys, 9 rows: how often the context came (first), the context with the first bit of the byte, with the first two bits and so on."""
+    out = np.empty((9, len(key)), np.int64)
     for j in range(9):
-        g = key >> (8 - j)
+        g = key >> np.uint64(8 - j)
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        counts.append(np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(key)))))
-    out = np.zeros((len(key), 8), np.int8)
-    for j in range(8):
-        here, there = counts[j] - 1.0, counts[j + 1] - 1.0
-        odds = np.log((there + DELTA) / (here - there + DELTA))
-        out[:, j] = np.clip(np.rint(odds * 16), -127, 127)
-    return out.view(np.int64)[:, 0], counts[0]
-
+        out[j] = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(key))))
+    return out
 
-def _add_up(whole: bool):
-    """The counts of a bucket of contexts, from all parts, to the odds that each part asked for; with `whole`, to those of all keys once."""
 
-    def run(table: pa.Table) -> pa.Table:
-        part, bucket, size, blobs, values = (table.column(c).to_pylist() for c in _COUNTS.names)
-        keys = [_unpacked(b, n) for b, n in zip(blobs, size)]
-        key, n = _counted(np.concatenate(keys), np.concatenate([np.frombuffer(pa.decompress(v, k * 8, "zstd"), np.int64) for v, k in zip(values, size)]))
-        path, total = _odds(key.view(np.int64), n)
-        path[total < 2] = 0  # nothing is left of the context without the occurrence itself
-        rows = []
-        for p, blob, k in [(0, None, key)] if whole else zip(part, blobs, keys):
-            word = path if whole else path[np.searchsorted(key, k)]
+def odds(counts: np.ndarray) -> np.ndarray:
+    """levels() to the eight log odds of a byte's bits, in sixteenths, as the bytes of a word: positive if the bit that came is the likelier one."""
+    out = np.empty((counts.shape[1], 8), np.int8)
+    for j in range(8):
+        there, other = counts[j + 1], counts[j] - counts[j + 1]
+        out[:, j] = np.clip(np.rint(16 * np.log((there + DELTA) / (other + DELTA))), -127, 127)
+    return out.view(np.int64)[:, 0]
+
+
+def _add_up(table: pa.Table) -> pa.Table:
+    """The counts of a bucket, from all parts, to what each part asked for: the odds by the counts of the other parts; and after an anchor what follows it in the next part (in a circle) that has it. Parts below 0 only ask."""
+    part, bucket, kind, size, blobs, values = (table.column(c).to_pylist() for c in _COUNTS.names)
+    rows = []
+    mine = [i for i, k in enumerate(kind) if k == 0]
+    keys = [_unpacked(blobs[i], size[i]) for i in mine]
+    counts = [np.frombuffer(pa.decompress(values[i], size[i] * 8, "zstd"), np.int64) * (part[i] >= 0) for i in mine]
+    if mine:
+        key, n = _counted(np.concatenate(keys), np.concatenate(counts))
+        whole = levels(key, n)
+        for i, k, own in zip(mine, keys, counts):
+            word = odds(whole[:, np.searchsorted(key, k)] - levels(k, own))
             known = word != 0
-            rows.append((p, bucket[0], int(known.sum()), blob if known.all() and blob else _packed(k[known]), pa.compress(word[known], "zstd", asbytes=True)))
-        return pa.table([list(c) for c in zip(*rows)], schema=_COUNTS)
-
-    return run
+            if known.any():
+                rows.append((part[i], bucket[i], 0, int(known.sum()), blobs[i] if known.all() else _packed(k[known]), _squeezed(word[known])))
+    mine = [i for i, k in enumerate(kind) if k == 1]
+    if mine:
+        key = np.concatenate([_unpacked(blobs[i], size[i]) for i in mine])
+        after = np.concatenate([np.frombuffer(pa.decompress(values[i], size[i] * FOLLOWER, "zstd"), np.uint8).reshape(-1, FOLLOWER) for i in mine])
+        owner = np.repeat([part[i] for i in mine], [size[i] for i in mine])
+        order = np.lexsort((owner, key))
+        key, after, owner = key[order], after[order], owner[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        # The next row of the same anchor, or from the last one the first; those that only ask (they come first) aren't told of.
+        begin = np.repeat(first, np.diff(np.append(first, len(key))))
+        begin = begin + np.repeat(np.add.reduceat(owner < 0, first), np.diff(np.append(first, len(key))))
+        end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
+        there = np.arange(len(key)) + 1
+        there = np.where((there >= end) | (owner < 0), begin, there)
+        told = (there < end) & (there != np.arange(len(key)))
+        at, there = np.flatnonzero(told), there[told]
+        at, there = at[np.argsort(owner[at], kind="stable")], there[np.argsort(owner[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(owner[at], prepend=np.iinfo(np.int64).min, append=np.iinfo(np.int64).min)) if len(at) else np.zeros(1, np.int64)
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            rows.append((int(owner[at[a]]), bucket[0], 1, z - a, _packed(key[at[a:z]]), _squeezed(after[there[a:z]])))
+    return _table(rows)
 
 
 class Model:
-    """Open-addressed tables, one a predictor, of keys and the log odds of their bytes' bits (0 odds where nothing is known). A table has twice as many places as keys or more, and no key is left out."""
+    """What a part got: open-addressed tables, one a predictor, of keys and the log odds of their bytes' bits (0 odds where nothing is known), and what follows anchors. A table has twice as many places as keys or more, and no key is left out."""
 
-    def __init__(self, key: np.ndarray, path: np.ndarray):
-        self.tables = []
+    def __init__(self, key: np.ndarray, path: np.ndarray, anchor: np.ndarray, after: np.ndarray):
         order = (key >> np.uint64(56)).astype(np.int64)
-        for i in range(len(ORDERS)):
-            self.tables.append(self._table(key[order == i], path[order == i]))
+        self.tables = [self._table(key[order == i], path[order == i]) for i in range(len(ORDERS))]
+        by = np.argsort(anchor, kind="stable")
+        self.anchor, self.after = anchor[by], after[by]
+
+    @classmethod
+    def of(cls, known: pa.Table) -> Model:
+        """From the rows of _add_up() for a part."""
+        kind, size, blobs, values = (known.column(c).to_pylist() for c in ("kind", "size", "keys", "values"))
+        keys, after = ([i for i, k in enumerate(kind) if k == x] for x in (0, 1))
+        none = np.zeros(0, np.uint64)
+        return cls(
+            np.concatenate([none, *(_unpacked(blobs[i], size[i]) for i in keys)]),
+            np.concatenate([none.view(np.int64), *(np.frombuffer(pa.decompress(values[i], size[i] * 8, "zstd"), np.int64) for i in keys)]),
+            np.concatenate([none, *(_unpacked(blobs[i], size[i]) for i in after)]),
+            np.concatenate([np.zeros((0, FOLLOWER), np.uint8), *(np.frombuffer(pa.decompress(values[i], size[i] * FOLLOWER, "zstd"), np.uint8).reshape(-1, FOLLOWER) for i in after)]),
+        )
 
     @staticmethod
     def _place(key: np.ndarray, bits: int) -> np.ndarray:
@@ -221,139 +330,174 @@ class Model:
             other, at = other[go], at[go]
         return out
 
-
-def _model(table: pa.Table) -> Model:
-    size, blobs, values = (table.column(c).to_pylist() for c in ("size", "keys", "values"))
-    if not size:
-        return Model(np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    return Model(np.concatenate([_unpacked(b, n) for b, n in zip(blobs, size)]), np.concatenate([np.frombuffer(pa.decompress(v, n * 8, "zstd"), np.int64) for v, n in zip(values, size)]))
-
-
-def _parts(docs: DataFrame) -> tuple[DataFrame, int]:
-    """(doc_id, text, part), and the number of parts."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // PART_BYTES))
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part")), parts
-
-
-def _looked_up(spread: DataFrame, parts: int, whole: bool) -> DataFrame:
-    return spread.groupBy("part").applyInArrow(_count(parts), _COUNTS_SQL).groupBy("bucket").applyInArrow(_add_up(whole), _COUNTS_SQL)
-
-
-def fit(docs: DataFrame) -> Model:
-    """The counts of all documents in one place: for a corpus whose contexts fit there. scored() does without."""
-    return _model(_looked_up(*_parts(docs), True).toArrow())
+    def expected(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The byte that a match expects at each place, 0 for none: what follows the latest anchor there, unless that has failed before."""
+        out = np.zeros(len(data), np.uint8)
+        if not len(self.anchor):
+            return out
+        at, key = anchors(data, offsets)
+        place = np.minimum(np.searchsorted(self.anchor, key), len(self.anchor) - 1)
+        known = self.anchor[place] == key
+        at, after = at[known], self.after[place[known]]
+        right = np.logical_and.accumulate(after == followers(data, offsets, at), axis=1)
+        holds = after != 0
+        holds[:, 1:] &= right[:, :-1]
+        where = at[:, None] + np.arange(FOLLOWER)
+        holds &= where < offsets[np.searchsorted(offsets, at, side="right")][:, None]
+        out[where[holds]] = after[holds]  # places ascend from anchor to anchor, so the latest one stays
+        return out
 
 
-#: Buckets of half a unit of the mixed log odds; the mirrored bucket has the bits that such odds got wrong.
-_START = TRUST / (1 + np.exp(-(np.arange(BUCKETS) + 0.5 - BUCKETS / 2) / 2))
+#: By the bits in which the expected byte and the one that came differ: the log odds of a match, until the first wrong bit.
+_MATCH = np.zeros((256, 8), np.int8)
+for _x in range(256):
+    for _j in range(8):
+        if _x >> (8 - _j) == 0:
+            _MATCH[_x, _j] = MATCH_ODDS if not (_x >> (7 - _j)) & 1 else -MATCH_ODDS
+_MATCH = _MATCH.view(np.int64)[:, 0]
 
 
-def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Bits of each text. All texts are coded side by side, each with weights of its own."""
-    sizes = np.diff(offsets)
-    out = np.zeros(len(sizes))
-    if not len(data):
-        return out
+def predictions(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words of log odds: predictors x bytes and one for what is beyond a text; gates). Nothing in a gate hangs on the byte that it is for."""
     k = len(ORDERS)
-    path = np.zeros((k, len(data) + 1), np.int64)  # the last stands for what is beyond a text
+    path = np.zeros((k + 1, len(data) + 1), np.int64)
     gate = np.zeros(len(data) + 1, np.uint8)
     for i, key in contexts(data, offsets):
         path[i, :-1] = model.look_up(i, key)
-        # The longest known context decides: none or the shortest, up to the middle, the longest.
-        if i:
-            gate[:-1][path[i, :-1] != 0] = 1 if i <= k // 2 else 2
+        if i:  # the lowest byte of a word is the odds of the first bit: the same for all bytes of a context
+            gate[:-1][path[i, :-1] & 0xFF != 0] = 1 if i <= k // 2 else 2
+    byte = model.expected(data, offsets)
+    at = np.flatnonzero(byte)
+    path[k, at] = _MATCH[byte[at] ^ data[at]]
+    gate[at] = 3
+    return path, gate
+
+
+#: How often odds of a bucket were right; the mirrored bucket has the bits that such odds got wrong. Buckets are half a unit of the mixed log odds wide.
+_START = TRUST / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2))
+
+
+class Coder:
+    """Weights and refinement of n texts."""
+
+    def __init__(self, n: int):
+        self.weights = np.full((len(ORDERS) + 1, n * GATES, 8), FIRST, np.float32)
+        self.weights[-1] = MATCH_FIRST
+        self.hits = np.tile(_START, (n, 1))
+
+    def code(self, path: np.ndarray, gate: np.ndarray, starts: np.ndarray, sizes: np.ndarray, costs: np.ndarray | None = None) -> np.ndarray:
+        """Bits of texts in descending order of size, which are coded side by side. costs: gets the bits of each byte."""
+        k, n, beyond = len(path), len(sizes), path.shape[1] - 1
+        weights, hits = self.weights, self.hits
+        bits = np.zeros(n)
+        inside = np.arange(BLOCK)
+        for begin in range(0, int(sizes[0]) if n else 0, BLOCK):
+            m = int(np.searchsorted(-sizes, -begin, side="left"))  # texts longer than begin
+            full = int(np.searchsorted(-sizes, -(begin + BLOCK), side="right"))
+            at = starts[:m, None] + (begin + inside)
+            if full < m:
+                at[full:][begin + inside >= sizes[full:m, None]] = beyond
+            rows = np.arange(m, dtype=np.int64)[:, None]
+            g = gate[at]
+            chosen = (rows * GATES + g).reshape(-1)
+            x = np.empty((k, m * BLOCK * 8), np.float32)
+            dot = np.zeros(m * BLOCK * 8, np.float32)
+            for i in range(k):
+                np.multiply(path[i].take(at.reshape(-1)).view(np.int8), _SCALE, out=x[i], casting="unsafe")
+                w = weights[i].take(chosen, axis=0).reshape(-1)
+                w *= x[i]
+                dot += w
+            np.clip(dot, -20, 20, out=dot)
+            p = np.negative(dot)
+            np.exp(p, out=p)
+            p += 1
+            np.reciprocal(p, out=p)
+            dot *= 2
+            np.rint(dot, out=dot)
+            np.clip(dot, -(BUCKETS // 2), BUCKETS // 2, out=dot)
+            bucket = dot.astype(np.int64).reshape(m, -1)
+            bucket += rows * BUCKETS + BUCKETS // 2
+            bucket = bucket.reshape(-1)
+            rate = (hits[:m] / (hits[:m] + hits[:m, ::-1])).astype(np.float32)
+            final = rate.reshape(-1).take(bucket)
+            final += p
+            final *= np.float32(0.5)
+            np.clip(final, np.float32(1 / 65536), np.float32(1 - 1 / 65536), out=final)
+            np.log(final, out=final)
+            lengths = final.reshape(m, -1)
+            if costs is not None:
+                there = at != beyond
+                costs[at[there]] = -lengths.reshape(m, BLOCK, 8).sum(axis=2, dtype=np.float64)[there] / np.log(2)
+            bits[:full] -= lengths[:full].sum(axis=1, dtype=np.float64)
+            for r in range(full, m):  # a text's last block
+                bits[r] -= lengths[r, : (int(sizes[r]) - begin) * 8].sum(dtype=np.float64)
+            if not full:
+                continue
+            # What the block teaches the texts that go on.
+            z = full * BLOCK * 8
+            hits[:full] += np.bincount(bucket[:z], minlength=full * BUCKETS).reshape(full, BUCKETS)
+            error = np.subtract(np.float32(RATE), p[:z] * np.float32(RATE))
+            gates = (g[:full, None, :] == np.arange(GATES, dtype=np.uint8)[:, None]).astype(np.float32)
+            for i in range(k):
+                step = np.multiply(x[i, :z], error).reshape(full, BLOCK, 8)
+                weights[i, : full * GATES] += np.matmul(gates, step).reshape(-1, 8)
+        return bits / np.log(2)
+
+
+def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray, costs: np.ndarray | None = None) -> np.ndarray:
+    """Bits of each text, each coded with weights of its own. costs: gets the bits of each byte of data."""
+    sizes = np.diff(offsets)
     order = np.argsort(-sizes, kind="stable")
-    starts, sizes = offsets[:-1][order], sizes[order]
-    n = len(order)
-    weights = np.full((k, n * GATES, 8), FIRST, np.float32)
-    hits = np.tile(_START, (n, 1))
-    bits = np.zeros(n)
-    inside = np.arange(BLOCK)
-    for begin in range(0, int(sizes[0]), BLOCK):
-        m = int(np.searchsorted(-sizes, -begin, side="left"))  # texts longer than begin
-        full = int(np.searchsorted(-sizes, -(begin + BLOCK), side="right"))
-        at = starts[:m, None] + (begin + inside)
-        if full < m:
-            at[full:][begin + inside >= sizes[full:m, None]] = len(data)
-        rows = np.arange(m, dtype=np.int64)[:, None]
-        g = gate[at]
-        chosen = (rows * GATES + g).reshape(-1)
-        x = np.empty((k, m * BLOCK * 8), np.float32)
-        dot = np.zeros(m * BLOCK * 8, np.float32)
-        for i in range(k):
-            np.multiply(path[i].take(at.reshape(-1)).view(np.int8), _SCALE, out=x[i], casting="unsafe")
-            w = weights[i].take(chosen, axis=0).reshape(-1)
-            w *= x[i]
-            dot += w
-        np.clip(dot, -20, 20, out=dot)
-        p = np.negative(dot)
-        np.exp(p, out=p)
-        p += 1
-        np.reciprocal(p, out=p)
-        dot *= 2
-        dot += BUCKETS // 2
-        np.clip(dot, 0, BUCKETS - 1, out=dot)
-        bucket = dot.astype(np.int64).reshape(m, -1)
-        bucket += rows * BUCKETS
-        bucket = bucket.reshape(-1)
-        rate = (hits[:m] / (hits[:m] + hits[:m, ::-1])).astype(np.float32)
-        final = rate.reshape(-1).take(bucket)
-        final += p
-        final *= np.float32(0.5)
-        np.maximum(final, np.float32(1 / 65536), out=final)
-        np.log(final, out=final)
-        lengths = final.reshape(m, -1)
-        bits[:full] -= lengths[:full].sum(axis=1, dtype=np.float64)
-        for r in range(full, m):  # a text's last block
-            bits[r] -= lengths[r, : (int(sizes[r]) - begin) * 8].sum(dtype=np.float64)
-        if not full:
-            continue
-        # What the block teaches the texts that go on.
-        z = full * BLOCK * 8
-        hits[:full] += np.bincount(bucket[:z], minlength=full * BUCKETS).reshape(full, BUCKETS)
-        error = np.subtract(np.float32(RATE), p[:z] * np.float32(RATE))
-        gates = (g[:full, None, :] == np.arange(GATES, dtype=np.uint8)[:, None]).astype(np.float32)
-        for i in range(k):
-            step = np.multiply(x[i, :z], error).reshape(full, BLOCK, 8)
-            weights[i, : full * GATES] += np.matmul(gates, step).reshape(-1, 8)
-    out[order] = bits / np.log(2)
+    coder, out, done = Coder(len(sizes)), np.zeros(len(sizes)), 0
+    for part, cuts, skip, _ in pieces(data, offsets):
+        path, gate = predictions(model, part, cuts)
+        own = np.zeros(len(part)) if costs is not None else None
+        out[order] += coder.code(path, gate, cuts[:-1][order] + skip, np.diff(cuts)[order] - skip, own)
+        if costs is not None:
+            costs[done : done + len(part) - skip] = own[skip:]
+            done += len(part) - skip
     return out
 
 
-def scored(docs: DataFrame, model: Model | None = None, bits: int | None = None) -> DataFrame:
+def scored(docs: DataFrame, corpus: DataFrame | None = None, bits: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, total_bits, bits_per_byte) for every document, over its whole text.
 
-    Without a model, that of all documents is used. Null and empty texts have 0 bytes, 0 bits and a null ratio. Repeated
-    rows are counted, scored and listed each, all alike; a null doc_id is listed as null. Further columns are ignored; an
-    empty table gives no row. `bits`, once the size of the table of slots, is taken but has no effect.
+    Counts come from `corpus` (columns doc_id and text; no part of it is left out), or from the documents themselves,
+    where each is predicted from all parts but its own. Null and empty texts have 0 bytes, 0 bits and a null ratio. Very
+    long texts are coded in pieces, with the same result. Repeated rows fall into one part: they don't teach each other,
+    but others, and are listed each, all alike. Equal texts under other ids teach each other, unless they fall into one
+    part. A null doc_id is listed as null. Further columns are ignored; an empty table gives no row. `bits`, once the
+    size of a table of slots, is taken but has no effect.
     """
-    common.small_batches(docs.sparkSession)
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, total_bits double, bits_per_byte double"
+    teachers = docs if corpus is None else corpus
+    size = teachers.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(FOLDS, -(-size // PART_BYTES))
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
+    taught = teachers.filter("length(text) > 0").select("text", part.alias("part"))
+    # With another corpus the documents only ask: their parts have numbers below 0, and what they have counts nothing.
+    spread = docs.select("doc_id", "text", (part if corpus is None else -1 - part).alias("part"))
+    counted = taught.groupBy("part").applyInArrow(_count(parts), _COUNTS_SQL)
+    if corpus is not None:
+        asking = spread.filter("length(text) > 0").select("text", "part").groupBy("part").applyInArrow(_count(parts), _COUNTS_SQL)
+        counted = counted.unionByName(asking)
+    known = counted.groupBy("bucket").applyInArrow(_add_up, _COUNTS_SQL)
 
-    def run(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        model, out = Model.of(known), []
+        for batch in texts.select(["doc_id", "text"]).combine_chunks().to_batches():
             for part in common.slices(batch, 1, GROUP_BYTES):
                 data, offsets = text_bytes(part.column(1))
                 total = code_lengths(model, data, offsets)
                 n = np.diff(offsets)
                 ratio = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
-                yield pa.record_batch([part.column(0), pa.array(n.astype(np.int64)), pa.array(total), ratio], names=["doc_id", "n_bytes", "total_bits", "bits_per_byte"])
-
-    if model is not None:
-        shared = spark.sparkContext.broadcast(model)
-        return docs.select("doc_id", "text").mapInArrow(lambda batches: run(batches, shared.value), schema)
-    spread, parts = _parts(docs)
-
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        out = list(run(texts.select(["doc_id", "text"]).combine_chunks().to_batches(), _model(known)))
+                out.append(pa.record_batch([part.column(0), pa.array(n.astype(np.int64)), pa.array(total), ratio], names=["doc_id", "n_bytes", "total_bits", "bits_per_byte"]))
         if out:
             return pa.Table.from_batches(out)
         return pa.table({"doc_id": pa.array([], texts.schema.field("doc_id").type), "n_bytes": pa.array([], pa.int64()), "total_bits": pa.array([], pa.float64()), "bits_per_byte": pa.array([], pa.float64())})
 
-    return spread.groupBy("part").cogroup(_looked_up(spread, parts, False).groupBy("part")).applyInArrow(score, schema)
+    return spread.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(score, schema)
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
