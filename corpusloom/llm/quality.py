@@ -1,8 +1,8 @@
 """Document quality by weak supervision.
 
 Each rule votes good (1), bad (-1) or abstains (0). Documents are grouped by their pattern of votes, which is all that
-expectation-maximisation needs: it estimates how often each rule is right on good and on bad documents, and the share
-of good ones, over all documents. The posterior probability of being good then follows from a document's votes by a sum
+expectation-maximisation needs: it estimates how often each rule is right on good documents and on each kind of bad
+ones (junk of one kind breaks other rules than junk of another), and their shares, over all documents. The posterior probability of being good then follows from a document's votes by a sum
 of log odds, and replaces a filter that every rule must pass.
 """
 
@@ -19,6 +19,8 @@ from corpusloom.llm import common
 
 #: Posterior probability from which a document is kept; rounds of expectation-maximisation at most.
 KEEP, ROUNDS = 0.5, 200
+#: Kinds of bad documents at most.
+KINDS = 6
 
 #: rule: (feature, votes bad below, votes bad above, votes good from, votes good to, words that it needs).
 RULES: dict[str, tuple[str, float, float, float, float, int]] = {
@@ -32,7 +34,7 @@ RULES: dict[str, tuple[str, float, float, float, float, int]] = {
     "sentences": ("end_share", 0.02, 2, 0.05, 0.5, 30),
     "digits": ("digit_share", -1, 0.20, 0, 0.05, 3),
     "same_lines": ("same_line_share", -1, 0.30, 0, 0.0, 30),
-    "variety": ("variety", 0.10, 2, 0.25, 1, 30),
+    "variety": ("variety", 0.15, float("inf"), 0.25, float("inf"), 30),
     "marks": ("mark_share", -1, 0.9, 0, 0.4, 5),
 }
 NAMES = list(RULES)
@@ -136,50 +138,118 @@ def unpacked(patterns: np.ndarray) -> np.ndarray:
     return (patterns[:, None] // _PLACES % 3 - 1).astype(np.int8)
 
 
-def expectation_maximisation(v: np.ndarray, n: np.ndarray, rounds: int = ROUNDS, prior: float = 4.0) -> tuple[float, np.ndarray, np.ndarray]:
-    """(share of good, P(vote good | good), P(vote bad | bad)) from distinct vote patterns and how many documents have each.
+def _votes_of(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (v == 1).astype(float), (v == -1).astype(float)
 
-    Abstaining says nothing. `prior` pseudo-votes of which 80 % are right keep a rule that hardly votes near that, and
-    settle which class is the good one.
-    """
-    good, right_good, right_bad = 0.8, np.full(v.shape[1], 0.8), np.full(v.shape[1], 0.8)
-    up, down = (v == 1).astype(float), (v == -1).astype(float)
+
+def _logs(v: np.ndarray, good: float, right_good: np.ndarray, right_bad: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Log likelihood of each vote pattern with each class: the good ones, then the kinds of bad ones."""
+    up, down = _votes_of(v)
+    of_good = np.log(good) + up @ np.log(right_good) + down @ np.log(1 - right_good)
+    of_bad = [np.log((1 - good) * s) + up @ np.log(1 - r) + down @ np.log(r) for s, r in zip(shares, right_bad)]
+    return np.stack([of_good, *of_bad], axis=1)
+
+
+def _maximise(v: np.ndarray, n: np.ndarray, p: np.ndarray, rounds: int, prior: float) -> tuple[float, tuple]:
+    """(log likelihood, model) from first probabilities of the classes, patterns x classes."""
+    up, down = _votes_of(v)
     before = -np.inf
     for _ in range(rounds):
-        p = posterior(v, good, right_good, right_bad)
-        a, b = n * p, n * (1 - p)
-        good = float((a.sum() + 0.8 * prior) / (n.sum() + prior))
-        right_good = (a @ up + 0.8 * prior) / (a @ (up + down) + prior)
-        right_bad = (b @ down + 0.8 * prior) / (b @ (up + down) + prior)
-        score = float(good + right_good.sum() + right_bad.sum())
-        if abs(score - before) < 1e-10:
+        w = n[:, None] * p
+        total = w.sum(axis=0)
+        good = float((total[0] + 0.8 * prior) / (total.sum() + prior))
+        shares = (total[1:] + 1) / (total[1:] + 1).sum()
+        right_good = (w[:, 0] @ up + 0.8 * prior) / (w[:, 0] @ (up + down) + prior)
+        right_bad = (w[:, 1:].T @ down + 0.5 * prior) / (w[:, 1:].T @ (up + down) + prior)
+        # Better than chance: a vote never speaks for the other class.
+        right_bad = np.clip(np.maximum(right_bad, 1 - right_good + 1e-4), 1e-6, 1 - 1e-6)
+        model = good, np.clip(right_good, 1e-6, 1 - 1e-6), right_bad, shares
+        logs = _logs(v, *model)
+        each = np.logaddexp.reduce(logs, axis=1)
+        p = np.exp(logs - each[:, None])
+        now = float(n @ each)
+        if abs(now - before) <= 1e-10 * abs(now):
             break
-        before = score
-    return good, right_good, right_bad
+        before = now
+    return now, model
+
+
+def _starts(v: np.ndarray, n: np.ndarray, kinds: int) -> Iterator[np.ndarray]:
+    """First probabilities of the classes for 1 kind of bad documents up to `kinds`: a bad vote makes a document bad, of the kind of the most frequent rule that says so."""
+    down = v == -1
+    left, seeds = n * down.any(axis=1), []
+    while len(seeds) < kinds and left.sum() >= max(3, 1e-4 * n.sum()):
+        seeds.append(int((left @ down).argmax()))
+        left = left * ~down[:, seeds[-1]]
+    for m in range(1, len(seeds) + 1):
+        p = np.zeros((len(v), 1 + m))
+        p[:, 0] = 0.9
+        kind = np.full(len(v), -1)
+        for j in range(m)[::-1]:
+            kind[down[:, seeds[j]]] = j
+        kind[down.any(axis=1) & (kind < 0)] = 0
+        p[kind >= 0, 0] = 0.1
+        p[:, 1:] = (1 - p[:, :1]) * 0.1 / m
+        p[kind >= 0, 1 + kind[kind >= 0]] += (1 - p[kind >= 0, 0]) * 0.9
+        yield p / p.sum(axis=1, keepdims=True)
+
+
+def mixture(v: np.ndarray, n: np.ndarray, kinds: int = KINDS, rounds: int = ROUNDS, prior: float = 4.0) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(share of good, P(vote good | good) by rule, P(vote bad | bad) by kind and rule, shares of the kinds) from distinct vote patterns and how many documents have each.
+
+    Bad documents are of several kinds, each of which breaks rules of its own; as many kinds are taken, `kinds` at most,
+    as the likelihood pays for (by Akaike's criterion), and each must have a rule that mostly votes
+    bad. Abstaining says nothing. `prior` pseudo-votes keep a rule that hardly votes near 0.8 (good) and 0.5 (bad).
+    """
+    best = None
+    for p in _starts(v, n, kinds):
+        likelihood, model = _maximise(v, n, p, rounds, prior)
+        used = p.shape[1] - 1
+        score = likelihood - used * (v.shape[1] + 1)
+        if (best is None or score > best[0]) and (used == 1 or (model[2].max(axis=1) >= 0.5).all()):
+            best = score, model
+    if best is None:  # no bad vote at all
+        m = v.shape[1]
+        return 1 - 1e-6, np.full(m, 0.8), np.full((1, m), 0.5), np.ones(1)
+    return best[1]
+
+
+def expectation_maximisation(v: np.ndarray, n: np.ndarray, rounds: int = ROUNDS, prior: float = 4.0) -> tuple[float, np.ndarray, np.ndarray]:
+    """mixture() of one kind: (share of good, P(vote good | good), P(vote bad | bad)). Of three starts (a bad vote, two, or more bad than good ones make a document bad) the likeliest end counts."""
+    bad, many = (v == -1).sum(axis=1), (v == 1).sum(axis=1)
+    firsts = [np.where(x, 0.1, 0.9) for x in (bad >= 1, bad >= 2, bad > many)]
+    _, model = max((_maximise(v, n, np.stack([p, 1 - p], axis=1), rounds, prior) for p in firsts), key=lambda x: x[0])
+    return model[0], model[1], model[2][0]
 
 
-def weights(good: float, right_good: np.ndarray, right_bad: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log odds of being good: at no vote, added by a good vote, added by a bad one."""
-    return float(np.log(good / (1 - good))), np.log(right_good / (1 - right_bad)), np.log((1 - right_good) / right_bad)
+def weights(good: float, right_good: np.ndarray, right_bad: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log odds of being good against each kind of bad: at no vote, added by a good vote of each rule, added by a bad one."""
+    return np.log(good / ((1 - good) * shares)), np.log(right_good / (1 - right_bad)), np.log((1 - right_good) / right_bad)
 
 
-def posterior(v: np.ndarray, good: float, right_good: np.ndarray, right_bad: np.ndarray) -> np.ndarray:
-    base, up, down = weights(good, right_good, right_bad)
-    return 1 / (1 + np.exp(-(base + (v == 1) @ up + (v == -1) @ down)))
+def posterior(v: np.ndarray, good: float, right_good: np.ndarray, right_bad: np.ndarray, shares: np.ndarray | None = None) -> np.ndarray:
+    right_bad = np.atleast_2d(right_bad)
+    base, up, down = weights(good, right_good, right_bad, np.ones(1) if shares is None else shares)
+    odds = base + (v == 1) @ up.T + (v == -1) @ down.T
+    return 1 / (1 + np.exp(-odds).sum(axis=1))
 
 
-def fit(patterns: DataFrame) -> tuple[float, np.ndarray, np.ndarray]:
+def fit(patterns: DataFrame) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """mixture() over all documents: what is collected is one row a pattern, 3 ** 12 at most."""
     counted = patterns.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toPandas()
-    return expectation_maximisation(unpacked(counted["pattern"].to_numpy(np.int64)), counted["n"].to_numpy(float))
+    return mixture(unpacked(counted["pattern"].to_numpy(np.int64)), counted["n"].to_numpy(float))
 
 
-def _posterior(pattern: Column, model: tuple[float, np.ndarray, np.ndarray]) -> Column:
+def _posterior(pattern: Column, model: tuple[float, np.ndarray, np.ndarray, np.ndarray]) -> Column:
     base, up, down = weights(*model)
-    total = F.lit(base)
-    for k in range(len(RULES)):
-        vote = F.expr(f"(pattern div {int(_PLACES[k])}) % 3")
-        total = total + F.when(vote == 2, F.lit(float(up[k]))).when(vote == 0, F.lit(float(down[k]))).otherwise(F.lit(0.0))
-    return 1 / (1 + F.exp(-total))
+    odds = F.lit(0.0)
+    for j in range(len(base)):
+        total = F.lit(float(base[j]))
+        for k in range(len(RULES)):
+            vote = F.expr(f"(pattern div {int(_PLACES[k])}) % 3")
+            total = total + F.when(vote == 2, F.lit(float(up[j, k]))).when(vote == 0, F.lit(float(down[j, k]))).otherwise(F.lit(0.0))
+        odds = odds + F.exp(-total)
+    return 1 / (1 + odds)
 
 
 def quality(docs: DataFrame, keep: float = KEEP) -> DataFrame:
