@@ -42,31 +42,40 @@ DELTA, RATE, FIRST, BUCKETS, TRUST = 0.4, 0.002, 0.35, 33, 16.0
 #: Gates: none or the shortest order known, up to the middle, the longest, a match. Log odds of a match, in sixteenths, and the first value of its weight.
 GATES, MATCH_ODDS, MATCH_FIRST = 4, 80, 0.6
 #: Bytes of an anchor; zero bits of its hash (one position in 2**ANCHOR_BITS is an anchor); bytes that are expected after it.
-ANCHOR, ANCHOR_BITS, FOLLOWER = 24, 5, 48
-#: Bytes of text that are coded side by side; a longer text is coded in pieces of that size.
-GROUP_BYTES = 2 << 20
-#: Bytes of text of a part, about, and parts at least.
-PART_BYTES, FOLDS = 8 << 20, 16
+ANCHOR, ANCHOR_BITS, FOLLOWER = 24, 6, 64
+#: Bytes of text that are coded side by side, and that are counted at once; a longer text is taken in pieces of GROUP_BYTES.
+GROUP_BYTES, COUNT_BYTES = 1 << 20, 1 << 19
+#: Bytes of text of a part, about, and parts at least; buckets of contexts for each part.
+PART_BYTES, FOLDS, SPLIT = 16 << 20, 8, 2
 _SCALE = np.float32(1 / 16)
 
 
-def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """For each predictor its number and, for each byte, the key of number, context and the byte itself, as uint64. Bytes before a text count as 0."""
+def windows(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each byte a word of it (lowest) and the 7 bytes before it; bytes before a text count as 0."""
     n = len(data)
+    padded = np.zeros(n + 7, np.uint8)
+    padded[7:] = data
+    out = np.ndarray((n,), ">u8", padded, strides=(1,)).astype(np.uint64)
     begin = offsets[:-1][np.diff(offsets) > 0]
     end = np.append(begin[1:], n)
-    context = data.astype(np.uint64)  # the byte itself lowest, the one before it next
-    previous = np.empty(n, np.uint8)
-    for k in range(1, ORDERS[-1] + 1):
-        previous[:k] = 0
-        previous[k:] = data[: max(0, n - k)]
-        for j in range(k):  # not beyond the beginning of a text
-            at = begin + j
-            previous[at[at < end]] = 0
-        context |= previous.astype(np.uint64) << np.uint64(8 * k)
-        if k in ORDERS:
-            i = ORDERS.index(k)
-            yield i, context | np.uint64(i << 56)
+    for j in range(min(7, n)):  # not beyond the beginning of a text
+        at = begin + j
+        out[at[at < end]] &= np.uint64((1 << (8 * (j + 1))) - 1)
+    return out
+
+
+def _key(i: int, window: np.ndarray) -> np.ndarray:
+    """The key of a predictor's number, context and byte."""
+    key = window & np.uint64((1 << (8 * ORDERS[i] + 8)) - 1)
+    key |= np.uint64(i << 56)
+    return key
+
+
+def contexts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each predictor its number and, for each byte, the key of number, context and the byte itself, as uint64."""
+    window = windows(data, offsets)
+    for i in range(len(ORDERS)):
+        yield i, _key(i, window)
 
 
 _SPREAD = common.mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -150,30 +159,34 @@ def _unpacked(blob: bytes, n: int) -> np.ndarray:
 
 
 def _squeezed(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x), "zstd", asbytes=True)
+    return pa.Codec("zstd", compression_level=3).compress(np.ascontiguousarray(x).data.cast("B") if x.size else b"", asbytes=True)
 
 
 def distinct(column: pa.ChunkedArray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
     """Of a column of texts: the distinct keys, ascending, and how often each occurs; the distinct anchors and the least follower of each."""
-    have: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in ORDERS]
+    have: list[tuple[np.ndarray, np.ndarray]] = []
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
     def merged(parts):
         return _counted(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])) if len(parts) > 1 else parts[0]
 
+    longest = len(ORDERS) - 1
     for batch in pa.table({"text": column}).to_batches():
-        for part in common.slices(batch, 0):
+        for part in common.slices(batch, 0, COUNT_BYTES):
             for data, offsets, skip, more in pieces(*text_bytes(part.column(0))):
                 at, anchor = anchors(data, offsets)
                 # What follows an anchor may lie beyond a run of a long text: then it is taken with the next run.
                 ready = at <= (len(data) - FOLLOWER if more else len(data))
                 found.append((anchor[ready], followers(data, offsets, at[ready])))
-                for i, key in contexts(data, offsets):
-                    have[i].append(_counted(key[skip:]))
-                    if len(have[i]) == 8:
-                        have[i] = [merged(have[i])]
-    got = [merged(parts) for parts in have if parts]
-    keys = (np.concatenate([k for k, _ in got]), np.concatenate([n for _, n in got])) if got else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                have.append(_counted(_key(longest, windows(data, offsets)[skip:])))
+                if len(have) == 16:
+                    have = [merged(have)]
+    # The counts of the longest contexts are those of the shorter ones, added up.
+    got = [merged(have)] if have else [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for i in range(longest)[::-1]:
+        key, n = got[0]
+        got.insert(0, _counted(_key(i, key), n))
+    keys = np.concatenate([k for k, _ in got]), np.concatenate([n for _, n in got])
     if not found:
         return keys, (np.zeros(0, np.uint64), np.zeros((0, FOLLOWER), np.uint8))
     anchor, after = np.concatenate([k for k, _ in found]), np.concatenate([f for _, f in found])
@@ -268,7 +281,7 @@ def _add_up(table: pa.Table) -> pa.Table:
 
 
 class Model:
-    """What a part got: open-addressed tables, one a predictor, of keys and the log odds of their bytes' bits (0 odds where nothing is known), and what follows anchors. A table has twice as many places as keys or more, and no key is left out."""
+    """What a part got: open-addressed tables, one a predictor, of keys and the log odds of their bytes' bits (0 odds where nothing is known), and what follows anchors. A table has a third more places than keys or more, and no key is left out."""
 
     def __init__(self, key: np.ndarray, path: np.ndarray, anchor: np.ndarray, after: np.ndarray):
         order = (key >> np.uint64(56)).astype(np.int64)
@@ -297,7 +310,7 @@ class Model:
         return h.view(np.int64)
 
     def _table(self, key: np.ndarray, path: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
-        bits = max(4, (2 * len(key)).bit_length())
+        bits = max(4, (len(key) * 3 // 2).bit_length())
         keys, words = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << bits, np.int64)
         at, left = self._place(key, bits), np.arange(len(key))
         taken = np.zeros(1 << bits, bool)
@@ -475,13 +488,13 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None, bits: int | None =
     size = teachers.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(FOLDS, -(-size // PART_BYTES))
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
-    taught = teachers.filter("length(text) > 0").select("text", part.alias("part"))
     # With another corpus the documents only ask: their parts have numbers below 0, and what they have counts nothing.
     spread = docs.select("doc_id", "text", (part if corpus is None else -1 - part).alias("part"))
-    counted = taught.groupBy("part").applyInArrow(_count(parts), _COUNTS_SQL)
+    # Counting and coding group the same columns by the same key, so that texts are shuffled once.
+    counted = spread.groupBy("part").applyInArrow(_count(parts * SPLIT), _COUNTS_SQL)
     if corpus is not None:
-        asking = spread.filter("length(text) > 0").select("text", "part").groupBy("part").applyInArrow(_count(parts), _COUNTS_SQL)
-        counted = counted.unionByName(asking)
+        taught = corpus.select("doc_id", "text", part.alias("part"))
+        counted = counted.unionByName(taught.groupBy("part").applyInArrow(_count(parts * SPLIT), _COUNTS_SQL))
     known = counted.groupBy("bucket").applyInArrow(_add_up, _COUNTS_SQL)
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
