@@ -104,3 +104,69 @@ def test_learned_words_held_out(spark, make, corpus):
 def test_no_labels(spark, make):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert t.fit(make(["You idiot"]), labels).stems == {}
+
+
+CLEAN = """The trash was collected. This garbage collector is fast. You should kill the process. They will beat the eggs.
+The morning train to work was closed. The clown performed for the children. We will crush the grapes tomorrow.
+This program is distributed in the hope that it will be useful, but without any warranty. You may lose your data.
+In no event shall the authors be liable for any claim. Set the path to the working directory. The tradition is old.
+Your trash was collected. He will shoot the film in May. Burn the disc and close the tray. The students discussed it. I do not think you are an idiot."""
+
+
+def test_clean_prose_stays(make):
+    for clause in CLEAN.replace("\n", " ").split(". "):
+        assert worst(clause) < t.FLOOR, clause
+    assert t.toxic_documents(make([CLEAN, CLEAN * 20])).count() == 0
+
+
+def test_weak_words_need_an_aim_or_company(make):
+    assert worst("A stupid mistake.") < t.THRESHOLD <= worst("You are stupid.")
+    assert worst("Such garbage!") < t.THRESHOLD <= worst("You are garbage.")
+    assert worst("I will kill you.") > t.THRESHOLD > worst("I will kill the process.")
+    rows = ["A stupid mistake.", "A stupid mistake. A pathetic excuse.", "A stupid mistake. A pathetic excuse. " + "All is well here. " * 2000]
+    assert {r.doc_id for r in t.toxic_documents(make(rows)).collect()} == {1}
+
+
+def brute(text, lexicon):
+    """A document by the definition: its clauses one after the other, each through the chain of machines."""
+    import re
+
+    machines = [t.household(), t.negation(), t.reported(), t.target(), t.scoring()]
+    total = top = n = 0
+    for clause in re.split(r"[.!?;\n]", (text or "").lower()):
+        symbols = []
+        for w in re.findall(r"[^\W_]+", clause):
+            learned = any(w.startswith(s) for s in lexicon.stems)
+            symbols.append(lexicon.words.get(w, t.WEAK if learned else t.OTHER) or (t.WEAK if learned else t.OTHER))
+        score = 0.0
+        for m in machines:
+            symbols, w = m.run(symbols)
+            score += w
+        top = max(top, score)
+        if score >= t.FLOOR - 1e-9:
+            total, n = total + score, n + 1
+    words = len(re.findall(r"[^\W_]+", text or ""))
+    return (total, top, n) if top >= t.THRESHOLD - 1e-9 or total >= t.THRESHOLD + words / t.WORDS - 1e-9 else None
+
+
+def test_documents_like_brute_force(make):
+    rng = random.Random(11)
+    seeds = [w for ws in t.SEEDS.values() for w in ws]
+    lexicon = t.seeded()
+    lexicon.words["zorkel"], lexicon.stems["grumb"] = t.WEAK, 0.6
+    plain = ["river", "stone", "grumblix", "grumbly", "zorkel", "zorkels", "x1", "été", "42"]
+    rows = ["".join(rng.choice(rng.choice([seeds, plain, plain])) + rng.choice([" ", " ", " ", ", ", ". ", "!\n", "; "]) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    got = {r.doc_id: r for r in t.toxic_documents(make(rows), lexicon).collect()}
+    for i, row in enumerate(rows):
+        expected = brute(row, lexicon)
+        assert (i in got) == (expected is not None), row
+        if expected:
+            assert (got[i].score, got[i].worst_clause, got[i].n_clauses) == pytest.approx(expected), row
+            assert len(got[i].clauses) == got[i].n_clauses
+
+
+def test_learned_stems_have_forms():
+    counts = {"=grumbling": (9, 0), "=grumbled": (9, 0), "grumb": (18, 0), "grumbl": (18, 0), "=workable": (9, 0), "worka": (9, 0), "=pathway": (2, 9)}
+    words, stems = t.learn(counts, 40, 400)
+    assert stems == ["grumb"] and words == ["workable"]
+    assert not t.stems("Idiots work the path") & {"idiot", "=idiots", "work", "path"}
