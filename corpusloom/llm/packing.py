@@ -2,16 +2,19 @@
 
 Documents are spread over shards by a hash, each shard is packed by itself, and a bin holds at most CAPACITY tokens.
 Longer documents are cut into full sequences, which are bins of their own, and a rest that is packed. In a shard,
-best-fit decreasing gives the first incumbent. If that uses more bins than the tokens need at least, a
-branch-and-bound search goes on: the largest remaining piece opens a bin, the undominated fillings around it are
-enumerated (of two fillings in which each piece of one fits into the place of pieces of the other, only the better is
-tried), those with the least waste first, and a branch ends when its waste exceeds what an improvement could afford.
+best-fit decreasing gives the first incumbent. If that uses more bins than a lower bound says are needed, a
+branch-and-bound search goes on: the largest remaining piece opens a bin, the undominated fillings around it (of two
+fillings in which each piece of one fits into the place of pieces of the other, only the better is tried) are walked
+lazily, those with the least waste first, and a branch ends when its waste exceeds what an improvement could afford.
+No filling is left out by its number of pieces or its place in that order; what ends a search early is only the number
+of fillings looked at (NODES a shard), and then the incumbent stands.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +24,10 @@ from corpusloom.llm import common, tokencounts
 
 #: Tokens of a bin; documents of a shard, about; fillings the search of a shard may try before it keeps the incumbent.
 CAPACITY, SHARD_DOCS, NODES = 4096, 2048, 4000
-#: Fillings of one bin that are branched on.
-BRANCH = 12
+#: Bins opened last whose walks are kept; those of earlier ones are walked again when the search comes back to them.
+_KEPT = 64
+#: Further bins after which the first way down is finished best-fit, for an incumbent.
+_STRIDE = 8
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -45,68 +50,124 @@ def dominated(a: list[int], b: list[int]) -> bool:
     """Whether filling a is dominated by b: the pieces of a can be shared out among the pieces of b without overfilling one."""
     if sum(a) > sum(b):
         return False
-    rooms = sorted(b)
-    for x in sorted(a, reverse=True):
-        i = bisect.bisect_left(rooms, x)
-        if i == len(rooms):
-            return False
-        room = rooms.pop(i) - x
-        bisect.insort(rooms, room)
-    return True
-
-
-def fillings(free: list[int], left: Counter, room: int, most: int = BRANCH, deep: int = 6, steps: int = 400) -> list[list[int]]:
-    """Undominated ways to fill `room` from the ascending distinct sizes `free`, of which left[s] remain: least waste first, then fewer pieces."""
-    found: list[list[int]] = []
-    tried = 0
-
-    def grow(chosen: list[int], room: int, top: int) -> bool:
-        """Adds pieces no larger than the last; True when nothing better can come."""
-        nonlocal tried
-        i = bisect.bisect_right(free, min(room, top)) - 1
-        if i < 0 or len(chosen) == deep:
-            found.append(list(chosen))
-            return False
-        # A single piece that fits exactly dominates every other filling of the room.
-        if free[i] == room and left[room] > chosen.count(room):
-            found.append([*chosen, room])
-            return not chosen
-        any_more = False
-        while i >= 0:
-            s = free[i]
-            if left[s] > chosen.count(s):
-                tried += 1
-                any_more = True
-                if grow([*chosen, s], room - s, s):
-                    return True
-                if tried > steps:
-                    return True
-            i -= 1
-            if i >= 0 and any_more and len(found) >= most * 4:
-                break
-        if not any_more:
-            found.append(list(chosen))
+    a = sorted(a, reverse=True)
+
+    def share(i: int, rooms: list[int]) -> bool:
+        if i == len(a):
+            return True
+        at = bisect.bisect_left(rooms, a[i])
+        for k in range(at, len(rooms)):  # the tightest room first; of equal ones one is enough
+            if k > at and rooms[k] == rooms[k - 1]:
+                continue
+            rest = rooms[:k] + rooms[k + 1 :]
+            bisect.insort(rest, rooms[k] - a[i])
+            if share(i + 1, rest):
+                return True
         return False
 
-    grow([], room, room)
-    out: list[list[int]] = []
-    for f in sorted({tuple(f) for f in found}, key=lambda f: (-sum(f), len(f), [-x for x in f])):
-        if not any(dominated(list(f), g) for g in out):
-            out.append(list(f))
-            if len(out) == most:
-                break
-    return out or [[]]
+    return share(0, sorted(b))
+
+
+def least_bins(sizes: list[int], capacity: int) -> int:
+    """A lower bound on the bins (with Martello and Toth's L2: for each limit k, bins of pieces over half, and what pieces of k or more can't share with them)."""
+    sizes = sorted(sizes)
+    sums = [0]
+    for s in sizes:
+        sums.append(sums[-1] + s)
+    half = bisect.bisect_right(sizes, capacity // 2)
+    best = max(-(-sums[-1] // capacity), len(sizes) - half)
+    # Of pieces over 1 / (n + 1) of the capacity a bin has n at most.
+    for n in range(2, min(len(sizes), 64)):
+        best = max(best, -(-(len(sizes) - bisect.bisect_right(sizes, capacity // (n + 1))) // n))
+    for k in sorted({s for s in sizes[:half]}):
+        alone = bisect.bisect_right(sizes, capacity - k)  # from here on with room for less than k
+        middle = sums[max(alone, half)] - sums[half]
+        room = (max(alone, half) - half) * capacity - middle
+        rest = sums[half] - sums[bisect.bisect_left(sizes, k)]
+        best = max(best, len(sizes) - half + max(0, -(-(rest - room) // capacity)))
+    return best
+
+
+def exact_fillings(sizes: list[int], left: Counter, room: int, most_waste: int) -> Iterator[list[int]]:
+    """All ways to fill `room` from the ascending distinct `sizes`, of which left[s] remain, with `most_waste` or less: least waste first, then the larger pieces first.
+
+    Bit t of reach[i] tells whether pieces of the i smallest sizes can add up to t, so every step leads to a filling.
+    """
+    sizes = sizes[: bisect.bisect_right(sizes, room)]
+    mask = (1 << (room + 1)) - 1
+    reach = [1]
+    for s in sizes:
+        bits = reach[-1]
+        n = min(left[s], room // s)
+        k = 1
+        while n > 0:  # 1, 2, 4 ... copies at once
+            k = min(k, n)
+            bits |= (bits << (s * k)) & mask
+            n -= k
+            k *= 2
+        reach.append(bits)
+
+    def walk(target: int, top: int, used: int) -> Iterator[list[int]]:
+        """Fillings of just `target` by sizes up to the index `top`, of which `used` are taken."""
+        if not target:
+            yield []
+            return
+        for i in range(min(top, bisect.bisect_right(sizes, target) - 1), -1, -1):
+            s = sizes[i]
+            copies = left[s] - (used if i == top else 0)
+            if copies <= 0:
+                continue
+            rest = target - s
+            if any(reach[i] >> (rest - m * s) & 1 for m in range(min(copies - 1, rest // s) + 1)):
+                for more in walk(rest, i, (used if i == top else 0) + 1):
+                    yield [s, *more]
+
+    for waste in range(min(most_waste, room) + 1):
+        if reach[-1] >> (room - waste) & 1:
+            yield from walk(room - waste, len(sizes) - 1, 0)
+
+
+def fillings(sizes: list[int], left: Counter, room: int, most_waste: int | None = None) -> Iterator[list[int] | None]:
+    """The undominated ones of exact_fillings(), in its order; None for each one that is passed over. What dominates a filling comes before it in that order."""
+    most_waste = room if most_waste is None else most_waste
+    if left[room] > 0:  # a piece that fits exactly dominates all else
+        yield [room]
+        return
+    tried: list[list[int]] = []
+    for f in exact_fillings(sizes, left, room, most_waste):
+        if any(dominated(f, g) for g in tried):
+            yield None
+        else:
+            tried.append(f)
+            yield f
+
+
+class _Bin:
+    """An opened bin of the search: its largest piece, the waste before it, and the walk over its fillings."""
+
+    def __init__(self, piece: int, before: int):
+        self.piece, self.before, self.chosen = piece, before, None
+        self.walk: Iterator | None = None
+        self.seen = 0
+
+    def following(self, sizes: list[int], left: Counter, room: int, afford: int) -> Iterator[list[int] | None]:
+        """The walk, begun again where it was dropped. The affordable waste only shrinks, so the order stays."""
+        if self.walk is None:
+            self.walk = fillings(sizes, left, room, afford)
+            for _ in range(self.seen):
+                next(self.walk, None)
+        return self.walk
 
 
 def pack(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list[list[int]]:
     """Bins of sizes (all positive, none over the capacity): bin completion with the best-fit solution as the incumbent."""
     incumbent = best_fit(sizes, capacity)
     total = sum(sizes)
-    lower = max(-(-total // capacity), sum(1 for s in sizes if 2 * s > capacity))
+    lower = least_bins(sizes, capacity)
     left = Counter(sizes)
     free = sorted(left)
     spent = 0
-    stack: list[list] = []  # [opening piece, fillings not yet tried, chosen filling, waste before]
+    stack: list[_Bin] = []
 
     def take(pieces: list[int]) -> None:
         for s in pieces:
@@ -121,36 +182,52 @@ def pack(sizes: list[int], capacity: int = CAPACITY, nodes: int = NODES) -> list
                 bisect.insort(free, s)
             left[s] += 1
 
-    waste = 0
+    def finish() -> None:
+        """The bins so far, with the rest packed best-fit, are the incumbent if they are fewer."""
+        nonlocal incumbent, spent
+        spent += 1
+        rest = best_fit([s for s in free for _ in range(left[s])], capacity)
+        if len(stack) + len(rest) < len(incumbent):
+            incumbent = [[b.piece, *b.chosen] for b in stack] + rest
+
+    waste = deepest = 0
     while len(incumbent) > lower and spent < nodes:
-        afford = (len(incumbent) - 1) * capacity - total
-        if free and waste <= afford:
-            big = free[-1]
-            take([big])
-            stack.append([big, fillings(free, left, capacity - big)[::-1], None, waste])
-        elif not free:
-            incumbent = [[f[0], *f[2]] for f in stack]
+        if len(stack) >= deepest + _STRIDE:
+            deepest = len(stack)
+            finish()
             if len(incumbent) <= lower:
                 break
-        # Undo the last choice, or go further back, until a filling is left to try that can still improve.
-        afford = (len(incumbent) - 1) * capacity - total
-        moved = False
-        while stack:
-            big, options, chosen, before = stack[-1]
-            if chosen is not None:
-                give(chosen)
-                stack[-1][2] = None
-            if options and before + capacity - big - sum(options[-1]) <= afford:
-                pick = options.pop()
+        if free:
+            stack.append(_Bin(free[-1], waste))
+            take([free[-1]])
+            if len(stack) > _KEPT:
+                stack[-_KEPT - 1].walk = None
+        else:
+            incumbent = [[b.piece, *b.chosen] for b in stack]
+            if len(incumbent) <= lower:
+                break
+        # The next filling of the bin opened last, or, when it has none that can still improve, of an earlier one.
+        while stack and spent < nodes:
+            b = stack[-1]
+            if b.chosen is not None:
+                give(b.chosen)
+                b.chosen = None
+            room = capacity - b.piece
+            afford = (len(incumbent) - 1) * capacity - total - b.before
+            pick = None
+            if afford >= 0:
+                for pick in b.following(free, left, room, afford):
+                    b.seen += 1
+                    spent += 1
+                    if pick is not None or spent >= nodes:
+                        break
+            if pick is not None and room - sum(pick) <= afford:
                 take(pick)
-                stack[-1][2] = pick
-                waste = before + capacity - big - sum(pick)
-                spent += 1
-                moved = True
+                b.chosen, waste = pick, b.before + room - sum(pick)
                 break
-            give([big])
+            give([b.piece])
             stack.pop()
-        if not moved:
+        else:
             break
     return incumbent
 

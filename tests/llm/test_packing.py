@@ -83,3 +83,51 @@ def test_round_trip(make, corpus):
     assert len(bins) <= 1.1 * total / 256 + len({s for s, _ in bins})
     again = packing.pack_documents(make(rows), capacity=256, shard_docs=20).collect()
     assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
+def fits(a, b):
+    """Whether the pieces of a can be put into rooms b, by trying all."""
+    if not a:
+        return True
+    return any(fits(a[1:], b[:k] + [b[k] - a[0]] + b[k + 1 :]) for k in range(len(b)) if b[k] >= a[0])
+
+
+def test_fillings_are_the_undominated_ones():
+    from collections import Counter
+
+    rng = random.Random(5)
+    for _ in range(300):
+        left = Counter(rng.randint(1, 60) for _ in range(rng.randint(1, 9)))
+        room, pieces = rng.randint(10, 150), sorted(left.elements(), reverse=True)
+        every = {tuple(x for k, x in enumerate(pieces) if chosen >> k & 1) for chosen in range(1 << len(pieces))}
+        every = [f for f in every if sum(f) <= room]
+        expected = [f for f in every if not any(f != g and sum(g) >= sum(f) and fits(list(f), list(g)) for g in every)]
+        got = [tuple(f) for f in packing.fillings(sorted(left), left, room) if f is not None]
+        assert sorted(got) == sorted(expected)
+        assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
+def test_bins_of_many_pieces():
+    """Eight pieces and more a bin: the search comes to the lower bound where best-fit doesn't."""
+    rng = random.Random(6)
+    sizes = [rng.randint(480, 540) for _ in range(2048)]
+    got = packing.pack(sizes, 4096)
+    assert sorted(sum(got, [])) == sorted(sizes) and all(sum(b) <= 4096 for b in got)
+    assert len(got) == packing.least_bins(sizes, 4096) < len(packing.best_fit(sizes, 4096))
+
+
+def test_lower_bound_holds():
+    rng = random.Random(7)
+    for _ in range(200):
+        sizes = [rng.randint(1, 60) for _ in range(rng.randint(1, 10))]
+        assert -(-sum(sizes) // 60) <= packing.least_bins(sizes, 60) <= fewest(sizes, 60)
+
+
+def test_walks_begun_again(monkeypatch):
+    rng = random.Random(8)
+    for _ in range(40):
+        sizes = [rng.randint(1, 60) for _ in range(14)]
+        whole = packing.pack(sizes, 100, nodes=20_000)
+        monkeypatch.setattr(packing, "_KEPT", 1)
+        assert packing.pack(sizes, 100, nodes=20_000) == whole
+        monkeypatch.undo()
