@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into arrays at once in a Python worker.
 SLICE_BYTES = 2 << 20
@@ -30,12 +32,76 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage, and survives the loss of executors."""
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage, and survives the loss of executors.
+
+    The table stays until discard() or clean_up(), or until the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._corpusloom_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def keep_until_end(spark: SparkSession, path: str) -> str:
+    """Has clean_up() delete a folder, too."""
+    _written[path] = spark
+    return path
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables from which nothing is read any more."""
+    for df in tables:
+        path = getattr(df, "_corpusloom_path", None)
+        if path in _written:
+            _delete(_written.pop(path), path)
+
+
+def clean_up() -> None:
+    """Deletes all tables that this driver materialised; results that were not yet written can't be read then. Runs by itself when the driver ends."""
+    for path in list(_written):
+        spark = _written.pop(path)
+        if spark.sparkContext._jsc is not None:
+            _delete(spark, path)
+
+
+atexit.register(clean_up)
+
+
+def column(name: str) -> Column:
+    """The column of that very name, dots and back-quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Bytes up to which a table of a counted size is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df: DataFrame, size: int) -> DataFrame:
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 #: Rows of a batch of texts on its way to Python: small batches keep workers small.

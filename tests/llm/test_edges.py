@@ -25,7 +25,7 @@ def operators(spark, bench):
         "tokens": lambda d: tokencounts.token_counts(d),
         "quality": lambda d: quality.quality(d),
         "lines": lambda d: linededup.dedup_lines(d),
-        "lines_spared": lambda d: linededup.dedup_lines(d, spare_share=0.9),
+        "lines_spared": lambda d: linededup.dedup_lines(d, spare_copies=True),
     }
 
 
