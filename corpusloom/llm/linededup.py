@@ -99,15 +99,15 @@ def _without(text: pd.Series, positions: pd.Series) -> pd.Series:
 def copies(flagged: DataFrame, share: float = COPY_SHARE, overlap: float = COPY_OVERLAP) -> DataFrame:
     """(h, n) of the contents that are copies: of their distinct lines `share` or more are frequent, and with one other content (or another document with the same) they have `overlap` of the lines in common.
 
-    flagged: (doc_id, h, n, line_hash, bad) for each line. Contents that share one of KEYS least line hashes are
-    compared with the first such content and the one before them in order, so that a crowd costs a linear number of
-    comparisons; what isn't found so isn't a copy.
+    flagged: (doc_id, h, n, line_hash, bad) for each line. Contents that share the least line of one of three orders are
+    compared with the first and the last such content, so that a crowd costs a linear number of comparisons; what
+    isn't found so isn't a copy.
     """
     lines = flagged.groupBy("h", "n").agg(F.sort_array(F.collect_set("line_hash")).alias("lines"), F.sum(F.col("bad").cast("int")).alias("bad"), F.count("*").alias("all"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     likely = lines.filter(F.col("bad") >= F.col("all") * share)
     likely = common.materialise(likely.select("h", "n", "lines", (F.col("low") < F.col("high")).alias("twice")), "likely-copies")
     # The least line by three different orders; spread by it, contents of one sort with the same least line meet.
-    orders = F.array(*[F.array_min(F.transform("lines", lambda x, k=k: F.xxhash64(x, F.lit(k)))) for k in range(3)])
+    orders = F.array(*[F.expr(f"array_min(transform(lines, x -> xxhash64(x, {k})))") for k in range(3)])
     keyed = likely.select("h", "n", F.explode(orders).alias("key"))
     first = keyed.groupBy("key").agg(F.min(F.struct("h", "n")).alias("hub"), F.max(F.struct("h", "n")).alias("end"))
     met = keyed.join(first, "key").select("h", "n", F.explode(F.array("hub", "end")).alias("other")).filter("h <> other.h or n <> other.n").distinct()
