@@ -1,10 +1,12 @@
 """Language identification by nearest centroid.
 
 A text is a TF-IDF vector of hashed byte bigrams and trigrams of its lower-case UTF-8 form, (1 + log tf) * idf, of unit
-length. Document frequencies are counted over all documents. Each language has CLUSTERS centroids, found by spherical
-k-means over at most SAMPLE labelled documents of that language (the bound of the fit). A text gets the language of
-the centroid with the greatest cosine; it is rejected if that cosine is below the threshold for texts of its length,
-which is taken from how far training texts, cut to that length, lie from their own language.
+length. Document frequencies are counted over all documents. Each language has up to CLUSTERS centroids, found by
+spherical k-means over at most SAMPLE labelled documents of that language (the bound of the fit), one task a language;
+what is collected is a language's centroids and thresholds. Outlying training texts, and clusters of few texts (junk
+under a language's label), are left out. A text gets the language of the centroid with the greatest cosine; it is
+rejected if that cosine is below the threshold for texts of its length, which is taken from how far pieces of training
+texts of that length lie from their own language.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from corpusloom.llm import common
 
 #: Hash buckets; centroids a language; labelled documents a language that the fit reads at most.
 BUCKETS, CLUSTERS, SAMPLE = 4096, 4, 400
-#: Share of training texts of a length that may lie below its threshold, and how far below that quantile it is set.
-TAIL, SLACK = 0.002, 0.08
+#: Share of training pieces of a length that may lie below its threshold; share of a language's training texts that are outliers, and of a cluster at least; what of that quantile is the threshold, as new texts lie farther off than those that made the centroids.
+TAIL, OUTLIERS, LEAST, MARGIN = 0.005, 0.03, 0.05, 0.8
 _LENGTHS = 18  # thresholds for 2**0 .. 2**17 n-grams and more
 
 
@@ -126,8 +128,8 @@ def document_frequencies(docs: DataFrame, buckets: int = BUCKETS) -> tuple[np.nd
     return out[1:], int(out[0])
 
 
-def training_texts(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """At most `sample` texts of each label, those with the smallest hash of (doc_id, text): a fixed, even choice. Only keys are ranked; texts are fetched for the chosen."""
+def training_texts(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(lang, text): at most `sample` texts of each label, those with the smallest hash of (doc_id, text): a fixed, even choice. Only keys are ranked; texts are fetched for the chosen."""
     labelled = docs.filter("lang is not null and length(text) > 0").select("lang", F.xxhash64("doc_id", "text").alias("k"))
     sizes = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     # A hash below a bound that lets about twice the sample through, then the exact smallest.
@@ -137,47 +139,71 @@ def training_texts(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]
         bound = F.when(F.col("lang") == lang, F.lit(int(-(1 << 63) + share * ((1 << 64) - 1)) if share < 1 else (1 << 63) - 1)).otherwise(bound)
     chosen = docs.filter("lang is not null and length(text) > 0").select("lang", "text", F.xxhash64("doc_id", "text").alias("k")).filter(F.col("k") <= bound)
     w = Window.partitionBy("lang").orderBy("k", "text")
-    rows = chosen.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= sample).orderBy("lang", "r").select("lang", "text").collect()
-    out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault(r.lang, []).append(r.text)
-    return out
+    return chosen.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= sample).select("lang", "text", "r")
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, buckets: int = BUCKETS) -> Model:
-    df, n = document_frequencies(docs, buckets)
-    return fit_local(training_texts(docs, sample), df, n, clusters, buckets)
-
-
-def fit_local(texts: dict[str, list[str]], df: np.ndarray, n: int, clusters: int = CLUSTERS, buckets: int = BUCKETS) -> Model:
-    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(1)
-    languages = sorted(texts)
-    x = {k: vectors(np.concatenate([counts(pa.array(texts[k][i : i + 50]), buckets) for i in range(0, len(texts[k]), 50)]), idf) for k in languages}
-    cs = [k_means(x[k], clusters) for k in languages]
-    centroids = np.concatenate(cs) if cs else np.zeros((0, buckets), np.float32)
-    owner = np.repeat(np.arange(len(languages)), [len(c) for c in cs]) if cs else np.zeros(0, np.int64)
-    model = Model(languages, idf, centroids, owner, np.zeros(_LENGTHS))
-    # How near pieces of training texts of each length lie to their language.
+def _idf(df: np.ndarray, n: int) -> np.ndarray:
+    return np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(1)
+
+
+def fit_language(texts: list[str], idf: np.ndarray, clusters: int = CLUSTERS) -> tuple[np.ndarray, np.ndarray]:
+    """(centroids, thresholds by log2 of the number of n-grams; NaN where there are too few pieces) of one language."""
+    buckets = len(idf)
+    x = vectors(np.concatenate([counts(pa.array(texts[i : i + 50]), buckets) for i in range(0, len(texts), 50)]), idf)
+
+    def nearest(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cosine = x @ c.T
+        return cosine.argmax(axis=1), cosine.max(axis=1)
+
+    # Texts that lie far from all others make clusters of their own, which go; then the outliers of what is left.
+    c = k_means(x, clusters)
+    own, _ = nearest(c)
+    sizes = np.bincount(own, minlength=len(c))
+    large = sizes >= min(LEAST * len(x), sizes.max())
+    inside = large[own]
+    c = k_means(x[inside], int(large.sum()))
+    _, near = nearest(c)
+    inside &= near >= np.quantile(near[inside], OUTLIERS)
+    c = k_means(x[inside], len(c))
     rng = np.random.default_rng(3)
+    pieces = []
+    for t in np.array(texts, object)[inside].tolist():
+        for size in (4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048):
+            if len(t) > size:
+                at = int(rng.integers(0, len(t) - size + 1))
+                pieces.append(t[at : at + size])
+        pieces.append(t)
     seen: list[list[float]] = [[] for _ in range(_LENGTHS)]
-    for k, lang in enumerate(languages):
-        pieces = []
-        for t in texts[lang]:
-            for size in (4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048):
-                if len(t) > size:
-                    a = int(rng.integers(0, len(t) - size + 1))
-                    pieces.append(t[a : a + size])
-            pieces.append(t)
-        for i in range(0, len(pieces), 400):
-            tf = counts(pa.array(pieces[i : i + 400]), buckets)
-            own = (vectors(tf, idf) @ centroids[owner == k].T).max(axis=1)
-            for b, c in zip(_length(tf), own):
-                seen[b].append(float(c))
-    limits = np.zeros(_LENGTHS)
+    for i in range(0, len(pieces), 200):
+        tf = counts(pa.array(pieces[i : i + 200]), buckets)
+        for b, cosine in zip(_length(tf), (vectors(tf, idf) @ c.T).max(axis=1)):
+            seen[b].append(float(cosine))
+    return c, np.array([MARGIN * np.quantile(v, TAIL) if len(v) >= 20 else np.nan for v in seen])
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS, buckets: int = BUCKETS) -> Model:
+    df, n = document_frequencies(docs, buckets)
+    idf = _idf(df, n)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("r")
+        c, limits = fit_language(table.column("text").to_pylist(), idf, clusters)
+        return pa.table({"lang": table.column("lang").slice(0, 1), "centroids": [c.astype(np.float32).tobytes()], "limits": [limits.tobytes()]})
+
+    rows = training_texts(docs, sample).groupBy("lang").applyInArrow(run, "lang string, centroids binary, limits binary").collect()
+    return assembled({r.lang: (np.frombuffer(r.centroids, np.float32).reshape(-1, buckets), np.frombuffer(r.limits)) for r in rows}, idf)
+
+
+def assembled(fitted: dict[str, tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> Model:
+    """The model of fitted languages. A length's threshold is the least of the languages'; where none has one, that of the next shorter length."""
+    languages = sorted(fitted)
+    centroids = np.concatenate([fitted[k][0] for k in languages]) if languages else np.zeros((0, len(idf)), np.float32)
+    owner = np.repeat(np.arange(len(languages)), [len(fitted[k][0]) for k in languages]) if languages else np.zeros(0, np.int64)
+    thresholds = np.zeros(_LENGTHS)
     for b in range(_LENGTHS):
-        limits[b] = np.quantile(seen[b], TAIL) - SLACK if len(seen[b]) >= 20 else (limits[b - 1] if b else 0.0)
-    model.thresholds = np.maximum(limits, 0.01)
-    return model
+        known = [fitted[k][1][b] for k in languages if not np.isnan(fitted[k][1][b])]
+        thresholds[b] = min(known) if known else thresholds[b - 1] if b else 0.0
+    return Model(languages, idf, centroids, owner, np.maximum(thresholds, 0.01))
 
 
 def _classify(model: Model):
@@ -200,7 +226,7 @@ def _classify(model: Model):
 def identify(docs: DataFrame, model: Model | None = None, **options) -> DataFrame:
     """(doc_id, predicted, cosine, lead, accepted) for every document.
 
-    A null or empty text, or one without a letter, has predicted null and is rejected. Ties go to the language that
+    A null or empty text, or one without a letter, has predicted null and is rejected. Very long texts are read whole. Ties go to the language that
     sorts first. Repeated rows get equal answers; null ids and labels pass (unlabelled rows aren't trained on). With no
     labelled row every text is rejected. Further columns are ignored; an empty table gives no row.
     """

@@ -46,9 +46,78 @@ def test_document_frequencies(make, corpus):
 
 
 def test_sample_is_bounded(make, corpus):
-    got = g.training_texts(make(corpus), sample=7)
-    assert {k: len(v) for k, v in got.items()} == {"de": 7, "en": 7}
-    assert got == g.training_texts(make(corpus[::-1]), sample=7)
+    def chosen(rows):
+        return sorted((r.lang, r.text) for r in g.training_texts(make(rows), sample=7).collect())
+
+    got = chosen(corpus)
+    assert [lang for lang, _ in got] == ["de"] * 7 + ["en"] * 7
+    assert got == chosen(corpus[::-1])
+
+
+def plain_vector(text, idf, buckets):
+    """TF-IDF by the definition: bigrams and trigrams of the letters' bytes, hashed, counted one by one."""
+    import math
+    import re
+
+    b = re.sub(r"[^\W\d_]+", lambda m: m.group(), text.lower())
+    kept = bytearray()
+    for c in b.encode():
+        letter = 97 <= c <= 122 or c >= 128
+        if letter:
+            kept.append(c)
+        elif kept and kept[-1] != 32:
+            kept.append(32)
+    if kept and kept[-1] != 32:
+        kept.append(32)
+    tf, m = {}, (1 << 32) - 1
+    shift = 32 - (buckets - 1).bit_length()
+    for i in range(len(kept) - 1):
+        two = (kept[i] * 0x01000193 + kept[i + 1]) & m
+        k = ((two * 0x9E3779B1) & m) >> shift
+        tf[k] = tf.get(k, 0) + 1
+        if i + 2 < len(kept):
+            k = ((((two * 0x01000193) & m) + kept[i + 2] & m) * 0x85EBCA77 & m) >> shift
+            tf[k] = tf.get(k, 0) + 1
+    v = {k: (1 + math.log(n)) * float(idf[k]) for k, n in tf.items()}
+    norm = math.sqrt(sum(x * x for x in v.values()))
+    return {k: x / norm for k, x in v.items()} if norm else {}
+
+
+def test_answers_like_brute_force(make, corpus):
+    """Language, cosine and rejection of every document from the model's centroids, by plain sums."""
+    rows = [*corpus[:40], (200, "the river", None), (201, None), (202, "12 34"), (203, "zażółć gęślą jaźń", None), (204, "river " * 3000)]
+    docs = make(rows)
+    model = g.fit(docs)
+    got = {r.doc_id: r for r in g.identify(docs, model).collect()}
+    for i, text, *_ in rows:
+        v = plain_vector(text or "", model.idf, len(model.idf))
+        cosines = [sum(x * float(c[k]) for k, x in v.items()) for c in model.centroids]
+        if not v:
+            assert got[i].predicted is None and not got[i].accepted
+            continue
+        best = max(range(len(cosines)), key=lambda k: cosines[k])
+        assert got[i].predicted == model.languages[model.owner[best]]
+        assert abs(got[i].cosine - cosines[best]) < 1e-3
+        n = int(g._length(g.counts(pa.array([text])))[0])
+        if abs(cosines[best] - model.thresholds[n]) > 1e-3:
+            assert got[i].accepted == (cosines[best] >= model.thresholds[n])
+
+
+def test_short_foreign_and_junk_texts_are_rejected(make, corpus):
+    foreign = ["zażółć gęślą jaźń i jeszcze więcej tego samego", "tämä on lyhyt suomenkielinen virke ilman mitään muuta sisältöä", "这是一个没有字母的中文句子用来测试语言识别", "xqzvw kjxqz vwqxz jkqxv zzqxw vkjxq xzqwv kqjxz", "dGhpcyBpcyBiYXNlNjQgZW5jb2RlZCB0ZXh0IHdpdGhvdXQ"]
+    docs = make([*corpus, *[(300 + i, t, None) for i, t in enumerate(foreign)], *[(400 + i, " ".join(t.split()[3:9]), None) for i, t, _ in corpus[:40]]])
+    got = {r.doc_id: r for r in g.identify(docs).collect()}
+    assert not any(got[300 + i].accepted for i in range(len(foreign)))
+    assert sum(got[400 + i].accepted for i in range(40)) >= 39
+
+
+def test_junk_under_a_label_gets_no_centroid(corpus):
+    rng = np.random.default_rng(5)
+    junk = ["".join(chr(c) for c in rng.integers(0x400, 0x4FF, 200)) for _ in range(2)]
+    texts = [t for _, t, lang in corpus if lang == "en"] + junk
+    idf = g._idf((g.counts(pa.array(texts)) > 0).sum(axis=0), len(texts))
+    c, _ = g.fit_language(texts, idf)
+    assert (g.vectors(g.counts(pa.array(junk)), idf) @ c.T).max() < 0.05
 
 
 def test_clusters():
