@@ -499,6 +499,8 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None, bits: int | None =
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         model, out = Model.of(known), []
+        # Texts of like length are coded side by side.
+        texts = texts.take(pc.sort_indices(pc.binary_length(texts.column("text")), sort_keys=[("", "descending")]))
         for batch in texts.select(["doc_id", "text"]).combine_chunks().to_batches():
             for part in common.slices(batch, 1, GROUP_BYTES):
                 data, offsets = text_bytes(part.column(1))
