@@ -100,14 +100,16 @@ def without_markup(text: str) -> str:
     return text
 
 
-#: A JSON string that is no key.
-JSON_VALUE = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(?!\s*:)', re.S)
+#: A JSON string; a key has a colon after it.
+_JSON_STRING = re.compile(r'"[^"\\]*+(?:\\.[^"\\]*+)*+"(\s*:)?', re.S)
 
 
 def json_values(text: str) -> list[tuple[int, int, str]]:
     """(start, end, decoded) of the string values of a JSON text; what can't be decoded is left out."""
     out = []
-    for m in JSON_VALUE.finditer(text):
+    for m in _JSON_STRING.finditer(text):
+        if m[1]:
+            continue
         try:
             out.append((m.start(), m.end(), json.loads(m[0])))
         except ValueError:

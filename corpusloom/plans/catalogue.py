@@ -1,7 +1,7 @@
 """Queries over the tables of a folder, and the same in ANSI SQL where SQL can tell them.
 
-The tables hold no ideographs, so ZH puts a Chinese passage, chosen by doc_id, before every text; all documents and
-whole texts take part.
+The tables hold no ideographs, so ZH puts four Chinese lines, which combine by doc_id in very many ways, before every
+text; all documents and whole texts take part.
 """
 
 from __future__ import annotations
@@ -15,18 +15,9 @@ from corpusloom.functions import text as X
 from corpusloom.operators import fix as fixer
 from corpusloom.operators import integrity, lexicon, lint
 from corpusloom.plans import pack as packs
+from corpusloom.plans import passages
 
-PASSAGES = [
-    "總的來說，這個程式認得設定。",
-    "软件与軟體、网络，網路。我們沒跑完，服務掛了。",
-    "賦能業務；就行。存在著問題，搞定！",
-    "读取内存时發生错误，正在下載中。",
-    "使用Python３．５，，寫...完，好",
-    "預設值是默认。眾所周知，抓手很多。",
-    "token 令牌要保密。",
-]
-_CASE = "CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PASSAGES)) + " ELSE '' END"
-ZH = f"SELECT doc_id, concat({_CASE}, chr(10), text) AS text FROM documents WHERE text IS NOT NULL"
+ZH = f"SELECT doc_id, concat({passages.lines('duckdb')}, text) AS text FROM documents WHERE text IS NOT NULL"
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
@@ -37,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def zh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"concat({_CASE}, chr(10), text) AS text").filter("text is not null")
+    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"concat({passages.lines('spark')}, text) AS text").filter("text is not null")
 
 
 def query(sql: str | None = None):
@@ -96,13 +87,6 @@ def regex_scan(spark, sf_dir):
     return findings(zh(spark, sf_dir), F.concat(*[lint.regex_findings(t, X.segments(t), r["pattern"], f"wording.{r['id']}", r["message"]) for r in _SAFE]))
 
 
-@query()
-def regex_scan_lookaround(spark, sf_dir):
-    t = F.col("text")
-    rest = [r for r in [*_PACK.active("regex_rules", "standard"), *_PACK.active("grammar_rules", "standard")] if r not in _SAFE]
-    return findings(zh(spark, sf_dir), F.concat(*[lint.regex_findings(t, X.segments(t), r["pattern"], r["id"], r["message"]) for r in rest]))
-
-
 _A, _B = ("".join(sorted(x)) for x in _PACK.markers())
 
 
@@ -121,26 +105,12 @@ def terminology_locale(spark, sf_dir):
     return findings(zh(spark, sf_dir), lint.terminology_findings(F.col("text"), lint.Options(locale="zh-TW"))).select("doc_id", "line", "sample")
 
 
-@query(f"SELECT DISTINCT doc_id, CAST(line AS BIGINT) AS line, bad AS sample FROM ({_LINES}) JOIN (VALUES ('令牌'), ('權杖')) AS t(bad) ON contains(x, bad) WHERE doc_id IN (SELECT doc_id FROM ({ZH}) WHERE regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])token(s|es)?($|[^A-Za-z0-9_])'))")
-def guarded_names(spark, sf_dir):
-    one = lint.Options(pack=packs.Pack(_PACK.wording, _PACK.terms | {"preserve_translations": [g for g in _PACK.terms["preserve_translations"] if g["en"] == "token"]}))
-    return findings(zh(spark, sf_dir), lint.guarded_findings(F.col("text"), X.segments(F.col("text")), one)).select("doc_id", "line", "sample")
-
-
-@query()
-def typography_first_in_line(spark, sf_dir):
-    return findings(zh(spark, sf_dir), lint.typography_findings(X.segments(F.col("text")), "standard"))
-
-
-@query()
-def consistency_pairs(spark, sf_dir):
-    return findings(zh(spark, sf_dir), lint.consistency_findings(F.col("text"), F.col("text"), _O))
+_GUARDED = [(bad, "(?i)(^|[^A-Za-z0-9_])" + g["en"] + "(s|es)?($|[^A-Za-z0-9_])") for g in _PACK.guarded() for bad in g["reject"]]
 
 
-@query()
-def fix_typography(spark, sf_dir):
-    docs = zh(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
-    return fixer.fix(docs)
+@query(f"SELECT DISTINCT l.doc_id, CAST(line AS BIGINT) AS line, bad AS sample FROM ({_LINES}) l JOIN (VALUES {_values(_GUARDED)}) AS t(bad, name) ON contains(x, bad) JOIN ({ZH}) d ON d.doc_id = l.doc_id AND regexp_matches(d.text, name)")
+def guarded_names(spark, sf_dir):
+    return findings(zh(spark, sf_dir), lint.guarded_findings(F.col("text"), X.segments(F.col("text")), _O)).select("doc_id", "line", "sample").distinct()
 
 
 @query("SELECT doc_id, CAST(length(string_split(text, chr(10))[1]) AS BIGINT) AS characters FROM documents WHERE length(regexp_replace(string_split(text, chr(10))[1], '[ \\t\\r]+$', '')) > 72")
@@ -161,22 +131,6 @@ def body_spacing(spark, sf_dir):
     return findings(table(spark, sf_dir, "documents"), lint.commit_findings(F.col("text"), _O)).filter("code = 'vcs.subject-body-spacing'").select("doc_id")
 
 
-@query("SELECT doc_id, CAST(length(regexp_replace(text, '\\s', '', 'g')) AS BIGINT) AS solid, CAST(len(regexp_extract_all(text, '[。！？!?]')) AS BIGINT) AS sentences FROM documents WHERE text IS NOT NULL")
-def unit_measures(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.length(X.compact(t)).cast("long").alias("solid"), F.regexp_count(t, F.lit("[。！？!?]")).cast("long").alias("sentences"))
-
-
-@query("SELECT page_id, CAST(len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS BIGINT) AS comments FROM pages WHERE html IS NOT NULL")
-def html_comments(spark, sf_dir):
-    return table(spark, sf_dir, "pages").filter("html is not null").select("page_id", F.size(F.regexp_extract_all("html", F.lit("(?s)<!--.*?-->"), F.lit(0))).cast("long").alias("comments"))
-
-
-@query("SELECT page_id, CAST(length(html) AS BIGINT) AS before, CAST(length(html) AS BIGINT) AS after FROM pages WHERE html IS NOT NULL")
-def markup_mask_keeps_length(spark, sf_dir):
-    return table(spark, sf_dir, "pages").filter("html is not null").select("page_id", F.length("html").cast("long").alias("before"), F.length(X.without_markup(F.col("html"))).cast("long").alias("after"))
-
-
 @query("SELECT doc_id, sha256(text) AS sha256, sha1(encode('blob ' || octet_length(encode(text))) || '\\x00'::BLOB || encode(text)) AS blob FROM documents WHERE text IS NOT NULL")
 def digests(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.sha2("text", 256).alias("sha256"), integrity.git_blob(F.col("text").cast("binary")).alias("blob"))
@@ -219,3 +173,6 @@ def manifest_reconcile(spark, sf_dir):
 def lint_documents(spark, sf_dir):
     docs = zh(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
     return lint.lint(docs)
+
+
+from corpusloom.plans import rule_queries  # noqa: E402, F401  (adds its queries)

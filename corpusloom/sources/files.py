@@ -23,7 +23,7 @@ def name_of(path: Column) -> Column:
 
 def excluded(path: Column, patterns: Sequence[str]) -> Column:
     """Whether a glob matches the whole path or its last part."""
-    globs = [java(fnmatch.translate(p)) for p in patterns]
+    globs = [java(r"\A" + fnmatch.translate(p)) for p in patterns]
     return reduce(lambda a, g: a | path.rlike(g) | name_of(path).rlike(g), globs, F.lit(False))
 
 
