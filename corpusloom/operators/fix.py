@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions import text as X
 from corpusloom.functions import views
 from corpusloom.functions.text import suffix
 from corpusloom.functions.units import CJK
@@ -55,8 +56,36 @@ def fix_text(text: str, markdown: bool = False, style: str = "standard") -> str:
     return text
 
 
+#: What a mask might hide; texts without any of it are fixed by expressions alone.
+HIDES = r"[`<{]|\]\(|://|@|(?m)^ {0,3}~~~"
+
+
+def _plain(text: Column, style: str) -> Column:
+    """fix_text() of texts in which nothing is masked, as expressions."""
+    han = X.CJK
+    text = F.translate(text, "".join(map(chr, _WIDE)), "".join(map(chr, _WIDE.values())))
+    text = F.regexp_replace(text, "(?<=[0-9])．(?=[0-9])", ".")
+    text = F.regexp_replace(text, r"([，。；：！？、])\1+", "$1")
+
+    def marks(t: Column) -> Column:
+        t = F.regexp_replace(t, r"(?<!\.)\.{3,}(?!\.)", "…" * (1 if style == "ui" else 2))
+        return F.regexp_replace(t, r"(?U)(?<![\w-])--(?![\w-])", "——")
+
+    def lines(t: Column) -> Column:
+        return F.array_join(F.transform(F.split(t, "\n", -1), lambda x: F.when(x.rlike(han), marks(x)).otherwise(x)), "\n")
+
+    text = X.let(text, lambda t: F.when(t.rlike(r"\.{3}|--"), lines(t)).otherwise(t))
+    for a, b in zip(",.;:!?", "，。；：！？"):
+        text = F.regexp_replace(text, rf"(?Ud)(?<={han})[{a}](?=\z|\s|{han})", b)
+    text = F.regexp_replace(text, rf"({han})(?=[0-9A-Za-z])", "$1 ")
+    return F.regexp_replace(text, rf"(?<=[0-9A-Za-z])({han})", " $1")
+
+
 def fix(documents: DataFrame, style: str = "standard") -> DataFrame:
-    """path, text, changed: documents(path, text) with their typography fixed. Data files and null texts pass unchanged."""
+    """path, text, changed: documents(path, text) with their typography fixed. Data files and null texts pass unchanged.
+
+    Only texts with something that a mask hides, and Markdown, are sent to Python.
+    """
 
     @F.pandas_udf(T.StringType())
     def fixed(texts: pd.Series, markdown: pd.Series) -> pd.Series:
@@ -66,5 +95,8 @@ def fix(documents: DataFrame, style: str = "standard") -> DataFrame:
     markdown = s.isin(kinds.MARKDOWN)
     heading = markdown & F.col("text").rlike(r"(?m)^ {0,3}#") if style == "readme" else F.lit(False)
     needs = ~s.isin(kinds.DATA) & (F.col("text").rlike(TRIGGER) | heading)
-    new = F.coalesce(fixed(F.when(needs, F.col("text")), markdown), F.col("text"))
+    masked_ = markdown | F.col("text").rlike(HIDES)
+    by_python = fixed(F.when(needs & masked_, F.col("text")), markdown)
+    by_expressions = F.when(needs & ~masked_, _plain(F.col("text"), style))
+    new = F.coalesce(by_python, by_expressions, F.col("text"))
     return documents.select("path", F.col("text").alias("_old"), new.alias("text")).select("path", "text", (~F.col("text").eqNullSafe(F.col("_old"))).alias("changed"))

@@ -29,12 +29,14 @@ def technical(spark: SparkSession, pack: packs.Pack) -> DataFrame:
 
 
 def code_point(ch: Column) -> Column:
-    return F.concat(F.lit("U+"), F.lpad(F.hex(F.ascii(ch)), 4, "0"))
+    """U+ and four hex digits at least, five or six beyond the basic plane."""
+    code = F.hex(F.ascii(ch))
+    return F.concat(F.lit("U+"), F.when(F.length(code) < 4, F.lpad(code, 4, "0")).otherwise(code))
 
 
 def _matches(query: Column, contains: bool) -> Column:
     """Characters are looked up by code point and only exactly; a whole line, where there is one, is what a substring is sought in."""
-    codes = F.transform(F.filter(F.split(query, ""), lambda c: c != ""), lambda c: F.concat(F.lit("U+"), F.greatest(F.hex(F.ascii(c)), F.lpad(F.hex(F.ascii(c)), 4, "0"))))
+    codes = F.transform(F.filter(F.split(query, ""), lambda c: c != ""), code_point)
     is_character = F.col("source") == "unihan"
     if contains:
         return ~is_character & F.when(F.col("whole").isNotNull(), F.contains("whole", query)).otherwise(F.exists("values", lambda v: F.contains(v, query)))
@@ -114,9 +116,10 @@ def regional_findings(ruled: DataFrame, pairs: DataFrame, words: DataFrame | Non
     texts = ruled.filter(F.col("rule").rlike(X.CJK))
     met = texts.join(F.broadcast(pairs) if small else pairs, F.contains("rule", "wrong"))
     hits = met.select("path", "rule", "wrong", "preferred", F.explode(X.spans(F.col("rule"), F.concat(F.lit("\\Q"), F.col("wrong"), F.lit("\\E")))).alias("m"))
-    begin = F.greatest(F.col("m.pos") - lint.REACH, F.lit(0))
-    window = F.substring(F.col("rule"), begin + 1, F.col("m.pos") - begin + F.length("wrong") + lint.REACH)
-    f = lint.finding(X.line_at(F.col("rule"), F.col("m.pos")), "terminology.regional", F.concat(F.lit("say "), F.col("preferred"), F.lit(f" in {o.locale}")), F.col("wrong"), window=window, at=F.col("m.pos") - begin)
+    # The line of the hit: no word goes over a line feed.
+    before = F.substring_index(F.substring(F.col("rule"), F.lit(1), F.col("m.pos")), "\n", -1)
+    after = F.substring_index(F.substring(F.col("rule"), F.col("m.pos") + 1, F.length("rule")), "\n", 1)
+    f = lint.finding(X.line_at(F.col("rule"), F.col("m.pos")), "terminology.regional", F.concat(F.lit("say "), F.col("preferred"), F.lit(f" in {o.locale}")), F.col("wrong"), window=F.concat(before, after), at=F.length(before))
     found = hits.select("path", f.alias("f")).select("path", "f.*")
     own = pairs.sparkSession.createDataFrame([(w,) for w in o.pack.words()], "word string")
     every = (own if words is None else own.unionByName(words.select("word"))).distinct()

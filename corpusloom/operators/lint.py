@@ -8,6 +8,7 @@ Only findings are shuffled: to drop those that a longer dictionary word covers,
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 from functools import reduce
@@ -27,8 +28,6 @@ COLUMNS = ["path", "line", "code", "severity", "message", "sample"]
 KINDS = ("all", "source", "prose", "pr-body", "commit-message")
 LOCALES = ("auto", "zh-CN", "zh-TW", "zh-HK", "zh-SG", "zh-MY")
 SCRIPT = {"zh-CN": "simplified", "zh-SG": "simplified", "zh-MY": "simplified", "zh-TW": "traditional", "zh-HK": "traditional"}
-#: Code points on either side of a literal hit that go with it, for longer words to be looked up in.
-REACH = 24
 
 
 @dataclass(frozen=True)
@@ -113,6 +112,24 @@ def regex_findings(text: Column, pieces: Column, pattern: str, code: str, messag
     return F.when(text.rlike(p), found).otherwise(nothing())
 
 
+def constant(rows: list[dict], schema: str) -> Column:
+    """Rows as one constant array of structs: rules as data keep the plan small."""
+    return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
+
+
+def rules_findings(text: Column, rules: list[dict], prefix: str, severity: str = "error") -> Column:
+    """Every match of every rule of a list."""
+    if not rules:
+        return nothing()
+    table = constant([{"p": X.java(r["pattern"]), "c": prefix + r["id"], "m": r["message"]} for r in rules], "p:string,c:string,m:string")
+
+    def of(t: Column) -> Column:
+        there = F.filter(table, lambda r: F.regexp_like(t, r["p"]))
+        return F.flatten(F.transform(there, lambda r: F.transform(X.spans(t, r["p"]), lambda m: finding(X.line_at(t, m["pos"]), r["c"], r["m"], m["sample"], severity))))
+
+    return X.let(text, of)
+
+
 def longest_per_line(text: Column, patterns: list[str], code: str, message: str) -> Column:
     """One finding a line: the longest sample, of equally long ones that of the first pattern and place."""
     found = nothing()
@@ -132,19 +149,17 @@ def longest_per_line(text: Column, patterns: list[str], code: str, message: str)
 
 
 def literal_findings(pieces: Column, rows: list[tuple[str, str, str]], severity: str = "error", suppress: bool = False) -> Column:
-    """Literal terms: rows of (term, code, message). With suppress, each hit carries its surroundings for drop_covered()."""
+    """Literal terms: rows of (term, code, message). With suppress, each hit carries its whole line for drop_covered(), so that words of any length are found."""
     if not rows:
         return nothing()
-    terms = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(c).alias("c"), F.lit(m).alias("m")) for t, c, m in rows])
+    terms = constant([{"t": t, "c": c, "m": m} for t, c, m in rows], "t:string,c:string,m:string")
     p = X.any_of(list(dict.fromkeys(t for t, _, _ in rows)))
 
     def of(s: Column, t: Column) -> Column:
         places = X.spans(s["text"], F.concat(F.lit("\\Q"), t["t"], F.lit("\\E")))
 
         def one(m: Column) -> Column:
-            begin = F.greatest(m["pos"] - REACH, F.lit(0))
-            window = F.substring(s["text"], begin + 1, m["pos"] - begin + F.length(t["t"]) + REACH)
-            return finding(_line(s, m["pos"]), t["c"], t["m"], t["t"], severity, window if suppress else None, m["pos"] - begin if suppress else None)
+            return finding(_line(s, m["pos"]), t["c"], t["m"], t["t"], severity, s["text"] if suppress else None, m["pos"] if suppress else None)
 
         return F.transform(places, one)
 
@@ -161,14 +176,11 @@ def emoji_findings(text: Column, o: Options, style: str) -> Column:
 
 def phrase_findings(text: Column, pieces: Column, o: Options, style: str, suppress: bool = True) -> Column:
     rows = [(t, f"wording.{g['id']}", g["message"]) for g in o.pack.active("literal_groups", style) for t in g["terms"]]
-    parts = [literal_findings(pieces, rows, suppress=suppress)]
-    parts += [regex_findings(text, pieces, r["pattern"], f"wording.{r['id']}", r["message"]) for r in o.pack.active("regex_rules", style)]
-    return F.concat(*parts)
+    return F.concat(literal_findings(pieces, rows, suppress=suppress), rules_findings(text, o.pack.active("regex_rules", style), "wording."))
 
 
 def grammar_findings(text: Column, pieces: Column, o: Options, style: str) -> Column:
-    rules = o.pack.active("grammar_rules", style)
-    return F.concat(nothing(), *[regex_findings(text, pieces, r["pattern"], f"grammar.{r['id']}", r["message"], "warning") for r in rules])
+    return rules_findings(text, o.pack.active("grammar_rules", style), "grammar.", "warning")
 
 
 _TYPOGRAPHY = [
@@ -181,49 +193,59 @@ _TYPOGRAPHY = [
 ]
 
 
+#: What every kind needs: a line without any of these has no finding.
+_TYPED = f"[０-９Ａ-Ｚａ-ｚ．，。；：！？、]|{X.CJK}"
+
+
 def typography_findings(pieces: Column, style: str) -> Column:
     """Of each kind the first in a line, with what stands around it."""
-    def of(name: str, pattern: str, message: str, in_chinese: bool) -> Column:
-        p = "(?Ud)" + pattern
-
-        def first(s: Column) -> Column:
-            leading = lambda all_: F.filter(all_, lambda m, i: (i == 0) | (_line(s, m["pos"]) != _line(s, F.get(all_, i - 1)["pos"])))
-            found = X.let(X.spans(s["text"], p), lambda all_: F.when(s["text"].rlike(_ODD), leading(all_)).otherwise(F.slice(all_, 1, 1)))
+    say = {"ascii-ellipsis": "an ellipsis is written … in a label"} if style == "ui" else {}
+    rules = constant([{"p": "(?Ud)" + p, "c": f"typography.{name}", "m": say.get(name, message), "z": chinese} for name, p, message, chinese in _TYPOGRAPHY], "p:string,c:string,m:string,z:boolean")
 
-            def one(m: Column) -> Column:
-                begin = F.greatest(m["pos"] - 12, F.lit(0))
-                end = m["pos"] + F.length(m["sample"]) + 12
-                around = F.substring(s["text"], begin + 1, end - begin)
-                return finding(_line(s, m["pos"]), f"typography.{name}", message, head(F.regexp_replace(around, r"(?U)^\s+|\s+$", ""), 48))
+    def of(s: Column, r: Column) -> Column:
+        leading = lambda all_: F.filter(all_, lambda m, i: (i == 0) | (_line(s, m["pos"]) != _line(s, F.get(all_, i - 1)["pos"])))
+        first = X.let(X.spans(s["text"], r["p"]), lambda all_: F.when(s["text"].rlike(_ODD), leading(all_)).otherwise(F.slice(all_, 1, 1)))
 
-            return F.transform(found, one)
+        def one(m: Column) -> Column:
+            begin = F.greatest(m["pos"] - 12, F.lit(0))
+            end = m["pos"] + F.length(m["sample"]) + 12
+            around = F.substring(s["text"], begin + 1, end - begin)
+            return finding(_line(s, m["pos"]), r["c"], r["m"], head(F.regexp_replace(around, r"(?U)^\s+|\s+$", ""), 48))
 
-        there = F.filter(pieces, lambda s: s["text"].rlike(p) & (s["text"].rlike(X.CJK) if in_chinese else F.lit(True)))
-        return F.flatten(F.transform(there, first))
+        return F.transform(first, one)
 
-    say = {"ascii-ellipsis": "an ellipsis is written … in a label"} if style == "ui" else {}
-    return F.concat(*[of(name, pattern, say.get(name, message), chinese) for name, pattern, message, chinese in _TYPOGRAPHY])
+    some = F.filter(pieces, lambda s: s["text"].rlike(_TYPED))
+    per_rule = lambda s: F.flatten(F.transform(F.filter(rules, lambda r: F.regexp_like(s["text"], r["p"]) & (~r["z"] | s["text"].rlike(X.CJK))), lambda r: of(s, r)))
+    return F.flatten(F.transform(some, per_rule))
 
 
 def locale_findings(compared: Column, o: Options) -> Column:
     """compared: a view without lines of comparison."""
     traditional, simplified = o.pack.markers()
-    text = X.replaced_by_spaces(compared, [*o.pack.wording["locale_name_exceptions"], *o.pack.wording["locale_word_exceptions"]])
+    names = [*o.pack.wording["locale_name_exceptions"], *o.pack.wording["locale_word_exceptions"]]
     cls = lambda chars: "[" + "".join(sorted(chars)) + "]"
     found = lambda t, chars: F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(cls(chars)), F.lit(0))))
     if o.locale == "auto":
         if not (traditional and simplified):
             return nothing()
-        a, b = found(text, traditional), found(text, simplified)
-        place = lambda chars: F.length(F.element_at(F.split(text, cls(chars), 2), 1))
-        sample = F.concat(F.array_join(F.slice(a, 1, 4), ""), F.array_join(F.slice(b, 1, 4), ""))
-        return one_if(text.rlike(cls(traditional)) & text.rlike(cls(simplified)), finding(X.line_at(text, F.greatest(place(traditional), place(simplified))), "locale.mixed-script", "use one script, traditional or simplified", sample))
+
+        def mixed(t: Column) -> Column:
+            place = lambda chars: F.length(F.element_at(F.split(t, cls(chars), 2), 1))
+            sample = F.concat(F.array_join(F.slice(found(t, traditional), 1, 4), ""), F.array_join(F.slice(found(t, simplified), 1, 4), ""))
+            return one_if(t.rlike(cls(traditional)) & t.rlike(cls(simplified)), finding(X.line_at(t, F.greatest(place(traditional), place(simplified))), "locale.mixed-script", "use one script, traditional or simplified", sample))
+
+        # Only texts that have both are looked at without the names.
+        return F.when(compared.rlike(cls(traditional)) & compared.rlike(cls(simplified)), X.let(X.replaced_by_spaces(compared, names), mixed)).otherwise(nothing())
     opposite = simplified if SCRIPT[o.locale] == "traditional" else traditional
     if not opposite:
         return nothing()
-    lines = F.transform(F.split(text, X.SPLIT_BREAK, -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
-    bad = F.filter(lines, lambda s: s["text"].rlike(cls(opposite)))
-    return F.when(text.rlike(cls(opposite)), F.transform(bad, lambda s: finding(s["line"], "locale.wrong-script", f"this isn't the script of {o.locale}", F.array_join(F.slice(found(s["text"], opposite), 1, 8), "")))).otherwise(nothing())
+
+    def wrong(t: Column) -> Column:
+        lines = F.transform(F.split(t, X.SPLIT_BREAK, -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+        bad = F.filter(lines, lambda s: s["text"].rlike(cls(opposite)))
+        return F.transform(bad, lambda s: finding(s["line"], "locale.wrong-script", f"this isn't the script of {o.locale}", F.array_join(F.slice(found(s["text"], opposite), 1, 8), "")))
+
+    return F.when(compared.rlike(cls(opposite)), X.let(X.replaced_by_spaces(compared, names), wrong)).otherwise(nothing())
 
 
 def terminology_findings(compared: Column, o: Options) -> Column:
@@ -235,47 +257,55 @@ def terminology_findings(compared: Column, o: Options) -> Column:
 
 def guarded_findings(names: Column, pieces: Column, o: Options) -> Column:
     """A rendering of a guarded name in a document that has the name itself."""
-    parts = [nothing()]
-    for g in o.pack.guarded(list(o.guarded)):
-        p = r"(?iud)(?<![A-Za-z0-9_])" + X.literal(g["en"]) + r"(?:s|es)?(?![A-Za-z0-9_])"
-        rows = [(bad, "terminology.preserved", f"is {g['en']} to be translated here? {g['note']}") for bad in g["reject"]]
-        parts.append(F.when(names.rlike(p), literal_findings(pieces, rows, "warning")).otherwise(nothing()))
-    return F.concat(*parts)
-
-
-def _told(text: Column, id_: str, message: str):
-    def told(used: Column) -> Column:
-        sample = F.array_join(F.transform(F.slice(used, 1, 3), lambda x: x["form"]), " / ")
-        return one_if(F.size(used) >= 2, finding(X.line_at(text, F.get(used, F.lit(1))["pos"]), f"consistency.{id_}", message, sample, "warning"))
-
-    return told
+    guarded = o.pack.guarded(list(o.guarded))
+    if not guarded:
+        return nothing()
+    rows = [(bad, "terminology.preserved", f"is {g['en']} to be translated here? {g['note']}") for g in guarded for bad in g["reject"]]
+    table = constant([{"p": r"(?iud)(?<![A-Za-z0-9_])" + X.literal(g["en"]) + r"(?:s|es)?(?![A-Za-z0-9_])", "m": f"is {g['en']} to be translated here? {g['note']}", "r": g["reject"]} for g in guarded], "p:string,m:string,r:array<string>")
+    every = literal_findings(pieces, rows, "warning")
+    there = F.filter(table, lambda g: F.regexp_like(names, g["p"]))
+    own = lambda gs: F.filter(every, lambda f: F.exists(gs, lambda g: (g["m"] == f["message"]) & F.array_contains(g["r"], f["sample"])))
+    return X.let(there, lambda gs: F.when(F.size(gs) > 0, own(gs)).otherwise(nothing()))
 
 
 def consistency_findings(text: Column, compared: Column, o: Options) -> Column:
     """Two forms of one thing in a document, outside of lines of comparison and of longer forms."""
     every = o.pack.forms()
-    groups: list[tuple[str, str, str, list[str]]] = []
+    groups: list[tuple[str, str, list[str]]] = []
     if o.locale == "auto":
         for t in o.pack.enforced():
             forms = {t["zh-CN"], t["zh-TW"], *(f for fs in t.get("reject", {}).values() for f in fs)} - {""}
             if len(forms) > 1:
-                groups.append(("terminology", t["en"], f"keep to one form for {t['en']}", sorted(forms)))
-    groups += [(g["id"], g["id"], "keep to one written form in a document", sorted(set(g["forms"]))) for g in o.pack.wording["consistency_groups"]]
-    parts = [nothing()]
-    for id_, _, message, forms in groups:
+                groups.append(("terminology", f"keep to one form for {t['en']}", sorted(forms)))
+    groups += [(g["id"], "keep to one written form in a document", sorted(set(g["forms"]))) for g in o.pack.wording["consistency_groups"]]
+    if not groups:
+        return nothing()
 
-        def first(form: str) -> Column:
-            longer = [(w, m.start()) for w in every if len(w) > len(form) for m in re.finditer(f"(?={re.escape(form)})", w)]
-            places = X.spans(compared, X.literal(form))
-            covered = lambda p: reduce(lambda a, b: a | b, [(p >= i) & (F.substring(text, p - i + 1, F.lit(len(w))) == w) for w, i in longer], F.lit(False))
-            free = F.filter(places, lambda m: ~covered(m["pos"])) if longer else places
-            return F.struct(F.when(compared.contains(form), F.element_at(F.concat(F.transform(free, lambda m: m["pos"]), F.array(F.lit(-1))), 1)).otherwise(-1).alias("pos"), F.lit(form).alias("form"))
+    def longer(form: str) -> list[dict]:
+        return [{"w": w, "i": m.start()} for w in every if len(w) > len(form) for m in re.finditer(f"(?={re.escape(form)})", w)]
 
-        used = F.array_sort(F.filter(F.array(*map(first, forms)), lambda x: x["pos"] >= 0))
-        several = reduce(lambda a, b: a + b, [compared.contains(f).cast("int") for f in forms]) >= 2
+    table = constant(
+        [{"c": f"consistency.{id_}", "m": message, "f": [{"form": f, "p": X.literal(f), "l": longer(f)} for f in forms]} for id_, message, forms in groups],
+        "c:string,m:string,f:array<struct<form:string,p:string,l:array<struct<w:string,i:int>>>>",
+    )
 
-        parts.append(F.when(several, X.let(used, _told(text, id_, message))).otherwise(nothing()))
-    return F.concat(*parts)
+    def of(t: Column, seen: Column) -> Column:
+        covered = lambda f, pos: F.exists(f["l"], lambda w: (pos >= w["i"]) & (F.substring(t, pos - w["i"] + 1, F.length(w["w"])) == w["w"]))
+        free = lambda f: F.filter(X.spans(seen, f["p"]), lambda m: ~covered(f, m["pos"]))
+        first = lambda f: F.struct(F.coalesce(F.get(free(f), F.lit(0))["pos"], F.lit(-1)).alias("pos"), f["form"].alias("form"))
+        used = lambda g: F.array_sort(F.filter(F.transform(F.filter(g["f"], lambda f: F.contains(seen, f["form"])), first), lambda x: x["pos"] >= 0))
+        several = F.filter(table, lambda g: F.size(F.filter(g["f"], lambda f: F.contains(seen, f["form"]))) >= 2)
+
+        def told(g: Column) -> Column:
+            def tell(u: Column) -> Column:
+                sample = F.array_join(F.transform(F.slice(u, 1, 3), lambda x: x["form"]), " / ")
+                return one_if(F.size(u) >= 2, finding(X.line_at(t, F.get(u, F.lit(1))["pos"]), g["c"], g["m"], sample, "warning"))
+
+            return X.let(used(g), tell)
+
+        return F.flatten(F.transform(several, told))
+
+    return X.let(F.struct(text.alias("t"), compared.alias("s")), lambda x: of(x["t"], x["s"]))
 
 
 _HEADING = r"(?Udm)^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$"

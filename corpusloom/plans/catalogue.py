@@ -88,14 +88,16 @@ def regex_scan(spark, sf_dir):
 
 
 _A, _B = ("".join(sorted(x)) for x in _PACK.markers())
+_NAMES = _PACK.wording["locale_name_exceptions"] + _PACK.wording["locale_word_exceptions"]
+_UNNAMED = "replace(" * len(_NAMES) + "text" + "".join(f", '{w}', ' ')" for w in _NAMES)
 
 
-@query(f"SELECT doc_id, 'locale.mixed-script' AS code FROM ({ZH}) WHERE regexp_matches(text, '[{_A}]') AND regexp_matches(text, '[{_B}]')")
+@query(f"SELECT doc_id, 'locale.mixed-script' AS code FROM (SELECT doc_id, {_UNNAMED} AS text FROM ({ZH})) WHERE regexp_matches(text, '[{_A}]') AND regexp_matches(text, '[{_B}]')")
 def mixed_script(spark, sf_dir):
     return findings(zh(spark, sf_dir), lint.locale_findings(F.col("text"), _O)).select("doc_id", "code")
 
 
-@query(f"SELECT DISTINCT doc_id, CAST(line AS BIGINT) AS line FROM ({_LINES}) WHERE regexp_matches(x, '[{_B}]')")
+@query(f"SELECT DISTINCT doc_id, CAST(line AS BIGINT) AS line FROM ({_LINES}) WHERE regexp_matches({_UNNAMED.replace('text', 'x')}, '[{_B}]')")
 def wrong_script_lines(spark, sf_dir):
     return findings(zh(spark, sf_dir), lint.locale_findings(F.col("text"), lint.Options(locale="zh-TW"))).select("doc_id", "line").distinct()
 

