@@ -111,3 +111,99 @@ def report(pack, spark) -> DataFrame:
     literal = pack.literal_terms(spark).agg(F.count("*").alias("value")).select(F.lit("rules").alias("section"), F.lit("literal_terms").alias("metric"), "value")
     terms = pack.term_table(spark).groupBy("domain").agg(F.count("*").alias("value")).select(F.lit("terms").alias("section"), F.col("domain").alias("metric"), "value")
     return spark.createDataFrame(rows, "section string, metric string, value long").unionByName(literal).unionByName(terms)
+
+
+def _told(df: DataFrame, check: str, subject: str) -> DataFrame:
+    return df.select(F.lit(check).alias("check"), F.col(subject).cast("string").alias("subject")).distinct()
+
+
+def rule_violations(rules: DataFrame, styles: DataFrame, limits: DataFrame, groups: DataFrame) -> DataFrame:
+    """(check, subject): rules(id, pattern, styles), styles(style), limits(style, name, value) and groups(id, forms) of a pack.
+
+    Patterns must compile, styles must be known, limits positive, and a group needs two forms or more. Null styles
+    mean all; a null limit is none. Patterns are compiled once a distinct one, in Python.
+    """
+
+    @F.pandas_udf("boolean")
+    def compiles(patterns):
+        import re
+
+        def one(p):
+            try:
+                return p is not None and bool(re.compile(p))
+            except re.error:
+                return False
+
+        return patterns.map(one)
+
+    used = rules.select("id", F.explode("styles").alias("style"))
+    parts = [
+        _told(rules.filter(~compiles("pattern")), "pattern doesn't compile", "id"),
+        _told(used.join(styles, "style", "left_anti"), "unknown style", "id"),
+        _told(limits.filter("value <= 0").withColumn("at", F.concat_ws(".", "style", "name")), "limit isn't positive", "at"),
+        _told(groups.filter(F.size(F.array_distinct(F.coalesce("forms", F.array().cast("array<string>")))) < 2), "group of fewer than two forms", "id"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def case_violations(cases: DataFrame, least: int = 3, longest: int = 160) -> DataFrame:
+    """(check, subject) of cases(id, category, prompt_locale, prompt, should_trigger) of an evaluation.
+
+    Ids are unique; each category has `least` cases or more and either all or none trigger; prompts have a text of at
+    most `longest` characters; both answers and every locale of one answer occur with the other, too.
+    """
+    by = cases.groupBy("category").agg(F.count("*").alias("n"), F.countDistinct("should_trigger").alias("answers"))
+    locales = cases.groupBy("prompt_locale").agg(F.countDistinct("should_trigger").alias("answers"))
+    parts = [
+        _told(repeated(cases, "id"), "repeated case", "id"),
+        _told(by.filter(F.col("n") < least), "too few cases", "category"),
+        _told(by.filter("answers > 1"), "category of both answers", "category"),
+        _told(cases.filter("prompt is null or trim(prompt) = ''"), "empty prompt", "id"),
+        _told(cases.filter(F.length("prompt") > longest), "long prompt", "id"),
+        _told(locales.filter("answers < 2"), "locale of one answer", "prompt_locale"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def source_violations(files: DataFrame) -> DataFrame:
+    """(check, subject) of the files(source, path, url, sha256, rolling, relaxed_tls) of a catalogue of sources.
+
+    A path is listed once and is a plain name; addresses are https; a digest of 64 hex digits is required unless the
+    file rolls on, and always where certificates aren't checked.
+    """
+    digest = F.coalesce(F.col("sha256").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    parts = [
+        _told(repeated(files, "path"), "path is listed twice", "path"),
+        _told(files.filter("path rlike '[/\\\\\\\\]' or path in ('', '.', '..')"), "path is no plain name", "path"),
+        _told(files.filter("url not like 'https://%'"), "address isn't https", "path"),
+        _told(files.filter(~digest & ~F.coalesce("rolling", F.lit(False))), "digest is missing", "path"),
+        _told(files.filter(F.coalesce("relaxed_tls", F.lit(False)) & ~digest), "unchecked certificate without digest", "path"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def evidence_violations(patterns: DataFrame, sources: DataFrame, least: int = 2) -> DataFrame:
+    """(check, subject) of the patterns(id, evidence) and sources(id, repository) of a style corpus: evidence of `least` different sources, all known, of `least` owners."""
+    cited = patterns.select("id", F.explode(F.array_distinct("evidence")).alias("source_id"))
+    known = cited.join(sources.select(F.col("id").alias("source_id"), F.substring_index("repository", "/", 1).alias("owner")), "source_id", "left")
+    by = known.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("owner").alias("owners"))
+    counted = patterns.select("id").join(by, "id", "left").fillna(0, ["n", "owners"])
+    parts = [
+        _told(repeated(patterns, "id"), "repeated pattern", "id"),
+        _told(repeated(sources, "id"), "repeated source", "id"),
+        _told(known.filter("owner is null"), "unknown source", "id"),
+        _told(counted.filter(F.col("n") < least), "too little evidence", "id"),
+        _told(counted.filter((F.col("n") >= least) & (F.col("owners") < least)), "evidence of one owner", "id"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def corpus_report(pinned: DataFrame) -> DataFrame:
+    """corpus, files, verified, optional: how many files of pinned(corpus, state, optional) there are, how many are verified, and how many may be absent."""
+    count_if = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    return pinned.groupBy("corpus").agg(F.count("*").alias("files"), count_if(F.col("state") == "ok").alias("verified"), count_if(F.coalesce("optional", F.lit(False))).alias("optional"))
+
+
+def checks_hold(violations: DataFrame) -> DataFrame:
+    """One row: whether there is no violation, and the sorted distinct names of the checks that fail."""
+    return violations.agg((F.count("*") == 0).alias("holds"), F.array_join(F.array_sort(F.collect_set("check")), ", ").alias("failing"))

@@ -14,8 +14,12 @@ from corpusloom.sources.lexicons import ENTRY
 #: Sources in the order in which results are listed.
 SOURCES = "technical naer zhconversion opencc cc-cedict unihan mcbopomofo moegirl zhwiki jieba thuocl rime-essay".split()
 LIMIT = 8
-#: Rows of a vocabulary up to which it is broadcast against texts.
-BROADCAST_ROWS = 1_000_000
+
+
+def _grams(x: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1)))
+    return F.when(F.length(x) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(x, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
 def technical(spark: SparkSession, pack: packs.Pack) -> DataFrame:
@@ -69,12 +73,20 @@ def lookup(entries: DataFrame, query: str, sources: Sequence[str] | None = None,
 
 
 def lookup_many(entries: DataFrame, queries: DataFrame, sources: Sequence[str] | None = None, contains: bool = False, limit: int = LIMIT) -> DataFrame:
-    """query, source, n, authority, term, detail for every row of queries(query); exact lookups are a hash join on the listed values. Null queries match nothing, repeated ones count once."""
+    """query, source, n, authority, term, detail for every row of queries(query); exact lookups are a hash join on the listed values. Null queries match nothing, repeated ones count once.
+
+    With contains, queries meet only values that have their first two characters (or the one that they have), by a hash
+    join, and are then sought in those; an empty query matches nothing.
+    """
     wanted = _check(sources, limit)
     asked = queries.select("query").filter("query is not null").distinct()
     some = entries.filter(F.col("source").isin(wanted))
     if contains:
-        found = some.join(asked, _matches(F.col("query"), True))
+        sought = F.when(F.col("whole").isNotNull(), F.array("whole")).otherwise(F.col("values"))
+        parts = F.flatten(F.transform(sought, lambda v: F.concat(_grams(v, 1), _grams(v, 2))))
+        keyed = some.filter("source <> 'unihan'").select("*", F.explode(F.array_distinct(parts)).alias("key"))
+        begun = asked.filter("query <> ''").select("query", F.substring("query", 1, 2).alias("key"))
+        found = keyed.join(begun, "key").filter(_matches(F.col("query"), True))
     else:
         keyed = some.select("*", F.explode(F.array_distinct("values")).alias("key"))
         words = keyed.filter("source <> 'unihan'").join(asked, F.col("key") == F.col("query"))
@@ -112,9 +124,11 @@ def regional_findings(ruled: DataFrame, pairs: DataFrame, words: DataFrame | Non
     """Findings of regional vocabulary in views (path, rule), but for hits that a longer dictionary word covers."""
     from corpusloom.operators import lint
 
-    small = pairs.count() <= BROADCAST_ROWS
+    # Texts meet the words with whose first two characters they have, by a hash join on keys alone.
     texts = ruled.filter(F.col("rule").rlike(X.CJK))
-    met = texts.join(F.broadcast(pairs) if small else pairs, F.contains("rule", "wrong"))
+    begun = pairs.select("wrong", "preferred", F.substring("wrong", 1, 2).alias("key"))
+    maybe = texts.select("path", F.explode(_grams(F.col("rule"), 2)).alias("key")).join(begun, "key").select("path", "wrong", "preferred").distinct()
+    met = texts.join(maybe, "path").filter(F.contains("rule", "wrong"))
     hits = met.select("path", "rule", "wrong", "preferred", F.explode(X.spans(F.col("rule"), F.concat(F.lit("\\Q"), F.col("wrong"), F.lit("\\E")))).alias("m"))
     # The line of the hit: no word goes over a line feed.
     before = F.substring_index(F.substring(F.col("rule"), F.lit(1), F.col("m.pos")), "\n", -1)
@@ -123,5 +137,6 @@ def regional_findings(ruled: DataFrame, pairs: DataFrame, words: DataFrame | Non
     found = hits.select("path", f.alias("f")).select("path", "f.*")
     own = pairs.sparkSession.createDataFrame([(w,) for w in o.pack.words()], "word string")
     every = (own if words is None else own.unionByName(words.select("word"))).distinct()
-    covering = every.join(F.broadcast(pairs.select(F.col("wrong").alias("term"))) if small else pairs.select(F.col("wrong").alias("term")), F.contains("word", "term") & (F.length("word") > F.length("term")))
+    held = every.select("word", F.explode(_grams(F.col("word"), 2)).alias("key")).join(begun.select("key", F.col("wrong").alias("term")), "key")
+    covering = held.filter(F.contains("word", "term") & (F.length("word") > F.length("term"))).select("term", "word").distinct()
     return lint.drop_covered(found, covering).select(*lint.COLUMNS)

@@ -161,20 +161,10 @@ def lexicon_exact(spark, sf_dir):
     return lexicon.lookup_many(entries, asked).select("query", "source", F.col("n").cast("int").alias("n"), "term")
 
 
-@query("SELECT 'missing file in manifest' AS \"check\", CAST(o_custkey AS VARCHAR) AS subject FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY o_custkey UNION ALL SELECT 'unrecorded file', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'unknown file in manifest', '0' WHERE false")
-def manifest_reconcile(spark, sf_dir):
-    """Customers of orders as the manifest, all customers as what is on disk."""
-    ordered = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("path")).distinct()
-    there = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.lit("x").alias("stored"), F.lit(1).cast("long").alias("bytes"))
-    config = ordered.selectExpr("'s' source", "true bundled", "path", "cast(null as string) pinned")
-    manifest = ordered.selectExpr("'s' source", "path", "'x' stored", "1L bytes")
-    return integrity.reconcile(config, manifest, there).filter("check <> 'missing file'")
-
-
 @query()
 def lint_documents(spark, sf_dir):
     docs = zh(spark, sf_dir).select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
     return lint.lint(docs)
 
 
-from corpusloom.plans import rule_queries  # noqa: E402, F401  (adds its queries)
+from corpusloom.plans import rule_queries, source_queries  # noqa: E402, F401  (they add their queries)
