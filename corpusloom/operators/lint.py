@@ -567,10 +567,11 @@ def comment_language(comments: Column) -> Column:
 
 #: (what a comment says, what the next line of code does) of comments that only tell the code again.
 OBVIOUS = [
-    (r"^(?:建立|创建|初始化)(?:一個|一个)?空(?:列表|清單|字典|集合|陣列|数组)", r"^[A-Za-z_][\w.\[\]]*\s*=\s*(?:\[\]|\{\}|(?:list|dict|set)\(\))"),
-    (r"^(?:遍歷|遍历)(?:所有|每個|每个)", r"^(?:async\s+)?for\b"),
-    (r"^(?:如果|若).*(?:跳過|跳过|返回|回傳|回传)", r"^if\b"),
-    (r"^(?:返回|回傳|回传)(?:結果|结果|值|資料|数据)?[。.]?$", r"^return\b"),
+    (r"^(?:先)?(?:準備|准备|宣告|声明|設|设|建立|創建|创建).{0,6}空的?(?:串列|列表|字典|集合|陣列|数组|清單|清单)", r"^[A-Za-z_]\w*(?:\.\w+)*\s*(?::[^=]+)?=\s*(?:\[\s*\]|\{\s*\}|(?:list|dict|set|tuple)\(\s*\))"),
+    (r"^(?:逐一|逐個|逐个|依序|遍歷|遍历|迭代)", r"^(?:async\s+for|for|while)\b"),
+    (r"^(?:如果|若|假如|當|当).{0,20}(?:就|則|则)", r"^(?:if|elif|unless|when)\b"),
+    (r"^(?:最後|最后)?(?:返回|回傳|回传|傳回|传回)(?:結果|结果|值|它|資料|数据)?[。.]?$", r"^return\b"),
+    (r"^(?:匯入|导入|引入|載入|加载)(?:模組|模块|套件|函式庫|库)", r"^(?:import|from|require|use|#include)\b"),
 ]
 
 
