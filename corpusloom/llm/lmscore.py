@@ -32,6 +32,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusloom.llm import common
 
@@ -158,6 +159,16 @@ def _unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(flat.T).view(np.uint64)[:, 0], dtype=np.uint64)
 
 
+def _planes(n: np.ndarray) -> np.ndarray:
+    """The bytes of counts, the lowest of all first."""
+    return np.ascontiguousarray(n.astype(np.int64).view(np.uint8).reshape(-1, 8).T)
+
+
+def _counts_of(blob: bytes, size: int) -> np.ndarray:
+    flat = np.frombuffer(pa.decompress(blob, size * 8, "zstd"), np.uint8).reshape(8, size)
+    return np.ascontiguousarray(flat.T).view(np.int64)[:, 0]
+
+
 def _squeezed(x: np.ndarray) -> bytes:
     return pa.Codec("zstd", compression_level=3).compress(np.ascontiguousarray(x).data.cast("B") if x.size else b"", asbytes=True)
 
@@ -205,19 +216,56 @@ def _table(rows: list[tuple]) -> pa.Table:
     return pa.table([list(c) for c in zip(*rows)], schema=_COUNTS) if rows else _COUNTS.empty_table()
 
 
+def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, doc_id, text) to (part, texts): the rows of a part that are read one after the other, compressed together for the shuffle."""
+    waiting: list[pa.RecordBatch] = []
+    size = 0
+
+    def packed() -> pa.RecordBatch:
+        table = pa.Table.from_batches(waiting)
+        part = table.column("part").to_numpy()
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order], prepend=np.iinfo(np.int64).min, append=np.iinfo(np.int64).min))
+        parts, blobs = [], []
+        for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            sink = pa.BufferOutputStream()
+            rows = table.select(["doc_id", "text"]).take(pa.array(order[a:z])).combine_chunks()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows)
+            parts.append(int(part[order[a]]))
+            blobs.append(sink.getvalue().to_pybytes())
+        return pa.record_batch([pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "texts"])
+
+    for batch in batches:
+        if batch.num_rows:
+            waiting.append(batch)
+            size += batch.nbytes
+        if size >= PART_BYTES:
+            yield packed()
+            waiting, size = [], 0
+    if waiting:
+        yield packed()
+
+
+def _unpack_texts(table: pa.Table) -> pa.Table:
+    """(doc_id, text) of a part."""
+    return pa.concat_tables(pa.ipc.open_stream(b.as_buffer()).read_all() for b in table.column("texts"))
+
+
 def _count(buckets: int):
     """The counts and followers of a part's texts, split by bucket. Only buckets that get something have a row."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         rows = []
-        for kind, (key, values) in enumerate(distinct(table.column("text"))):
+        column = _unpack_texts(table).column("text") if "texts" in table.column_names else table.column("text")
+        for kind, (key, values) in enumerate(distinct(column)):
             bucket = (common.mix(key if kind else key >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             key, values, bucket = key[order], values[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else np.zeros(1, np.int64)
             for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                rows.append((part, int(bucket[a]), kind, z - a, _packed(key[a:z]), _squeezed(values[a:z].astype(np.uint8 if kind else np.int64))))
+                rows.append((part, int(bucket[a]), kind, z - a, _packed(key[a:z]), _squeezed(values[a:z] if kind else _planes(values[a:z]))))
         return _table(rows)
 
     return run
@@ -248,7 +296,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     rows = []
     mine = [i for i, k in enumerate(kind) if k == 0]
     keys = [_unpacked(blobs[i], size[i]) for i in mine]
-    counts = [np.frombuffer(pa.decompress(values[i], size[i] * 8, "zstd"), np.int64) * (part[i] >= 0) for i in mine]
+    counts = [_counts_of(values[i], size[i]) * (part[i] >= 0) for i in mine]
     if mine:
         key, n = _counted(np.concatenate(keys), np.concatenate(counts))
         whole = levels(key, n)
@@ -378,7 +426,7 @@ def predictions(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     for i, key in contexts(data, offsets):
         path[i, :-1] = model.look_up(i, key)
         if i:  # the lowest byte of a word is the odds of the first bit: the same for all bytes of a context
-            gate[:-1][path[i, :-1] & 0xFF != 0] = 1 if i <= k // 2 else 2
+            gate[:-1][path[i, :-1].view(np.int8)[::8] != 0] = 1 if i <= k // 2 else 2
     byte = model.expected(data, offsets)
     at = np.flatnonzero(byte)
     path[k, at] = _MATCH[byte[at] ^ data[at]]
@@ -489,16 +537,22 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None, bits: int | None =
     parts = max(FOLDS, -(-size // PART_BYTES))
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int")
     # With another corpus the documents only ask: their parts have numbers below 0, and what they have counts nothing.
-    spread = docs.select("doc_id", "text", (part if corpus is None else -1 - part).alias("part"))
+    packed = lambda df, part: df.select(part.alias("part"), "doc_id", "text").mapInArrow(_pack_texts, "part int, texts binary")
+    spread = packed(docs, part if corpus is None else -1 - part)
     # Counting and coding group the same columns by the same key, so that texts are shuffled once.
     counted = spread.groupBy("part").applyInArrow(_count(parts * SPLIT), _COUNTS_SQL)
     if corpus is not None:
-        taught = corpus.select("doc_id", "text", part.alias("part"))
-        counted = counted.unionByName(taught.groupBy("part").applyInArrow(_count(parts * SPLIT), _COUNTS_SQL))
+        counted = counted.unionByName(packed(corpus, part).groupBy("part").applyInArrow(_count(parts * SPLIT), _COUNTS_SQL))
     known = counted.groupBy("bucket").applyInArrow(_add_up, _COUNTS_SQL)
 
+    ids = pa.field("doc_id", to_arrow_type(docs.schema["doc_id"].dataType))
+    empty = pa.schema([ids, ("n_bytes", pa.int64()), ("total_bits", pa.float64()), ("bits_per_byte", pa.float64())]).empty_table()
+
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         model, out = Model.of(known), []
+        if not texts.num_rows:  # counts for a part without texts
+            return empty
+        texts = _unpack_texts(texts)
         # Texts of like length are coded side by side.
         texts = texts.take(pc.sort_indices(pc.binary_length(texts.column("text")), sort_keys=[("", "descending")]))
         for batch in texts.select(["doc_id", "text"]).combine_chunks().to_batches():
@@ -508,9 +562,7 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None, bits: int | None =
                 n = np.diff(offsets)
                 ratio = pa.array(np.divide(total, n, out=np.zeros(len(n)), where=n > 0), mask=n == 0)
                 out.append(pa.record_batch([part.column(0), pa.array(n.astype(np.int64)), pa.array(total), ratio], names=["doc_id", "n_bytes", "total_bits", "bits_per_byte"]))
-        if out:
-            return pa.Table.from_batches(out)
-        return pa.table({"doc_id": pa.array([], texts.schema.field("doc_id").type), "n_bytes": pa.array([], pa.int64()), "total_bits": pa.array([], pa.float64()), "bits_per_byte": pa.array([], pa.float64())})
+        return pa.Table.from_batches(out)
 
     return spread.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(score, schema)
 
