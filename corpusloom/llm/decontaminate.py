@@ -28,11 +28,8 @@ from corpusloom.llm import common
 WINDOW, SHORTEST, COVERAGE = 8, 4, 0.6
 #: Share of an alignment's slots that must map consistently.
 CONSISTENT = 0.8
-#: Windows up to which the bit map is made and broadcast (64 bits a window: 32 MB at most).
+#: Windows up to which the bit map is made and broadcast (16 to 32 places a window, one byte each: 128 MB at most).
 MAP_WINDOWS = 4_000_000
-#: Leaking documents up to which their ids are broadcast against the documents; beyond, both sides are shuffled.
-BROADCAST_ROWS = 2_000_000
-
 UNITS = "km m cm mm kg g mg t lb lbs oz ft mi mile miles inch inches meter meters metre metres kilometer kilometers kilometre kilometres kilogram kilograms gram grams liter liters litre litres l ml s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars cent cents euro euros pound pounds usd eur degree degrees kmh mph hz khz mhz kb mb gb tb watt watts volt volts".split()
 _UNIT = np.sort(np.array([common.hash_word(u) for u in UNITS], np.uint64))
 #: Template hashes of the placeholders.
@@ -225,10 +222,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shortest:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents into which no item leaks, all columns unchanged. Rows that leaks() leaves out (null ids, null or empty texts) stay."""
-    bad = common.materialise(leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_cl_id")).distinct(), "leaking-documents")
-    small = bad.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(bad) if small else bad, docs["doc_id"] == bad["_cl_id"], "left_anti")
+    """The documents into which no item leaks, all columns unchanged, whatever their names. Rows that leaks() leaves out (null ids, null or empty texts) stay; rows of one id go together. Very long texts are searched whole; an empty table gives an empty one."""
+    (name,) = common.unused(docs, "_cl_id")
+    bad = common.materialise(leaks(docs, benchmark, **options).select(F.col("doc_id").alias(name)).distinct(), "leaking-documents")
+    return docs.join(common.broadcast_if_small(bad, bad.count() * 16), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

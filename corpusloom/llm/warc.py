@@ -327,7 +327,9 @@ def read_warc(spark: SparkSession, path: str, columns: Sequence[str] | None = No
     """The records of WARC files, of all kinds, with the named columns only; unknown names raise.
 
     Header columns are null where a record lacks the header; an empty file or folder gives no row; repeated records
-    are listed each; an empty payload is empty, not null. Records that are cut off raise.
+    are listed each; an empty payload is empty, not null. Records that are cut off raise, and so does a damaged gzip
+    member; one without a Content-Length is read as empty. There are no ties: records come in the order of their files.
+    Payloads of any length are read whole.
     """
     spark.dataSource.register(WarcDataSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")

@@ -3,7 +3,7 @@ from pyspark.sql import types as T
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
 #: Columns that operators use inside, or might.
-CLASHING = ["h", "key", "n", "pos", "line", "pattern", "shard", "bin", "keep", "score", "root", "a", "b", "group_id", "hash", "size", "stem", "slot", "predicted", "n_tokens", "line_hash", "signature", "item_id", "count"]
+CLASHING = ["h", "key", "n", "pos", "line", "pattern", "shard", "bin", "keep", "score", "root", "a", "b", "group_id", "hash", "size", "stem", "slot", "predicted", "n_tokens", "line_hash", "signature", "item_id", "count", "_cl_h", "_CL_N", "_cl_pos", "_cl_short", "_cl_winner", "_cl_id", "_cl_lang", "_cl_ok", "a.b", "c`d"]
 
 
 @pytest.fixture
