@@ -12,6 +12,10 @@ buckets, so that a bucket that holds a third of the corpus is spread over many t
 one of its bucket in its task and to the one before it in the order of another part of the signature, and the firsts
 of a bucket's tasks are joined in turn. So thousands of copies cost a linear number of edges and no bucket is cut.
 Edges are verified on whole signatures, and groups are the connected components of what remains.
+
+These edges don't try all pairs of a bucket. Where a bucket still has texts of several groups, every pair of different
+groups in it is compared, in tiles of TILE texts a side; the links that are found join groups. So two texts are in one
+group exactly if a chain of texts leads from one to the other in which neighbours share a bucket and are similar.
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +36,8 @@ SHINGLE, PERMUTATIONS, ROWS, THRESHOLD = 3, 64, 4, 0.7
 _MULTIPLY = (np.random.default_rng(20).integers(0, 1 << 32, 4096, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = np.random.default_rng(21).integers(0, 1 << 32, 4096, dtype=np.uint64).astype(np.uint32)
 _BLOCK = 1 << 15
+#: Texts of a bucket that are compared with as many others at once.
+TILE = 2048
 
 
 def shingles(column: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -136,10 +143,12 @@ def verified(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
 
 
 _JOINED = "a long, b long, key long"
+#: The bits of a bucket's key that give way to bits of another band, by which the bucket is ordered: 48 bits tell the buckets apart, and two that fall together only cost comparisons.
+_ORDER = 0xFFFF
 
 
 def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, h) in the order of key: pairs of each h with the first of its key and with the one before it; and, for the first and the last key of the task, which may go on in other tasks, the key and its first h."""
+    """Rows (key, h) in the order of key, of which the lowest bits don't count (_ORDER): (first of the key, h, key) for each further h; pairs of each h with the one before it, without key; and, for the first and the last key of the task, which may go on in other tasks, its first h twice and the key."""
     last = first = before = None
     edge: list[tuple[int, int]] = []
 
@@ -150,6 +159,7 @@ def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         key, h = (batch.column(k).to_numpy() for k in (0, 1))
+        key = key & ~np.int64(_ORDER)
         if last is None:
             edge.append((int(key[0]), int(h[0])))
         new = np.concatenate([[last is None or key[0] != last], key[1:] != key[:-1]])
@@ -159,37 +169,170 @@ def _join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hub[: starts[0] if len(starts) else len(h)] = first
         previous = np.concatenate([[h[0] if new[0] else before], h[:-1]])
         previous[new] = h[new]
-        a, b = np.concatenate([hub, previous]), np.concatenate([h, h])
-        some = a != b
-        yield out(np.minimum(a, b)[some], np.maximum(a, b)[some])
+        some = hub != h
+        yield out(hub[some], h[some], key[some])
+        some &= (previous != h) & (previous != hub)
+        yield out(np.minimum(previous, h)[some], np.maximum(previous, h)[some])
         last, first, before = int(key[-1]), int(hub[-1]), int(h[-1])
     if last is not None:
         edge.append((last, first))
         yield out([x for _, x in edge], [x for _, x in edge], [k for k, _ in edge])
 
 
-def candidates(signed: DataFrame, bands: int) -> DataFrame:
-    """Distinct pairs (a, b), a < b, of contents that share a bucket and are next to each other or to the bucket's first."""
+def candidates(signed: DataFrame, bands: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, members, joined): distinct pairs (a, b), a < b, of contents that share a bucket and are next to each other or to the bucket's first; the contents (key, h) of all buckets of several; the table that both are read from."""
     buckets = signed.select("h", F.posexplode("keys").alias("band", "key"), F.element_at("keys", -1).alias("by_last"), F.element_at("keys", 1).alias("by_first"))
-    buckets = buckets.select("key", "h", F.when(F.col("band") * 2 < bands, F.col("by_last")).otherwise(F.col("by_first")).alias("by")).filter("key is not null")
-    ordered = buckets.repartitionByRange("key", "by", "h").sortWithinPartitions("key", "by", "h").select("key", "h")
+    by = F.when(F.col("band") * 2 < bands, F.col("by_last")).otherwise(F.col("by_first"))
+    buckets = buckets.filter("key is not null").select(F.col("key").bitwiseAND(~_ORDER).bitwiseOR(by.bitwiseAND(_ORDER)).alias("key"), "h")
+    ordered = buckets.repartitionByRange("key", "h").sortWithinPartitions("key", "h")
     joined = common.materialise(ordered.mapInArrow(_join_up, _JOINED), "minhash-joined")
     # A bucket that goes over several tasks: its firsts are joined to the least of them.
-    firsts = joined.filter("key is not null").select("key", F.col("a").alias("h")).distinct()
+    firsts = joined.filter("key is not null and a = b").select("key", F.col("a").alias("h")).distinct()
     least = firsts.groupBy("key").agg(F.min("h").alias("least"))
     across = firsts.join(least, "key").filter("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b"))
-    return joined.filter("key is null").select("a", "b").unionByName(across).distinct()
+    within = joined.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    members = joined.filter("key is not null").select("key", F.explode(F.array("a", "b")).alias("h")).distinct()
+    return within.unionByName(across).distinct(), members, joined
+
+
+#: Bits of a map of contents, as a power of 2: 16 to 32 a content and 16 MB at most. If there are more contents, more of the others pass, too.
+_MAP = 27
+
+
+def signatures_of(signed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, signature) of the contents of wanted (h, repeated or not). Signatures pass a bit map of them before they are shuffled."""
+    spark = signed.sparkSession
+    mask = (1 << min(_MAP, max(16, (16 * wanted.count() - 1).bit_length()))) - 1
+    place = F.col("h").bitwiseAND(mask)
+    words = wanted.select(F.shiftrightunsigned(place, 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    table = np.zeros((mask + 1) // 64, np.int64)
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def may_be(h: pd.Series) -> pd.Series:
+        at = h.to_numpy() & mask
+        return pd.Series((shared.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    passed = signed.select("h", "signature").filter(may_be("h"))
+    return passed.join(wanted.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("signature").alias("signature"))
+
+
+def least_agreements(threshold: float, width: int) -> int:
+    """How many of width values must agree for verified()."""
+    return int(np.ceil((threshold - 1e-9) * width))
+
+
+def links(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None, need: int) -> set[tuple[int, int]]:
+    """Pairs of groups that at least one pair of similar texts joins: of a text of left and one of right, or of two of left if right is None. Each side is (groups, signatures); need values must agree.
+
+    The number of values that differ is a metric, so texts whose distances from a third one differ by more than is allowed are
+    not compared. Others are compared by one byte of each value first, which never takes similar texts for different ones.
+    """
+    far = left[1].shape[1] - need
+    pivot = left[1][0]
+
+    def ordered(side):
+        group, s = side
+        d = (s != pivot).sum(axis=1)
+        by = np.argsort(d, kind="stable")
+        return group[by], s[by], d[by]
+
+    g, s, d = ordered(left)
+    og, os, od = (g, s, d) if right is None else ordered(right)
+    # The value's bytes added up, as the highest ones of a minimum are all alike.
+    low, olow = (np.ascontiguousarray((x.view(np.uint8).reshape(*x.shape, 4).sum(axis=2, dtype=np.uint8))) for x in (s, os))
+    olow = np.ascontiguousarray(olow.T)
+    counter = np.uint8 if len(olow) < 256 else np.uint32
+    begin, end = np.searchsorted(od, d - far), np.searchsorted(od, d + far, side="right")
+    if right is None:
+        begin = np.maximum(begin, np.arange(len(d)) + 1)
+    found: set[tuple[int, int]] = set()
+    for i in range(len(d)):
+        if begin[i] >= end[i]:
+            continue
+        w = slice(begin[i], end[i])
+        agree = np.add.reduce((olow[:, w] == low[i][:, None]).view(np.uint8), axis=0, dtype=counter)
+        at = np.flatnonzero((agree >= need) & (og[w] != g[i])) + begin[i]
+        if len(at):
+            for o in np.unique(og[at[(os[at] == s[i]).sum(axis=1) >= need]]).tolist():
+                found.add((min(int(g[i]), o), max(int(g[i]), o)))
+    return found
+
+
+def _compare(need: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (key, i, j, side, root, signature) in the order of (key, i, j): links of the groups of each tile."""
+        tile, rows = None, []
+
+        def close():
+            side, root, s = (np.concatenate([r[k] for r in rows]) for k in range(3))
+            two = side.any() and not side.all()
+            first = side == side[0]
+            return links((root[first], s[first]), (root[~first], s[~first]) if two else None, need)
+
+        found: set[tuple[int, int]] = set()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j, side, root = (batch.column(k).to_numpy() for k in range(5))
+            s = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint32).reshape(-1, width)
+            cut = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
+                here = (int(key[a]), int(i[a]), int(j[a]))
+                if tile is not None and here != tile:
+                    found |= close()
+                    rows = []
+                tile = here
+                rows.append((side[a:b], root[a:b], s[a:b]))
+        if tile is not None:
+            found |= close()
+        if found:
+            a, b = zip(*sorted(found))
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
 
 
-def edges(docs: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, rows: int = ROWS, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(contents, edges): contents has (h, doc_id, copies): each distinct text once, under its smallest id; edges has verified pairs (a, b), a < b, of content keys."""
+def _tiles(least: int) -> Column:
+    """The tiles (i, j, side) in which a row of a bucket is compared. A bucket of at most `least` rows is one tile. Else its largest group is not compared in itself: its blocks i meet the blocks j of all others, and the others' blocks meet each other."""
+    tile = "struct(cast({} as long) as i, cast({} as long) as j, cast({} as long) as side)"
+    one = f"array({tile.format(0, 0, 0)})"
+    own = "pmod(h, {})"
+    large = f"transform(sequence(0L, others - 1), k -> {tile.format(own.format('blocks'), 'k', 0)})"
+    mine = own.format("others")
+    other = f"transform(sequence(0L, blocks - 1), k -> {tile.format('k', mine, 1)})"
+    each = f"transform(sequence(0L, others - 1), k -> {tile.format(f'-1 - least(k, {mine})', f'greatest(k, {mine})', f'if({mine} > k, 1, 0)')})"
+    return F.expr(f"case when n <= {least} then {one} when root = largest then {large} else concat({other}, {each}) end")
+
+
+def between_groups(members: DataFrame, rooted: DataFrame, signed: DataFrame, threshold: float, width: int) -> DataFrame:
+    """(a, b), a < b: roots of groups that a similar pair in one bucket joins. members has (key, h), rooted (v, root); a content that isn't in rooted is its own group."""
+    labelled = members.join(rooted.withColumnRenamed("v", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    labelled = common.materialise(labelled, "minhash-members")
+    by_group = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = by_group.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("groups"))
+    # Two contents of a bucket have been compared as its first and the next.
+    mixed = mixed.filter("groups > 1 and n > 2").select("key", "n", F.col("most.root").alias("largest"), F.ceil(F.col("most.n") / TILE).alias("blocks"), F.ceil((F.col("n") - F.col("most.n")) / TILE).alias("others"))
+    tiled = labelled.join(mixed, "key").select("key", "h", "root", _tiles(TILE).alias("tiles"))
+    tiled = common.materialise(tiled, "minhash-tiles")
+    whole = signatures_of(signed, tiled.select("h"))
+    rows = tiled.join(whole, "h").select("key", F.explode("tiles").alias("t"), "root", "signature").select("key", "t.i", "t.j", "t.side", "root", "signature")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = common.materialise(rows.mapInArrow(_compare(least_agreements(threshold, width), width), "a long, b long").distinct(), "minhash-links")
+    common.discard(labelled, tiled)
+    return found
+
+
+def rooted(docs: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, rows: int = ROWS, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
+    """(contents, roots): contents has (h, doc_id, copies, chars): each distinct text once, under its smallest id; roots has (v, root) of every content that is similar to another one with which it shares a bucket."""
     common.small_batches(docs.sparkSession)
     named = docs.select("doc_id", "text")
     signed = named.filter(F.length("text") > 0).select(text_key().alias("h"), "text").mapInArrow(_sign(permutations, shingle, rows), "h long, signature binary, keys array<long>")
     signed = common.materialise(signed, "minhash-signatures")
-    pairs = common.materialise(candidates(signed, 2 * permutations // rows), "minhash-candidates")
-    in_pairs = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    one = signed.join(in_pairs, "h", "left_semi").groupBy("h").agg(F.first("signature").alias("signature"))
+    pairs, members, joined = candidates(signed, 2 * permutations // rows)
+    pairs = common.materialise(pairs, "minhash-candidates")
+    one = signatures_of(signed, pairs.select(F.explode(F.array("a", "b")).alias("h")))
     left, right = one.select(F.col("h").alias("a"), F.col("signature").alias("sa")), one.select(F.col("h").alias("b"), F.col("signature").alias("sb"))
     width = 2 * permutations
 
@@ -202,8 +345,16 @@ def edges(docs: DataFrame, threshold: float = THRESHOLD, permutations: int = PER
     found = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
     contents = named.groupBy(text_key().alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max(F.length(F.coalesce("text", F.lit("")))).alias("chars"))
     found = common.materialise(found, "minhash-edges")
-    common.discard(signed, pairs)
-    return contents, found
+    common.discard(pairs)
+    roots = components(found)
+    more = between_groups(members, roots, signed, threshold, width)
+    common.discard(signed, joined, found)
+    if more.limit(1).count():
+        again = components(more)
+        common.discard(more)
+        moved = roots.join(again.select(F.col("v").alias("root"), F.col("root").alias("least")), "root", "left").select("v", F.coalesce("least", "root").alias("root"))
+        roots = moved.union(again.join(roots.select("v"), "v", "left_anti").select("v", "root"))
+    return contents, roots
 
 
 def _lower(pairs: DataFrame, to_itself: bool) -> DataFrame:
@@ -239,10 +390,9 @@ def components(pairs: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
     """(h, root, doc_id, copies, group_id, group_rows, winner): every content in a group of two rows or more; group_id is the smallest doc_id of the group, winner the content that stays."""
-    contents, found = edges(docs, threshold, permutations, rows, shingle)
-    rooted = components(found).withColumnRenamed("v", "h")
+    contents, roots = rooted(docs, threshold, permutations, rows, shingle)
     contents = contents.filter("chars > 0")
-    grouped = contents.join(rooted, "h", "left").filter("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "h"))
+    grouped = contents.join(roots.withColumnRenamed("v", "h"), "h", "left").filter("copies > 1 or root is not null").withColumn("root", F.coalesce("root", "h"))
     # By partial aggregates: a group may be very large.
     best = grouped.groupBy("root").agg(F.min("doc_id").alias("group_id"), F.sum("copies").alias("group_rows"), F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id"), F.col("h"))).getField("h").alias("winner"))
     return grouped.join(best, "root").select("h", "root", "doc_id", "copies", "group_id", "group_rows", "winner")

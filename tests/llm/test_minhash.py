@@ -141,3 +141,73 @@ def test_hot_groups_dont_meet_in_one_task(make):
     docs = make(variants()[:20])
     plan = minhash.near_duplicates(docs)._jdf.queryExecution().toString()
     assert "Window" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def halves(seed=8):
+    """Texts that share most of a passage with each other and have more or less of a further one: many share buckets, and only some of them are similar."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(4):
+        passage = [f"p{g}q{i}" for i in range(90)]
+        kinds = [[f"k{g}x{k}y{i}" for i in range(60)] for k in range(12)]
+        for _ in range(70):
+            kind = rng.choice(kinds)
+            rows.append(" ".join(passage + [w if rng.random() > 0.04 else f"z{rng.randrange(10**9)}" for w in kind[: rng.randint(25, 60)]]))
+    return rows
+
+
+def brute_force_groups(rows):
+    """Groups of two texts or more: chains of pairs that share a bucket and agree in enough values, all pairs tried."""
+    s = minhash.signatures(pa.array(rows))
+    keys = minhash.band_keys(s)
+    parent = list(range(len(rows)))
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for i in range(len(rows)):
+        for j in np.flatnonzero((keys == keys[i]).any(axis=1) & ((s == s[i]).mean(axis=1) >= minhash.THRESHOLD)).tolist():
+            a, b = sorted((find(i), find(j)))
+            parent[b] = a
+    groups = {}
+    for v in range(len(rows)):
+        groups.setdefault(find(v), set()).add(v)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def found_groups(docs):
+    groups = {}
+    for r in minhash.near_duplicates(docs).collect():
+        groups.setdefault(r.group_id, set()).add(r.doc_id)
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_every_pair_of_a_bucket_counts(make, monkeypatch):
+    """Links between texts that are neither the first of a bucket nor neighbours in it join groups, too."""
+    for seed in (8, 9):
+        rows = halves(seed)
+        expected = brute_force_groups(rows)
+        assert len(expected) > 4
+        assert found_groups(make(rows)) == expected
+        kept = {r.doc_id for r in minhash.drop_near_duplicates(make(rows)).collect()}
+        assert kept == set(range(len(rows))) - {v for g in expected for v in g if v != min(g)}
+        with monkeypatch.context() as m:
+            m.setattr(minhash, "TILE", 5)
+            assert found_groups(make(rows)) == expected
+
+
+def test_links_of_a_tile():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 32, (9, 128), dtype=np.uint64).astype(np.uint32)
+    s = base[rng.integers(0, 9, 300)].copy()
+    for row in s:
+        some = rng.random(128) < rng.random() * 0.35
+        row[some] = rng.integers(0, 1 << 32, some.sum(), dtype=np.uint64).astype(np.uint32)
+    group = rng.integers(0, 40, 300)
+    need = minhash.least_agreements(0.7, 128)
+    near = (s[:, None] == s[None]).sum(axis=2) >= need
+    for left, right in ((slice(0, 300), None), (slice(0, 120), slice(120, 300))):
+        pairs = {(min(group[i], group[j]), max(group[i], group[j])) for i in range(300)[left] for j in range(300)[right or left] if group[i] != group[j] and near[i, j]}
+        assert minhash.links((group[left], s[left]), right and (group[right], s[right]), need) == pairs and pairs
