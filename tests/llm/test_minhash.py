@@ -211,3 +211,12 @@ def test_links_of_a_tile():
     for left, right in ((slice(0, 300), None), (slice(0, 120), slice(120, 300))):
         pairs = {(min(group[i], group[j]), max(group[i], group[j])) for i in range(300)[left] for j in range(300)[right or left] if group[i] != group[j] and near[i, j]}
         assert minhash.links((group[left], s[left]), right and (group[right], s[right]), need) == pairs and pairs
+
+
+def test_pipeline_stage_keeps_one_of_each_group(spark, make):
+    """The pipeline's stage drops what is linked to its group through any pair of a bucket."""
+    import corpus_pipeline
+
+    rows = halves(9)
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, make(rows), "").collect()}
+    assert left == set(range(len(rows))) - {v for g in brute_force_groups(rows) for v in g if v != min(g)}
