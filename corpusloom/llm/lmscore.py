@@ -173,8 +173,39 @@ def _squeezed(x: np.ndarray) -> bytes:
     return pa.Codec("zstd", compression_level=3).compress(np.ascontiguousarray(x).data.cast("B") if x.size else b"", asbytes=True)
 
 
-def distinct(column: pa.ChunkedArray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-    """Of a column of texts: the distinct keys, ascending, and how often each occurs; the distinct anchors and the least follower of each."""
+def _runs(column: pa.ChunkedArray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray, np.ndarray]]:
+    """(data, offsets, skip, places of anchors, anchors) of the texts, in runs."""
+    for batch in pa.table({"text": column}).to_batches():
+        for part in common.slices(batch, 0, COUNT_BYTES):
+            for data, offsets, skip, more in pieces(*text_bytes(part.column(0))):
+                at, anchor = anchors(data, offsets)
+                # What follows an anchor may lie beyond a run of a long text: then it is taken with the next run.
+                ready = at <= (len(data) - FOLLOWER if more else len(data))
+                yield data, offsets, skip, at[ready], anchor[ready]
+
+
+def _least(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchors, ascending, and the least follower of each."""
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros((0, FOLLOWER), np.uint8)
+    anchor, after = np.concatenate([k for k, _ in found]), np.concatenate([f for _, f in found])
+    order = np.lexsort((*np.ascontiguousarray(after[:, ::-1]).view(np.uint64).T, anchor)) if after.shape[1] else np.argsort(anchor)
+    anchor, after = anchor[order], after[order]
+    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+    return anchor[first], after[first]
+
+
+def following(column: pa.ChunkedArray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchors of a column of texts that are wanted (ascending), and the least follower of each."""
+    found = []
+    for data, offsets, _, at, anchor in _runs(column):
+        asked = wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor
+        found.append((anchor[asked], followers(data, offsets, at[asked])))
+    return _least(found)
+
+
+def distinct(column: pa.ChunkedArray, followed: bool = True) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Of a column of texts: the distinct keys, ascending, and how often each occurs; the distinct anchors and, if followed, the least follower of each (else none of its bytes)."""
     have: list[tuple[np.ndarray, np.ndarray]] = []
     found: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -182,32 +213,21 @@ def distinct(column: pa.ChunkedArray) -> tuple[tuple[np.ndarray, np.ndarray], tu
         return _counted(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])) if len(parts) > 1 else parts[0]
 
     longest = len(ORDERS) - 1
-    for batch in pa.table({"text": column}).to_batches():
-        for part in common.slices(batch, 0, COUNT_BYTES):
-            for data, offsets, skip, more in pieces(*text_bytes(part.column(0))):
-                at, anchor = anchors(data, offsets)
-                # What follows an anchor may lie beyond a run of a long text: then it is taken with the next run.
-                ready = at <= (len(data) - FOLLOWER if more else len(data))
-                found.append((anchor[ready], followers(data, offsets, at[ready])))
-                have.append(_counted(_key(longest, windows(data, offsets)[skip:])))
-                if len(have) == 16:
-                    have = [merged(have)]
+    for data, offsets, skip, at, anchor in _runs(column):
+        found.append((anchor, followers(data, offsets, at) if followed else np.zeros((len(at), 0), np.uint8)))
+        have.append(_counted(_key(longest, windows(data, offsets)[skip:])))
+        if len(have) == 16:
+            have = [merged(have)]
     # The counts of the longest contexts are those of the shorter ones, added up.
     got = [merged(have)] if have else [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     for i in range(longest)[::-1]:
         key, n = got[0]
         got.insert(0, _counted(_key(i, key), n))
     keys = np.concatenate([k for k, _ in got]), np.concatenate([n for _, n in got])
-    if not found:
-        return keys, (np.zeros(0, np.uint64), np.zeros((0, FOLLOWER), np.uint8))
-    anchor, after = np.concatenate([k for k, _ in found]), np.concatenate([f for _, f in found])
-    order = np.lexsort((*np.ascontiguousarray(after[:, ::-1]).view(np.uint64).T, anchor))
-    anchor, after = anchor[order], after[order]
-    first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
-    return keys, (anchor[first], after[first])
+    return keys, _least(found)
 
 
-#: Rows between the steps: kind 0 has keys and counts (then odds), kind 1 anchors and followers. `bucket` is of contexts.
+#: Rows between the steps: kind 0 has keys and counts (then odds), kind 1 anchors and followers; where followers are asked for, anchors and the parts that ask, if they are known. `bucket` is of contexts.
 _COUNTS = pa.schema([("part", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int8()), ("size", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
 _COUNTS_SQL = "part int, bucket int, kind byte, size int, keys binary, values binary"
 
@@ -252,14 +272,14 @@ def _unpack_texts(table: pa.Table) -> pa.Table:
     return pa.concat_tables(pa.ipc.open_stream(b.as_buffer()).read_all() for b in table.column("texts"))
 
 
-def _count(buckets: int):
-    """The counts and followers of a part's texts, split by bucket. Only buckets that get something have a row."""
+def _count(buckets: int, followed: bool = True):
+    """The counts and anchors of a part's texts, with followers or without, split by bucket. Only buckets that get something have a row."""
 
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         rows = []
         column = _unpack_texts(table).column("text") if "texts" in table.column_names else table.column("text")
-        for kind, (key, values) in enumerate(distinct(column)):
+        for kind, (key, values) in enumerate(distinct(column, followed)):
             bucket = (common.mix(key if kind else key >> np.uint64(8)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             key, values, bucket = key[order], values[order], bucket[order]
@@ -290,6 +310,19 @@ def odds(counts: np.ndarray) -> np.ndarray:
     return out.view(np.int64)[:, 0]
 
 
+def _told(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For anchors and their parts, in this order: the rows that are told what follows, and the rows that tell it."""
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    # The next row of the same anchor, or from the last one the first; those that only ask (they come first) aren't told of.
+    begin = np.repeat(first, np.diff(np.append(first, len(key))))
+    begin = begin + np.repeat(np.add.reduceat(owner < 0, first), np.diff(np.append(first, len(key))))
+    end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
+    there = np.arange(len(key)) + 1
+    there = np.where((there >= end) | (owner < 0), begin, there)
+    told = (there < end) & (there != np.arange(len(key)))
+    return np.flatnonzero(told), there[told]
+
+
 def _add_up(table: pa.Table) -> pa.Table:
     """The counts of a bucket, from all parts, to what each part asked for: the odds by the counts of the other parts; and after an anchor what follows it in the next part (in a circle) that has it. Parts below 0 only ask."""
     part, bucket, kind, size, blobs, values = (table.column(c).to_pylist() for c in _COUNTS.names)
@@ -313,14 +346,7 @@ def _add_up(table: pa.Table) -> pa.Table:
         order = np.lexsort((owner, key))
         key, after, owner = key[order], after[order], owner[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        # The next row of the same anchor, or from the last one the first; those that only ask (they come first) aren't told of.
-        begin = np.repeat(first, np.diff(np.append(first, len(key))))
-        begin = begin + np.repeat(np.add.reduceat(owner < 0, first), np.diff(np.append(first, len(key))))
-        end = np.repeat(np.append(first[1:], len(key)), np.diff(np.append(first, len(key))))
-        there = np.arange(len(key)) + 1
-        there = np.where((there >= end) | (owner < 0), begin, there)
-        told = (there < end) & (there != np.arange(len(key)))
-        at, there = np.flatnonzero(told), there[told]
+        at, there = _told(key, owner)
         at, there = at[np.argsort(owner[at], kind="stable")], there[np.argsort(owner[at], kind="stable")]
         cuts = np.flatnonzero(np.diff(owner[at], prepend=np.iinfo(np.int64).min, append=np.iinfo(np.int64).min)) if len(at) else np.zeros(1, np.int64)
         for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -328,6 +354,43 @@ def _add_up(table: pa.Table) -> pa.Table:
     return _table(rows)
 
 
+def _odds(table: pa.Table) -> pa.Table:
+    """_add_up() of the counts alone."""
+    return _add_up(table.filter(pc.equal(table.column("kind"), 0)))
+
+
+def _ask(table: pa.Table) -> pa.Table:
+    """From the anchors of a bucket, of all parts: for each part those whose followers other parts need, and who needs them. So only followers that a match can use are sent."""
+    table = table.filter(pc.equal(table.column("kind"), 1))
+    part, bucket, _, size, blobs, _ = (table.column(c).to_pylist() for c in _COUNTS.names)
+    if not part:
+        return _COUNTS.empty_table()
+    key, owner = np.concatenate([_unpacked(b, n) for b, n in zip(blobs, size)]), np.repeat(np.array(part, np.int32), size)
+    order = np.lexsort((owner, key))
+    key, owner = key[order], owner[order]
+    at, there = _told(key, owner)
+    order = np.argsort(owner[there], kind="stable")
+    at, there = at[order], there[order]
+    tells = owner[there]
+    cuts = np.flatnonzero(np.diff(tells.astype(np.int64), prepend=-1, append=-1)) if len(at) else np.zeros(1, np.int64)
+    return _table([(int(tells[a]), bucket[0], 1, z - a, _packed(key[at[a:z]]), _squeezed(owner[at[a:z]])) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())])
+
+
+def _answer(texts: pa.Table, asked: pa.Table) -> pa.Table:
+    """The followers that were asked of a part by _ask(), for the parts that need them."""
+    if not texts.num_rows or not asked.num_rows:
+        return _COUNTS.empty_table()
+    size, blobs, values = (asked.column(c).to_pylist() for c in ("size", "keys", "values"))
+    key = np.concatenate([_unpacked(b, n) for b, n in zip(blobs, size)])
+    asks = np.concatenate([np.frombuffer(pa.decompress(v, n * 4, "zstd"), np.int32) for v, n in zip(values, size)])
+    anchor, after = following(_unpack_texts(texts).column("text"), np.unique(key))
+    order = np.lexsort((key, asks))
+    key, asks = key[order], asks[order]
+    there = np.searchsorted(anchor, key)
+    cuts = np.flatnonzero(np.diff(asks.astype(np.int64), prepend=np.iinfo(np.int64).min, append=np.iinfo(np.int64).min))
+    return _table([(int(asks[a]), 0, 1, z - a, _packed(key[a:z]), _squeezed(after[there[a:z]])) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())])
+
+
 class Model:
     """What a part got: open-addressed tables, one a predictor, of keys and the log odds of their bytes' bits (0 odds where nothing is known), and what follows anchors. A table has a third more places than keys or more, and no key is left out."""
 
@@ -540,10 +603,15 @@ def scored(docs: DataFrame, corpus: DataFrame | None = None, bits: int | None =
     packed = lambda df, part: df.select(part.alias("part"), "doc_id", "text").mapInArrow(_pack_texts, "part int, texts binary")
     spread = packed(docs, part if corpus is None else -1 - part)
     # Counting and coding group the same columns by the same key, so that texts are shuffled once.
-    counted = spread.groupBy("part").applyInArrow(_count(parts * SPLIT), _COUNTS_SQL)
+    count = _count(parts * SPLIT, followed=False)
+    counted = spread.groupBy("part").applyInArrow(count, _COUNTS_SQL)
+    sources = spread
     if corpus is not None:
-        counted = counted.unionByName(packed(corpus, part).groupBy("part").applyInArrow(_count(parts * SPLIT), _COUNTS_SQL))
-    known = counted.groupBy("bucket").applyInArrow(_add_up, _COUNTS_SQL)
+        sources = packed(corpus, part)
+        counted = counted.unionByName(sources.groupBy("part").applyInArrow(count, _COUNTS_SQL))
+    # Both read the same shuffled rows.
+    known, asked = (counted.groupBy("bucket").applyInArrow(step, _COUNTS_SQL) for step in (_odds, _ask))
+    known = known.unionByName(sources.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_answer, _COUNTS_SQL))
 
     ids = pa.field("doc_id", to_arrow_type(docs.schema["doc_id"].dataType))
     empty = pa.schema([ids, ("n_bytes", pa.int64()), ("total_bits", pa.float64()), ("bits_per_byte", pa.float64())]).empty_table()

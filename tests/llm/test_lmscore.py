@@ -183,3 +183,24 @@ def test_all_predictors_are_there(corpus):
     assert m.ORDERS == (1, 2, 3, 4, 6)
     data, offsets = m.text_bytes(pa.array([corpus[0][1]]))
     assert [i for i, _ in m.contexts(data, offsets)] == [0, 1, 2, 3, 4]
+
+
+def test_only_followers_that_are_asked_for_are_sent(make, corpus):
+    """Parts tell each other their anchors, and then what follows those that another part has: with the same result as if all was sent."""
+    texts = [t for _, t, _ in corpus[:40]]
+    texts += [t[30:] + f" and {i} more" for i, t in enumerate(texts[:20])]
+    docs = make(texts)
+    part = np.array([r.p for r in docs.orderBy("doc_id").select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(m.FOLDS)).alias("p")).collect()])
+    tables = {p: pa.table({"part": pa.array([p] * int((part == p).sum()), pa.int32()), "text": [t for t, q in zip(texts, part) if q == p]}) for p in sorted(set(part.tolist()))}
+    lean = pa.concat_tables(m._count(1, followed=False)(t) for t in tables.values())
+    anchors = lean.filter(pa.compute.equal(lean.column("kind"), 1))
+    assert anchors.num_rows and max(len(v) for v in anchors.column("values").to_pylist()) < 16
+    known = m._add_up(pa.concat_tables(m._count(1)(t) for t in tables.values()))
+    expected = {}
+    for p, t in tables.items():
+        model = m.Model.of(known.filter(pa.compute.equal(known.column("part"), p)))
+        bits = m.code_lengths(model, *m.text_bytes(t.column("text").combine_chunks()))
+        assert len(model.anchor)
+        expected |= dict(zip(np.flatnonzero(part == p).tolist(), bits.tolist()))
+    got = {r.doc_id: r.total_bits for r in m.scored(docs).collect()}
+    assert got == pytest.approx(expected, rel=1e-6)
