@@ -7,15 +7,16 @@ estimate; as minimum and maximum are negatively correlated, its variance is lowe
 minima, at half of the evaluations (Ji et al., "Min-Max Hash for Jaccard Similarity", ICDM 2013).
 
 Plan: each task signs a text once, however often it reads it, and the signatures are written once to the shared folder;
-bands of ROWS values are shuffled as (bucket, text) pairs without signatures. The pairs are sorted by range over all
-buckets, so that a bucket that holds a third of the corpus is spread over many tasks; each text is joined to the first
-one of its bucket in its task and to the one before it in the order of another part of the signature, and the firsts
-of a bucket's tasks are joined in turn. So thousands of copies cost a linear number of edges and no bucket is cut.
+bands of ROWS values or fewer are shuffled as (bucket, text) pairs without signatures. There is one band more than values
+may differ at the threshold, so similar texts always share one. The pairs are sorted by range over all buckets, so that
+a bucket that holds a third of the corpus is spread over many tasks; each text is joined to the first one of its bucket
+in its task and to the one before it in the order of another part of the signature, and the firsts of a bucket's tasks
+are joined in turn. So thousands of copies cost a linear number of edges and no bucket is cut.
 Edges are verified on whole signatures, and groups are the connected components of what remains.
 
 These edges don't try all pairs of a bucket. Where a bucket still has texts of several groups, every pair of different
 groups in it is compared, in tiles of TILE texts a side; the links that are found join groups. So two texts are in one
-group exactly if a chain of texts leads from one to the other in which neighbours share a bucket and are similar.
+group exactly if a chain of texts leads from one to the other in which neighbours are similar.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import common
 
-#: Words of a shingle; hash functions; values of a band; estimated similarity from which texts are near copies.
+#: Words of a shingle; hash functions; values of a band at most; estimated similarity from which texts are near copies.
 SHINGLE, PERMUTATIONS, ROWS, THRESHOLD = 3, 64, 4, 0.7
 
 _MULTIPLY = (np.random.default_rng(20).integers(0, 1 << 32, 4096, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -91,22 +92,31 @@ def signatures(column: pa.Array, permutations: int = PERMUTATIONS, shingle: int
     return out
 
 
-def band_keys(signature: np.ndarray, rows: int = ROWS) -> np.ndarray:
-    """One 64-bit bucket key for each band of each signature; a band mixes minima and maxima of the same permutations."""
+def least_agreements(threshold: float, width: int) -> int:
+    """How many of width values must agree for verified()."""
+    return int(np.ceil((threshold - 1e-9) * width))
+
+
+def band_cuts(width: int, rows: int = ROWS, threshold: float = THRESHOLD) -> np.ndarray:
+    """Where the bands of a signature begin, and its end. Bands have `rows` values, or fewer so that there is one band more than values may differ at the threshold: then similar texts share one band at least, whatever values differ."""
+    bands = min(max(width // rows, width - least_agreements(threshold, width) + 1), width)
+    return np.arange(bands + 1) * width // bands
+
+
+def band_keys(signature: np.ndarray, rows: int = ROWS, threshold: float = THRESHOLD) -> np.ndarray:
+    """One 64-bit bucket key for each band of each signature; the values are taken in the order of the permutations, of each the minimum and then the maximum."""
     n, width = signature.shape
-    half, bands = width // 2, width // rows
-    each = rows // 2
-    keys = np.empty((n, bands), np.uint64)
-    for b in range(bands):
+    cuts = band_cuts(width, rows, threshold).tolist()
+    keys = np.empty((n, len(cuts) - 1), np.uint64)
+    for b, (begin, end) in enumerate(zip(cuts, cuts[1:])):
         k = np.full(n, b + 1, np.uint64)
-        for j in range(b * each, (b + 1) * each):
-            k = common.mix(k * np.uint64(31) + signature[:, j])
-            k = common.mix(k * np.uint64(37) + signature[:, half + j])
+        for v in range(begin, end):
+            k = common.mix(k * np.uint64(37 if v % 2 else 31) + signature[:, v // 2 + v % 2 * (width // 2)])
         keys[:, b] = k
     return keys
 
 
-def _sign(permutations: int, shingle: int, rows: int):
+def _sign(permutations: int, shingle: int, rows: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -119,7 +129,7 @@ def _sign(permutations: int, shingle: int, rows: int):
                 if not some.any():
                     continue
                 keep, s = part.column(0).filter(pa.array(some)), np.ascontiguousarray(s[some])
-                keys = common.signed(band_keys(s, rows))
+                keys = common.signed(band_keys(s, rows, threshold))
                 n = len(s)
                 yield pa.record_batch(
                     [
@@ -218,11 +228,6 @@ def signatures_of(signed: DataFrame, wanted: DataFrame) -> DataFrame:
     return passed.join(wanted.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.first("signature").alias("signature"))
 
 
-def least_agreements(threshold: float, width: int) -> int:
-    """How many of width values must agree for verified()."""
-    return int(np.ceil((threshold - 1e-9) * width))
-
-
 def links(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray] | None, need: int) -> set[tuple[int, int]]:
     """Pairs of groups that at least one pair of similar texts joins: of a text of left and one of right, or of two of left if right is None. Each side is (groups, signatures); need values must agree.
 
@@ -325,12 +330,12 @@ def between_groups(members: DataFrame, rooted: DataFrame, signed: DataFrame, thr
 
 
 def rooted(docs: DataFrame, threshold: float = THRESHOLD, permutations: int = PERMUTATIONS, rows: int = ROWS, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(contents, roots): contents has (h, doc_id, copies, chars): each distinct text once, under its smallest id; roots has (v, root) of every content that is similar to another one with which it shares a bucket."""
+    """(contents, roots): contents has (h, doc_id, copies, chars): each distinct text once, under its smallest id; roots has (v, root) of every content that is similar to another one."""
     common.small_batches(docs.sparkSession)
     named = docs.select("doc_id", "text")
-    signed = named.filter(F.length("text") > 0).select(text_key().alias("h"), "text").mapInArrow(_sign(permutations, shingle, rows), "h long, signature binary, keys array<long>")
+    signed = named.filter(F.length("text") > 0).select(text_key().alias("h"), "text").mapInArrow(_sign(permutations, shingle, rows, threshold), "h long, signature binary, keys array<long>")
     signed = common.materialise(signed, "minhash-signatures")
-    pairs, members, joined = candidates(signed, 2 * permutations // rows)
+    pairs, members, joined = candidates(signed, len(band_cuts(2 * permutations, rows, threshold)) - 1)
     pairs = common.materialise(pairs, "minhash-candidates")
     one = signatures_of(signed, pairs.select(F.explode(F.array("a", "b")).alias("h")))
     left, right = one.select(F.col("h").alias("a"), F.col("signature").alias("sa")), one.select(F.col("h").alias("b"), F.col("signature").alias("sb"))

@@ -220,3 +220,42 @@ def test_pipeline_stage_keeps_one_of_each_group(spark, make):
     rows = halves(9)
     left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, make(rows), "").collect()}
     assert left == set(range(len(rows))) - {v for g in brute_force_groups(rows) for v in g if v != min(g)}
+
+
+def test_similar_texts_always_share_a_band():
+    """Whatever values differ, if they are as many as the threshold allows."""
+    rng = np.random.default_rng(11)
+    for width, threshold in ((128, 0.7), (128, 0.8), (32, 0.5), (6, 0.7)):
+        most = width - minhash.least_agreements(threshold, width)
+        base = rng.integers(0, 1 << 32, (400, width), dtype=np.uint64).astype(np.uint32)
+        other = base.copy()
+        for i, row in enumerate(other):
+            # Spread over the signature, in the order of the permutations or at random.
+            at = np.arange(most) * width // max(most, 1) // 2 + np.arange(most) % 2 * (width // 2) if i == 0 else rng.permutation(width)[:most]
+            row[at] ^= 1
+        assert minhash.verified(base, other, threshold).all()
+        assert (minhash.band_keys(base, threshold=threshold) == minhash.band_keys(other, threshold=threshold)).any(axis=1).all()
+
+
+def test_every_similar_pair_counts(spark, make, monkeypatch):
+    """Groups are those of all pairs of texts that meet the threshold, whether they share a band of ROWS values or not; so is what the pipeline's stage leaves."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    rows = []
+    for g in range(150):
+        base = [f"g{g}w{i}" for i in range(40)]
+        rows += [" ".join(base), " ".join(base[: rng.randint(28, 38)] + [f"g{g}v{i}" for i in range(4)])]
+    options = dict(threshold=0.6, permutations=8)
+    s = minhash.signatures(pa.array(rows), 8)
+    near = (s[:, None] == s[None]).sum(axis=2) >= minhash.least_agreements(0.6, 16)
+    expected = {frozenset({i, i + 1}) for i in range(0, len(rows), 2) if near[i, i + 1]}
+    assert near.sum() == len(rows) + 2 * len(expected) and len(expected) > 40
+    groups = {}
+    for r in minhash.near_duplicates(make(rows), **options).collect():
+        groups.setdefault(r.group_id, set()).add(r.doc_id)
+    assert {frozenset(g) for g in groups.values()} == expected
+    drop = minhash.drop_near_duplicates
+    monkeypatch.setattr(minhash, "drop_near_duplicates", lambda docs: drop(docs, **options))
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, make(rows), "").collect()}
+    assert left == set(range(len(rows))) - {max(p) for p in expected}
