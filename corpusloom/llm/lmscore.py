@@ -46,6 +46,8 @@ GATES, MATCH_ODDS, MATCH_FIRST = 4, 80, 0.6
 ANCHOR, ANCHOR_BITS, FOLLOWER = 24, 5, 48
 #: Bytes of text that are coded side by side, and that are counted at once; a longer text is taken in pieces of GROUP_BYTES.
 GROUP_BYTES, COUNT_BYTES = 1 << 20, 1 << 19
+#: Bytes of text that are looked up or hashed at once, and texts of a block whose odds are worked on at once: what a step reads is then still in the processor's cache. No result hangs on them.
+RUN, TEXTS = 1 << 16, 64
 #: Bytes of text of a part, about, and parts at least; buckets of contexts for each part.
 PART_BYTES, FOLDS, SPLIT = 16 << 20, 8, 2
 _SCALE = np.float32(1 / 16)
@@ -86,24 +88,26 @@ _STEP = 0xD6E8FEB86659FD93
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(positions, keys) of the anchors: the ANCHOR bytes before a position, of the same text, have a hash that ends in zeros."""
     n = len(data)
-    if n <= ANCHOR:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def joined(long: np.ndarray, short: np.ndarray, size: int) -> np.ndarray:
         """The hash of `size` bytes more, those before; entry i is of the bytes that end at i."""
         out = long.copy()
-        out[size:] += short[: n - size] * np.uint64(pow(_STEP, size, 1 << 64))
+        out[size:] += short[: len(short) - size] * np.uint64(pow(_STEP, size, 1 << 64))
         return out
 
-    one = _SPREAD[data]
-    two = joined(one, one, 1)
-    four = joined(two, two, 2)
-    eight = joined(four, four, 4)
-    h = joined(joined(eight, eight, 8), eight, 16)
-    at = np.flatnonzero((h[ANCHOR - 1 : -1] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ANCHOR_BITS) == 0) + ANCHOR
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+    for begin in range(ANCHOR, n, RUN):
+        one = _SPREAD[data[begin - ANCHOR : min(begin + RUN, n) - 1]]
+        two = joined(one, one, 1)
+        four = joined(two, two, 2)
+        eight = joined(four, four, 4)
+        h = joined(joined(eight, eight, 8), eight, 16)[ANCHOR - 1 :]
+        at = np.flatnonzero((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - ANCHOR_BITS) == 0)
+        found.append((at + begin, h[at]))
+    at, h = (np.concatenate(x) for x in zip(*found))
     row = np.searchsorted(offsets, at, side="right") - 1
-    at = at[at - offsets[row] >= ANCHOR]
-    return at, common.mix(h[at - 1])
+    inside = at - offsets[row] >= ANCHOR
+    return at[inside], common.mix(h[inside])
 
 
 def followers(data: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -420,7 +424,8 @@ class Model:
         h >>= np.uint64(64 - bits)
         return h.view(np.int64)
 
-    def _table(self, key: np.ndarray, path: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    def _table(self, key: np.ndarray, path: np.ndarray) -> tuple[int, np.ndarray]:
+        """The bits of a place, and by place the key and its word side by side, so that a look-up reads one place of memory."""
         bits = max(4, (len(key) * 3 // 2).bit_length())
         keys, words = np.full(1 << bits, np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros(1 << bits, np.int64)
         at, left = self._place(key, bits), np.arange(len(key))
@@ -434,22 +439,23 @@ class Model:
             taken[at[won]] = True
             left = left[keys[at[left]] != key[left]]
             at[left] = (at[left] + 1) & ((1 << bits) - 1)
-        return bits, keys, words
+        return bits, np.stack([keys.view(np.int64), words], axis=1).view(np.complex128)[:, 0]
 
     def look_up(self, i: int, key: np.ndarray) -> np.ndarray:
-        bits, keys, words = self.tables[i]
+        bits, table = self.tables[i]
         at = self._place(key, bits)
-        there = keys.take(at)
-        out = words.take(at)
+        found = table.take(at).view(np.uint64).reshape(-1, 2)  # taken as one number of 16 bytes
+        there, out = found[:, 0], found[:, 1].astype(np.int64)
         other = np.flatnonzero(there != key)
         out[other] = 0
         other = other[there[other] != np.uint64(0xFFFFFFFFFFFFFFFF)]
         at = at[other]
         while len(other):  # the next place, until the key or a free one is met
             at = (at + 1) & ((1 << bits) - 1)
-            there = keys.take(at)
+            found = table.take(at).view(np.uint64).reshape(-1, 2)
+            there = found[:, 0]
             same = there == key[other]
-            out[other[same]] = words[at[same]]
+            out[other[same]] = found[same, 1]
             go = ~same & (there != np.uint64(0xFFFFFFFFFFFFFFFF))
             other, at = other[go], at[go]
         return out
@@ -486,10 +492,13 @@ def predictions(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np
     k = len(ORDERS)
     path = np.zeros((k + 1, len(data) + 1), np.int64)
     gate = np.zeros(len(data) + 1, np.uint8)
-    for i, key in contexts(data, offsets):
-        path[i, :-1] = model.look_up(i, key)
-        if i:  # the lowest byte of a word is the odds of the first bit: the same for all bytes of a context
-            gate[:-1][path[i, :-1].view(np.int8)[::8] != 0] = 1 if i <= k // 2 else 2
+    window = windows(data, offsets)
+    for begin in range(0, len(data), RUN):
+        here = slice(begin, min(begin + RUN, len(data)))
+        for i in range(k):
+            path[i, here] = word = model.look_up(i, _key(i, window[here]))
+            if i:  # the lowest byte of a word is the odds of the first bit: the same for all bytes of a context
+                gate[here][word.view(np.int8)[::8] != 0] = 1 if i <= k // 2 else 2
     byte = model.expected(data, offsets)
     at = np.flatnonzero(byte)
     path[k, at] = _MATCH[byte[at] ^ data[at]]
@@ -502,18 +511,27 @@ _START = TRUST / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2))
 
 
 class Coder:
-    """Weights and refinement of n texts."""
+    """Weights and refinement of n texts. Weights are of odds in sixteenths, as they come."""
 
     def __init__(self, n: int):
-        self.weights = np.full((len(ORDERS) + 1, n * GATES, 8), FIRST, np.float32)
-        self.weights[-1] = MATCH_FIRST
+        self.weights = np.full((len(ORDERS) + 1, n * GATES, 8), FIRST * _SCALE, np.float32)
+        self.weights[-1] = MATCH_FIRST * _SCALE
         self.hits = np.tile(_START, (n, 1))
 
     def code(self, path: np.ndarray, gate: np.ndarray, starts: np.ndarray, sizes: np.ndarray, costs: np.ndarray | None = None) -> np.ndarray:
         """Bits of texts in descending order of size, which are coded side by side. costs: gets the bits of each byte."""
-        k, n, beyond = len(path), len(sizes), path.shape[1] - 1
-        weights, hits = self.weights, self.hits
+        n = len(sizes)
         bits = np.zeros(n)
+        room = np.empty((len(path) + 6, min(n, TEXTS) * BLOCK * 8), np.float32)
+        for a in range(0, n, TEXTS):
+            z = min(n, a + TEXTS)
+            self._code(path, gate, starts[a:z], sizes[a:z], costs, self.weights[:, a * GATES : z * GATES], self.hits[a:z], bits[a:z], room)
+        return bits / np.log(2)
+
+    @staticmethod
+    def _code(path, gate, starts, sizes, costs, weights, hits, bits, room) -> None:
+        """code() of some of the texts; weights, hits and bits are changed, room is overwritten."""
+        k, n, beyond = len(path), len(sizes), path.shape[1] - 1
         inside = np.arange(BLOCK)
         for begin in range(0, int(sizes[0]) if n else 0, BLOCK):
             m = int(np.searchsorted(-sizes, -begin, side="left"))  # texts longer than begin
@@ -523,16 +541,19 @@ class Coder:
                 at[full:][begin + inside >= sizes[full:m, None]] = beyond
             rows = np.arange(m, dtype=np.int64)[:, None]
             g = gate[at]
-            chosen = (rows * GATES + g).reshape(-1)
-            x = np.empty((k, m * BLOCK * 8), np.float32)
-            dot = np.zeros(m * BLOCK * 8, np.float32)
+            flat, chosen = at.reshape(-1), (rows * GATES + g).reshape(-1)
+            size = m * BLOCK * 8
+            x, (dot, w, p, final, error, step) = room[:k, :size], room[k:, :size]
             for i in range(k):
-                np.multiply(path[i].take(at.reshape(-1)).view(np.int8), _SCALE, out=x[i], casting="unsafe")
-                w = weights[i].take(chosen, axis=0).reshape(-1)
-                w *= x[i]
-                dot += w
+                np.copyto(x[i], path[i].take(flat).view(np.int8))
+                weights[i].take(chosen, axis=0, out=w.reshape(-1, 8), mode="clip")
+                if i:
+                    w *= x[i]
+                    dot += w
+                else:
+                    np.multiply(w, x[i], out=dot)
             np.clip(dot, -20, 20, out=dot)
-            p = np.negative(dot)
+            np.negative(dot, out=p)
             np.exp(p, out=p)
             p += 1
             np.reciprocal(p, out=p)
@@ -543,7 +564,7 @@ class Coder:
             bucket += rows * BUCKETS + BUCKETS // 2
             bucket = bucket.reshape(-1)
             rate = (hits[:m] / (hits[:m] + hits[:m, ::-1])).astype(np.float32)
-            final = rate.reshape(-1).take(bucket)
+            rate.reshape(-1).take(bucket, out=final, mode="clip")
             final += p
             final *= np.float32(0.5)
             np.clip(final, np.float32(1 / 65536), np.float32(1 - 1 / 65536), out=final)
@@ -560,12 +581,14 @@ class Coder:
             # What the block teaches the texts that go on.
             z = full * BLOCK * 8
             hits[:full] += np.bincount(bucket[:z], minlength=full * BUCKETS).reshape(full, BUCKETS)
-            error = np.subtract(np.float32(RATE), p[:z] * np.float32(RATE))
+            error, step = error[:z], step[:z]
+            np.multiply(p[:z], np.float32(RATE), out=error)
+            np.subtract(np.float32(RATE), error, out=error)
+            error *= _SCALE * _SCALE
             gates = (g[:full, None, :] == np.arange(GATES, dtype=np.uint8)[:, None]).astype(np.float32)
             for i in range(k):
-                step = np.multiply(x[i, :z], error).reshape(full, BLOCK, 8)
-                weights[i, : full * GATES] += np.matmul(gates, step).reshape(-1, 8)
-        return bits / np.log(2)
+                np.multiply(x[i, :z], error, out=step)
+                weights[i, : full * GATES] += np.matmul(gates, step.reshape(full, BLOCK, 8)).reshape(-1, 8)
 
 
 def code_lengths(model: Model, data: np.ndarray, offsets: np.ndarray, costs: np.ndarray | None = None) -> np.ndarray:

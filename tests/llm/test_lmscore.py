@@ -204,3 +204,21 @@ def test_only_followers_that_are_asked_for_are_sent(make, corpus):
         expected |= dict(zip(np.flatnonzero(part == p).tolist(), bits.tolist()))
     got = {r.doc_id: r.total_bits for r in m.scored(docs).collect()}
     assert got == pytest.approx(expected, rel=1e-6)
+
+
+def test_runs_and_texts_at_once_dont_matter(corpus, monkeypatch):
+    """Neither how many bytes are looked up and hashed at once nor how many texts are worked on at once changes a result."""
+    texts = [t.encode() for _, t, _ in corpus[:30]]
+    texts = sorted([*texts, *(t[40:] for t in texts), b"", b"ab", b"zz" * 300], key=len, reverse=True)
+    got = []
+    for run, at_once in ((1 << 16, 64), (100, 7), (1, 1)):
+        with monkeypatch.context() as patch:
+            patch.setattr(m, "RUN", run)
+            patch.setattr(m, "TEXTS", at_once)
+            model = model_of(texts[::2], texts, patch)
+            data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            costs = np.zeros(len(data))
+            got.append((m.code_lengths(model, data, offsets, costs), costs, *m.anchors(data, offsets), *m.predictions(model, data, offsets)))
+    assert len(got[0][2]) and got[0][0].sum() > 0
+    for other in got[1:]:
+        assert all(np.array_equal(x, y) for x, y in zip(got[0], other))
