@@ -89,27 +89,26 @@ def head(x: Column, n: int) -> Column:
 _ODD = r"\r.|[\x85  ]"
 
 
-def _line(s: Column, pos: Column) -> Column:
-    """Line of a position in a piece; pieces seldom hold line breaks of other kinds."""
-    return s["line"] + X.line_at(s["text"], pos) - 1
+def hits(s: Column, pattern: Column | str) -> Column:
+    """array<struct<pos, line, sample>> of a line-local pattern in a piece, which may hold line breaks of other kinds."""
+    return F.transform(X.lined(s["text"], pattern), lambda m: m.withField("line", m["line"] + s["line"] - 1))
 
 
-def hits(s: Column, pattern: str) -> Column:
-    """array<struct<line, sample>> of a line-local pattern in a piece."""
-    plain = F.transform(F.regexp_extract_all(s["text"], F.lit(pattern), F.lit(0)), lambda m: F.struct(s["line"].alias("line"), m.alias("sample")))
-    exact = F.transform(X.spans(s["text"], pattern), lambda m: F.struct(_line(s, m["pos"]).alias("line"), m["sample"].alias("sample")))
-    return F.when(~s["text"].rlike(pattern), F.array().cast("array<struct<line:int,sample:string>>")).when(s["text"].rlike(_ODD), exact).otherwise(plain)
+def local_findings(pieces: Column, pattern: str, told, needs_wide: bool) -> Column:
+    """told(m) of every match m of a line-local pattern (Java's), in the pieces that can hold one."""
+    can = (lambda x: x.rlike(X.WIDE) & x.rlike(pattern)) if needs_wide else (lambda x: x.rlike(pattern))
+    return F.flatten(F.transform(F.filter(pieces, lambda s: can(s["text"])), lambda s: F.transform(hits(s, pattern), told)))
 
 
 def regex_findings(text: Column, pieces: Column, pattern: str, code: str, message: str, severity: str = "error", flags: int = 0, most: int | None = None) -> Column:
-    """Every match of a Python pattern."""
+    """Every match of a Python pattern. A pattern whose matches need a wide character is sought only in pieces that have one."""
     cut = (lambda m: head(m, most)) if most else (lambda m: m)
-    p = X.java(pattern, flags)
+    p, wide = X.java(pattern, flags), X.needs_wide(pattern, flags)
+    told = lambda m: finding(m["line"], code, message, cut(m["sample"]), severity)
     if packs.line_local(pattern):
-        found = F.flatten(F.transform(pieces, lambda s: F.transform(hits(s, p), lambda m: finding(m["line"], code, message, cut(m["sample"]), severity))))
-    else:
-        found = F.transform(X.spans(text, p), lambda m: finding(X.line_at(text, m["pos"]), code, message, cut(m["sample"]), severity))
-    return F.when(text.rlike(p), found).otherwise(nothing())
+        found = local_findings(pieces, p, told, wide)
+        return F.coalesce(found, nothing()) if wide else F.when(text.rlike(p), found).otherwise(nothing())
+    return F.when(text.rlike(p), F.transform(X.lined(text, p), told)).otherwise(nothing())
 
 
 def constant(rows: list[dict], schema: str) -> Column:
@@ -117,17 +116,30 @@ def constant(rows: list[dict], schema: str) -> Column:
     return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")
 
 
-def rules_findings(text: Column, rules: list[dict], prefix: str, severity: str = "error") -> Column:
-    """Every match of every rule of a list."""
-    if not rules:
-        return nothing()
-    table = constant([{"p": X.java(r["pattern"]), "c": prefix + r["id"], "m": r["message"]} for r in rules], "p:string,c:string,m:string")
+def rules_findings(text: Column, rules: list[dict], prefix: str, severity: str = "error", pieces: Column | None = None) -> Column:
+    """Every match of every rule of a list. With pieces, rules that look at a line only are sought in those of them in which one of the rules matches."""
+    local = [r for r in rules if pieces is not None and packs.line_local(r["pattern"])]
+    wide = [r for r in local if X.needs_wide(r["pattern"])]
 
-    def of(t: Column) -> Column:
-        there = F.filter(table, lambda r: F.regexp_like(t, r["p"]))
-        return F.flatten(F.transform(there, lambda r: F.transform(X.spans(t, r["p"]), lambda m: finding(X.line_at(t, m["pos"]), r["c"], r["m"], m["sample"], severity))))
+    def sought(some: list[dict], where: Column | None) -> Column:
+        patterns = [X.java(r["pattern"]) for r in some]
+        table = constant([{"p": p, "c": prefix + r["id"], "m": r["message"]} for p, r in zip(patterns, some)], "p:string,c:string,m:string")
+        any_ = X.of_any(patterns)
+        can = lambda x: F.lit(True) if any_ is None else x.rlike(any_)
+        told = lambda r: lambda m: finding(m["line"], r["c"], r["m"], m["sample"], severity)
+        of = lambda t, places: F.flatten(F.transform(F.filter(table, lambda r: F.regexp_like(t, r["p"])), lambda r: F.transform(places(r["p"]), told(r))))
+        if where is None:
+            return X.let(text, lambda t: F.when(can(t), of(t, lambda p: X.lined(t, p))).otherwise(nothing()))
+        return F.flatten(F.transform(F.filter(where, lambda s: can(s["text"])), lambda s: of(s["text"], lambda p: hits(s, p))))
 
-    return X.let(text, of)
+    parts = [nothing()]
+    if wide:
+        parts.append(sought(wide, X.wide_only(pieces)))
+    if some := [r for r in local if r not in wide]:
+        parts.append(sought(some, pieces))
+    if some := [r for r in rules if r not in local]:
+        parts.append(sought(some, None))
+    return F.coalesce(F.concat(*parts), nothing())
 
 
 def longest_per_line(text: Column, patterns: list[str], code: str, message: str) -> Column:
@@ -135,7 +147,7 @@ def longest_per_line(text: Column, patterns: list[str], code: str, message: str)
     found = nothing()
     for p in patterns:
         j = X.java(p, re.M | re.I)
-        mine = F.transform(X.spans(text, j), lambda m: finding(X.line_at(text, m["pos"]), code, message, head(m["sample"], 48)))
+        mine = F.transform(X.lined(text, j), lambda m: finding(m["line"], code, message, head(m["sample"], 48)))
         found = F.concat(found, F.when(text.rlike(j), mine).otherwise(nothing()))
 
     def best(same: Column) -> Column:
@@ -153,17 +165,15 @@ def literal_findings(pieces: Column, rows: list[tuple[str, str, str]], severity:
     if not rows:
         return nothing()
     terms = constant([{"t": t, "c": c, "m": m} for t, c, m in rows], "t:string,c:string,m:string")
-    p = X.any_of(list(dict.fromkeys(t for t, _, _ in rows)))
+    words = list(dict.fromkeys(t for t, _, _ in rows))
+    p = X.any_of(words)
+    can = (lambda x: x.rlike(X.WIDE) & x.rlike(p)) if all(any(ord(c) >= X.WIDE_FROM for c in w) for w in words) else (lambda x: x.rlike(p))
 
     def of(s: Column, t: Column) -> Column:
-        places = X.spans(s["text"], F.concat(F.lit("\\Q"), t["t"], F.lit("\\E")))
-
-        def one(m: Column) -> Column:
-            return finding(_line(s, m["pos"]), t["c"], t["m"], t["t"], severity, s["text"] if suppress else None, m["pos"] if suppress else None)
-
-        return F.transform(places, one)
+        places = hits(s, F.concat(F.lit("\\Q"), t["t"], F.lit("\\E")))
+        return F.transform(places, lambda m: finding(m["line"], t["c"], t["m"], t["t"], severity, s["text"] if suppress else None, m["pos"] if suppress else None))
 
-    there = F.filter(pieces, lambda s: s["text"].rlike(p))
+    there = F.filter(pieces, lambda s: can(s["text"]))
     return F.flatten(F.transform(there, lambda s: F.flatten(F.transform(F.filter(terms, lambda t: F.contains(s["text"], t["t"])), lambda t: of(s, t)))))
 
 
@@ -176,11 +186,11 @@ def emoji_findings(text: Column, o: Options, style: str) -> Column:
 
 def phrase_findings(text: Column, pieces: Column, o: Options, style: str, suppress: bool = True) -> Column:
     rows = [(t, f"wording.{g['id']}", g["message"]) for g in o.pack.active("literal_groups", style) for t in g["terms"]]
-    return F.concat(literal_findings(pieces, rows, suppress=suppress), rules_findings(text, o.pack.active("regex_rules", style), "wording."))
+    return F.concat(literal_findings(pieces, rows, suppress=suppress), rules_findings(text, o.pack.active("regex_rules", style), "wording.", pieces=pieces))
 
 
 def grammar_findings(text: Column, pieces: Column, o: Options, style: str) -> Column:
-    return rules_findings(text, o.pack.active("grammar_rules", style), "grammar.", "warning")
+    return rules_findings(text, o.pack.active("grammar_rules", style), "grammar.", "warning", pieces)
 
 
 _TYPOGRAPHY = [
@@ -194,7 +204,7 @@ _TYPOGRAPHY = [
 
 
 #: What every kind needs: a line without any of these has no finding.
-_TYPED = f"[０-９Ａ-Ｚａ-ｚ．，。；：！？、]|{X.CJK}"
+_TYPED = f"[\\x{{3001}}-\\x{{323af}}&&[０-９Ａ-Ｚａ-ｚ．，。；：！？、{X.CJK_CLASS}]]"
 
 
 def typography_findings(pieces: Column, style: str) -> Column:
@@ -203,14 +213,13 @@ def typography_findings(pieces: Column, style: str) -> Column:
     rules = constant([{"p": "(?Ud)" + p, "c": f"typography.{name}", "m": say.get(name, message), "z": chinese} for name, p, message, chinese in _TYPOGRAPHY], "p:string,c:string,m:string,z:boolean")
 
     def of(s: Column, r: Column) -> Column:
-        leading = lambda all_: F.filter(all_, lambda m, i: (i == 0) | (_line(s, m["pos"]) != _line(s, F.get(all_, i - 1)["pos"])))
-        first = X.let(X.spans(s["text"], r["p"]), lambda all_: F.when(s["text"].rlike(_ODD), leading(all_)).otherwise(F.slice(all_, 1, 1)))
+        first = X.let(hits(s, r["p"]), lambda all_: F.filter(all_, lambda m, i: (i == 0) | (m["line"] != F.get(all_, i - 1)["line"])))
 
         def one(m: Column) -> Column:
             begin = F.greatest(m["pos"] - 12, F.lit(0))
             end = m["pos"] + F.length(m["sample"]) + 12
             around = F.substring(s["text"], begin + 1, end - begin)
-            return finding(_line(s, m["pos"]), r["c"], r["m"], head(F.regexp_replace(around, r"(?U)^\s+|\s+$", ""), 48))
+            return finding(m["line"], r["c"], r["m"], head(F.regexp_replace(around, r"(?U)^\s+|\s+$", ""), 48))
 
         return F.transform(first, one)
 
@@ -223,19 +232,20 @@ def locale_findings(compared: Column, o: Options) -> Column:
     """compared: a view without lines of comparison."""
     traditional, simplified = o.pack.markers()
     names = [*o.pack.wording["locale_name_exceptions"], *o.pack.wording["locale_word_exceptions"]]
-    cls = lambda chars: "[" + "".join(sorted(chars)) + "]"
+    cls = X.one_of
     found = lambda t, chars: F.array_sort(F.array_distinct(F.regexp_extract_all(t, F.lit(cls(chars)), F.lit(0))))
+    seen = X.through_wide(compared) if all(ord(w[-1]) >= X.WIDE_FROM for w in [*traditional, *simplified, *filter(None, names)]) else compared
     if o.locale == "auto":
         if not (traditional and simplified):
             return nothing()
 
         def mixed(t: Column) -> Column:
-            place = lambda chars: F.length(F.element_at(F.split(t, cls(chars), 2), 1))
+            place = lambda chars: F.length(F.regexp_extract(t, rf"(?s)\A.*?(?={cls(chars)})", 0))
             sample = F.concat(F.array_join(F.slice(found(t, traditional), 1, 4), ""), F.array_join(F.slice(found(t, simplified), 1, 4), ""))
             return one_if(t.rlike(cls(traditional)) & t.rlike(cls(simplified)), finding(X.line_at(t, F.greatest(place(traditional), place(simplified))), "locale.mixed-script", "use one script, traditional or simplified", sample))
 
         # Only texts that have both are looked at without the names.
-        return F.when(compared.rlike(cls(traditional)) & compared.rlike(cls(simplified)), X.let(X.replaced_by_spaces(compared, names), mixed)).otherwise(nothing())
+        return F.when(compared.rlike(cls(traditional)) & compared.rlike(cls(simplified)), X.let(X.replaced_by_spaces(seen, names), mixed)).otherwise(nothing())
     opposite = simplified if SCRIPT[o.locale] == "traditional" else traditional
     if not opposite:
         return nothing()
@@ -245,7 +255,7 @@ def locale_findings(compared: Column, o: Options) -> Column:
         bad = F.filter(lines, lambda s: s["text"].rlike(cls(opposite)))
         return F.transform(bad, lambda s: finding(s["line"], "locale.wrong-script", f"this isn't the script of {o.locale}", F.array_join(F.slice(found(s["text"], opposite), 1, 8), "")))
 
-    return F.when(compared.rlike(cls(opposite)), X.let(X.replaced_by_spaces(compared, names), wrong)).otherwise(nothing())
+    return F.when(compared.rlike(cls(opposite)), X.let(X.replaced_by_spaces(seen, names), wrong)).otherwise(nothing())
 
 
 def terminology_findings(compared: Column, o: Options) -> Column:
@@ -264,8 +274,8 @@ def guarded_findings(names: Column, pieces: Column, o: Options) -> Column:
     table = constant([{"p": r"(?iud)(?<![A-Za-z0-9_])" + X.literal(g["en"]) + r"(?:s|es)?(?![A-Za-z0-9_])", "m": f"is {g['en']} to be translated here? {g['note']}", "r": g["reject"]} for g in guarded], "p:string,m:string,r:array<string>")
     every = literal_findings(pieces, rows, "warning")
     there = F.filter(table, lambda g: F.regexp_like(names, g["p"]))
-    own = lambda gs: F.filter(every, lambda f: F.exists(gs, lambda g: (g["m"] == f["message"]) & F.array_contains(g["r"], f["sample"])))
-    return X.let(there, lambda gs: F.when(F.size(gs) > 0, own(gs)).otherwise(nothing()))
+    own = lambda fs: X.let(there, lambda gs: F.filter(fs, lambda f: F.exists(gs, lambda g: (g["m"] == f["message"]) & F.array_contains(g["r"], f["sample"]))))
+    return X.let(every, lambda fs: F.when(F.size(fs) > 0, own(fs)).otherwise(nothing()))
 
 
 def consistency_findings(text: Column, compared: Column, o: Options) -> Column:
@@ -305,28 +315,31 @@ def consistency_findings(text: Column, compared: Column, o: Options) -> Column:
 
         return F.flatten(F.transform(several, told))
 
-    return X.let(F.struct(text.alias("t"), compared.alias("s")), lambda x: of(x["t"], x["s"]))
+    listed = [f for _, _, forms in groups for f in forms]
+    seen = X.through_wide(compared) if all(ord(f[-1]) >= X.WIDE_FROM for f in listed) else compared
+    found = X.let(F.struct(text.alias("t"), seen.alias("s")), lambda x: of(x["t"], x["s"]))
+    return F.when(compared.rlike(X.any_of(listed)), found).otherwise(nothing())
 
 
 _HEADING = r"(?Udm)^ {0,3}(#{1,6})\s+(.+?)\s*#*\s*$"
 
 
 def heading_findings(text: Column, style: str) -> Column:
-    found = F.transform(X.spans(text, _HEADING), lambda m: F.struct(m["pos"].alias("pos"), m["sample"].alias("all"), F.length(F.regexp_extract(m["sample"], _HEADING, 1)).alias("level"), F.trim(F.regexp_extract(m["sample"], _HEADING, 2)).alias("title")))
+    found = F.transform(X.lined(text, _HEADING), lambda m: F.struct(m["line"].alias("line"), m["sample"].alias("all"), F.length(F.regexp_extract(m["sample"], _HEADING, 1)).alias("level"), F.trim(F.regexp_extract(m["sample"], _HEADING, 2)).alias("title")))
     jumps = X.let(found, lambda all_: F.filter(all_, lambda h, i: (i > 0) & (h["level"] > F.get(all_, i - 1)["level"] + 1)))
     bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
-    out = F.transform(jumps, lambda h: finding(X.line_at(text, h["pos"]), "markdown.heading-level", "a heading level is left out", bare(h["all"])))
+    out = F.transform(jumps, lambda h: finding(h["line"], "markdown.heading-level", "a heading level is left out", bare(h["all"])))
     if style == "readme":
         stops = F.filter(found, lambda h: h["title"].rlike("[。.．]$"))
-        out = F.concat(out, F.transform(stops, lambda h: finding(X.line_at(text, h["pos"]), "markdown.heading-punctuation", "a heading has no full stop", head(h["title"], 48))))
+        out = F.concat(out, F.transform(stops, lambda h: finding(h["line"], "markdown.heading-punctuation", "a heading has no full stop", head(h["title"], 48))))
     return F.when(text.rlike(_HEADING), out).otherwise(nothing())
 
 
 def link_findings(text: Column, o: Options) -> Column:
     p = r"(?Ud)(?<!!)\[([^\]\n]+)\](?:\([^)\n]+\)|\[[^\]\n]*\])"
     label = lambda m: F.regexp_replace(F.regexp_replace(F.regexp_extract(m["sample"], p.replace("(?<!!)", ""), 1), "[`*_]", ""), r"(?U)^\s+|\s+$", "")
-    bad = F.filter(X.spans(text, p), lambda m: label(m).isin(o.pack.wording["generic_link_labels"]))
-    return F.when(text.rlike(p), F.transform(bad, lambda m: finding(X.line_at(text, m["pos"]), "markdown.generic-link", "let the link tell where it leads", label(m)))).otherwise(nothing())
+    bad = F.filter(X.lined(text, p), lambda m: label(m).isin(o.pack.wording["generic_link_labels"]))
+    return F.when(text.rlike(p), F.transform(bad, lambda m: finding(m["line"], "markdown.generic-link", "let the link tell where it leads", label(m)))).otherwise(nothing())
 
 
 def list_findings(text: Column) -> Column:
@@ -368,6 +381,11 @@ _SENTENCE = r"(?Ud)[^。！？!?\n]+[。！？!?]?"
 CONNECTORS = "並且 並 同时 同時 以便 因此 因而 所以 但是 然而 如果 若是 除非 即使 雖然 虽然 儘管 尽管 而且 以及 另一方面".split()
 
 
+def in_line(line: Column) -> Column:
+    """array<string>: what _SENTENCE matches in a text without line feeds. The text is cut after each mark, as Java takes a microsecond for each character of a class that excludes wide ones."""
+    return F.filter(F.split(line, "(?<=[。！？!?])", -1), lambda x: (x != "") & ~x.isin("。", "！", "？", "!", "?"))
+
+
 def unit_findings(units: Column, o: Options, style: str) -> Column:
     """Lengths of paragraphs and sentences against the limits of the style."""
     limits = o.pack.profile(style)
@@ -375,30 +393,32 @@ def unit_findings(units: Column, o: Options, style: str) -> Column:
     sentences, characters, clauses = limits["paragraph_sentences"], limits["sentence_characters"], limits["clause_markers"]
     if not (paragraph or sentences or characters or clauses):
         return nothing()
-    gate = (lambda x: x.rlike(X.CJK)) if o.script_gate else (lambda x: F.length(x) > 0)
+    gate = (lambda x: x.rlike(X.CJK)) if o.script_gate else (lambda x: x.rlike(r"(?U)\S"))
     connectors = "|".join(sorted(CONNECTORS, key=len, reverse=True))
 
     def of(u: Column) -> Column:
         solid = X.compact(u["text"])
         parts = [nothing()]
         if paragraph:
-            parts.append(one_if(F.length(solid) > paragraph, finding(u["line"], "length.paragraph", f"the paragraph has more than {paragraph} characters", head(solid, 24))))
+            parts.append(one_if((F.length(u["text"]) > paragraph) & (F.length(solid) > paragraph), finding(u["line"], "length.paragraph", f"the paragraph has more than {paragraph} characters", head(solid, 24))))
         if sentences:
             parts.append(one_if(F.regexp_count(u["text"], F.lit("[。！？!?]")) > sentences, finding(u["line"], "length.paragraph-sentences", f"the paragraph has more than {sentences} sentences", head(solid, 24))))
         if characters or clauses:
 
-            def sentence(m: Column) -> Column:
-                line = u["line"] + F.regexp_count(F.substring(u["text"], F.lit(1), m["pos"]), F.lit("\n"))
-                short = X.compact(m["sample"])
+            def sentence(raw: Column, line: Column) -> Column:
+                short = X.compact(raw)
                 each = [nothing()]
                 if characters:
-                    each.append(one_if(gate(short) & (F.length(short) > characters), finding(line, "length.sentence", f"the sentence has more than {characters} characters", head(short, 24))))
+                    each.append(one_if((F.length(raw) > characters) & gate(raw) & (F.length(short) > characters), finding(line, "length.sentence", f"the sentence has more than {characters} characters", head(short, 24))))
                 if clauses:
-                    n = F.regexp_count(m["sample"], F.lit("[，；：,;:]")) + F.regexp_count(m["sample"], F.lit(connectors))
-                    each.append(one_if(gate(short) & (n >= clauses), finding(line, "structure.complex-sentence", "make several sentences of it", head(short, 24))))
+                    marks = F.regexp_count(raw, F.lit("[，；：,;:]"))
+                    n = marks + F.when(raw.rlike(X.WIDE), F.regexp_count(raw, F.lit(connectors))).otherwise(0)
+                    each.append(one_if((n >= clauses) & gate(raw), finding(line, "structure.complex-sentence", "make several sentences of it", head(short, 24))))
                 return F.concat(*each)
 
-            parts.append(F.flatten(F.transform(X.spans(u["text"], _SENTENCE), sentence)))
+            # No sentence goes over a line feed.
+            inner = lambda x, i: F.transform(in_line(x), lambda raw: sentence(raw, u["line"] + i))
+            parts.append(F.flatten(F.flatten(F.transform(F.split(u["text"], "\n", -1), inner))))
         return F.concat(*parts)
 
     return F.flatten(F.transform(F.filter(units, lambda u: gate(u["text"])), of))
@@ -407,17 +427,28 @@ def unit_findings(units: Column, o: Options, style: str) -> Column:
 def repeated_findings(text: Column, o: Options) -> Column:
     """Sentences that a document has had before."""
     least = o.pack.wording["repeated_sentence_characters"]
-    found = F.transform(X.spans(text, _SENTENCE), lambda m: F.struct(m["pos"].alias("pos"), F.regexp_replace(m["sample"], r"(?U)^\s+|\s+$", "").alias("s")))
-    found = F.filter(found, lambda m: m["s"].rlike("[。！？!?]$"))
-    norm = F.transform(found, lambda m: F.struct(m["pos"].alias("pos"), F.regexp_replace(m["s"], r"(?U)[\s`*_>#-]", "").alias("n")))
-    norm = F.filter(norm, lambda m: (F.length(m["n"]) >= least) & (m["n"].rlike(X.CJK) if o.script_gate else F.lit(True)))
+    can = (lambda x: x.rlike(X.CJK)) if o.script_gate else (lambda x: x.rlike("[。！？!?]"))
+
+    def of(s: Column) -> Column:
+        # No sentence goes over a line feed; one that ends in a mark has no other mark, so that white space around it goes with that in it.
+        bare = lambda x: F.regexp_replace(x, r"(?U)[\s`*_>#-]", "")
+        plain = lambda: F.transform(in_line(s["text"]), lambda x: F.struct(x.alias("n"), s["line"].alias("line")))
+        exact = lambda: F.transform(X.lined(s["text"], _SENTENCE), lambda m: F.struct(m["sample"].alias("n"), (s["line"] + m["line"] - 1).alias("line")))
+        ended = F.filter(F.when(s["text"].rlike(_ODD), exact()).otherwise(plain()), lambda m: m["n"].rlike(r"[。！？!?]\z"))
+        return F.transform(ended, lambda m: F.struct(bare(m["n"]).alias("n"), m["line"].alias("line")))
+
+    every = F.flatten(F.transform(F.filter(X.segments(text), lambda s: can(s["text"])), of))
+    norm = F.filter(every, lambda m: (F.length(m["n"]) >= least) & (m["n"].rlike(X.CJK) if o.script_gate else F.lit(True)))
+
     def again(all_: Column) -> Column:
-        names = F.transform(all_, lambda m: m["n"])
-        later = lambda ns: F.filter(all_, lambda m, i: F.array_position(ns, m["n"]) <= i)
-        return F.when(F.size(F.array_distinct(names)) < F.size(names), X.let(names, later)).otherwise(F.slice(all_, 1, 0))
+        # Sorted by their text and place, the later ones stand right behind an equal one.
+        placed = F.sort_array(F.transform(all_, lambda m, i: F.struct(m["n"].alias("n"), i.alias("i"), m["line"].alias("line"))))
+        later = lambda xs: F.filter(xs, lambda m, i: (i > 0) & (m["n"] == F.get(xs, i - 1)["n"]))
+        several = F.size(F.array_distinct(F.transform(all_, lambda m: m["n"]))) < F.size(all_)
+        return F.when(several, X.let(placed, later))
 
-    out = F.transform(X.let(norm, again), lambda m: finding(X.line_at(text, m["pos"]), "structure.repeated-sentence", "the sentence was there before", head(m["n"], 24)))
-    return F.when(text.rlike(X.CJK if o.script_gate else "."), out).otherwise(nothing())
+    out = F.transform(X.let(norm, again), lambda m: finding(m["line"], "structure.repeated-sentence", "the sentence was there before", head(m["n"], 24)))
+    return F.coalesce(F.when(text.rlike(X.CJK if o.script_gate else "."), out), nothing())
 
 
 # ---- commits and change requests ------------------------------------------------------------------
@@ -674,8 +705,9 @@ def drop_covered(found: DataFrame, covering: DataFrame) -> DataFrame:
     n, m = F.length("sample"), F.length("word")
     begin = F.greatest(F.col("at") + n - m, F.lit(0))
     near = F.substring(F.col("window"), begin + 1, F.col("at") + m - begin)
-    open_, sure = found.filter("window is not null"), found.filter("window is null")
-    return sure.unionByName(open_.join(covering, (F.col("sample") == F.col("term")) & F.contains(near, F.col("word")), "left_anti"))
+    # Hits that no word can cover, which have no window, take part with keys that no term has, so that found is computed once.
+    keyed = found.withColumn("_key", F.when(F.col("window").isNotNull(), F.col("sample")).otherwise(F.concat(F.lit("\0"), F.coalesce("path", F.lit("")))))
+    return keyed.join(covering, (F.col("_key") == F.col("term")) & F.contains(near, F.col("word")), "left_anti").drop("_key")
 
 
 def lint(documents: DataFrame, options: Options | None = None, words: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
