@@ -38,3 +38,18 @@ def test_only_hits_of_words_are_covered(spark):
     found = spark.createDataFrame(rows, "path string, sample string, window string, at int")
     covering = spark.createDataFrame([("搞定", "搞定了")], "term string, word string")
     assert sorted(map(repr, map(tuple, lint.drop_covered(found, covering).collect()))) == sorted(map(repr, rows[1:4]))
+
+
+def test_lint_wording_computes_its_findings_once(spark, tables):
+    assert plan_of(catalogue.QUERIES["lint_wording"](spark, tables)).count("FileScan") == 1
+
+
+def test_lines_of_matches_are_counted_once(spark):
+    """lined() tells the lines that line_at() tells, for line breaks of all kinds."""
+    texts = ["", "a", "a\r\na\n\ra\r", "\r\na", "a\r\r\na\x85a  a", "ab\r", "\rab\nab\r\n\r\nab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    for p in (r"(?Ud)a", r"(?Uds)a.", r"(?Ud)\r", r"(?Ud)\n", r"(?Ud)\r\n"):
+        want = F.transform(X.spans(t, p), lambda m: F.struct(m["pos"], X.line_at(t, m["pos"]), m["sample"]))
+        for r in df.select("t", X.lined(t, p).alias("a"), want.alias("b")).collect():
+            assert [tuple(x) for x in r.a] == [tuple(x) for x in r.b] == [(m.start(), 1 + len(re.findall(X.NUMBERED_BREAK, r.t[: m.start()])), m[0]) for m in re.finditer(p[p.index(")") + 1 :], r.t, re.S)], (p, r.t)
