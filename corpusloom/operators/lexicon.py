@@ -17,9 +17,11 @@ LIMIT = 8
 
 
 def _grams(x: Column, n: int) -> Column:
-    """The distinct runs of n characters of a text."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1)))
-    return F.when(F.length(x) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(x, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    """The distinct runs of n characters (one or two) of a text. It is cut into characters once, as finding the i-th one takes a walk over those before it."""
+    signs = F.filter(F.split(x, ""), lambda c: c != "")
+    if n == 1:
+        return F.array_distinct(signs)
+    return X.let(signs, lambda cs: F.array_distinct(F.zip_with(F.slice(cs, F.lit(1), F.greatest(F.size(cs) - 1, F.lit(0))), F.slice(cs, 2, F.greatest(F.size(cs) - 1, F.lit(0))), lambda a, b: F.concat(a, b))))
 
 
 def technical(spark: SparkSession, pack: packs.Pack) -> DataFrame:
@@ -124,16 +126,17 @@ def regional_findings(ruled: DataFrame, pairs: DataFrame, words: DataFrame | Non
     """Findings of regional vocabulary in views (path, rule), but for hits that a longer dictionary word covers."""
     from corpusloom.operators import lint
 
-    # Texts meet the words with whose first two characters they have, by a hash join on keys alone.
+    # Lines meet the words with whose first two characters they have, by a hash join on keys alone. No word goes over a
+    # line feed. Lines without ideographs take part only if there is a word without them.
     texts = ruled.filter(F.col("rule").rlike(X.CJK))
     begun = pairs.select("wrong", "preferred", F.substring("wrong", 1, 2).alias("key"))
-    maybe = texts.select("path", F.explode(_grams(F.col("rule"), 2)).alias("key")).join(begun, "key").select("path", "wrong", "preferred").distinct()
-    met = texts.join(maybe, "path").filter(F.contains("rule", "wrong"))
-    hits = met.select("path", "rule", "wrong", "preferred", F.explode(X.spans(F.col("rule"), F.concat(F.lit("\\Q"), F.col("wrong"), F.lit("\\E")))).alias("m"))
-    # The line of the hit: no word goes over a line feed.
-    before = F.substring_index(F.substring(F.col("rule"), F.lit(1), F.col("m.pos")), "\n", -1)
-    after = F.substring_index(F.substring(F.col("rule"), F.col("m.pos") + 1, F.length("rule")), "\n", 1)
-    f = lint.finding(X.line_at(F.col("rule"), F.col("m.pos")), "terminology.regional", F.concat(F.lit("say "), F.col("preferred"), F.lit(f" in {o.locale}")), F.col("wrong"), window=F.concat(before, after), at=F.length(before))
+    plain = pairs.agg(F.coalesce(F.bool_or(~F.col("wrong").rlike(X.CJK)), F.lit(False))).scalar()
+    pieces = X.let(X.segments(F.col("rule")), lambda all_: F.filter(all_, lambda s: s["text"].rlike(X.CJK)))
+    lines = texts.select("path", F.inline(F.when(plain, X.segments(F.col("rule"))).otherwise(pieces))).withColumnsRenamed({"line": "at_line", "text": "window"})
+    maybe = lines.select("path", "at_line", F.explode(_grams(F.col("window"), 2)).alias("key")).join(begun, "key").select("path", "at_line", "wrong", "preferred").distinct()
+    met = lines.join(maybe, ["path", "at_line"]).filter(F.contains("window", "wrong"))
+    hits = met.select("*", F.explode(X.lined(F.col("window"), F.concat(F.lit("\\Q"), F.col("wrong"), F.lit("\\E")))).alias("m"))
+    f = lint.finding(F.col("at_line") + F.col("m.line") - 1, "terminology.regional", F.concat(F.lit("say "), F.col("preferred"), F.lit(f" in {o.locale}")), F.col("wrong"), window=F.col("window"), at=F.col("m.pos"))
     found = hits.select("path", f.alias("f")).select("path", "f.*")
     own = pairs.sparkSession.createDataFrame([(w,) for w in o.pack.words()], "word string")
     every = (own if words is None else own.unionByName(words.select("word"))).distinct()
