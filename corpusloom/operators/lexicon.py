@@ -14,6 +14,8 @@ from corpusloom.sources.lexicons import ENTRY
 #: Sources in the order in which results are listed.
 SOURCES = "technical naer zhconversion opencc cc-cedict unihan mcbopomofo moegirl zhwiki jieba thuocl rime-essay".split()
 LIMIT = 8
+#: Bytes of queries, as counted, up to which they are broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def _grams(x: Column, n: int) -> Column:
@@ -88,7 +90,10 @@ def lookup_many(entries: DataFrame, queries: DataFrame, sources: Sequence[str] |
         parts = F.flatten(F.transform(sought, lambda v: F.concat(_grams(v, 1), _grams(v, 2))))
         keyed = some.filter("source <> 'unihan'").select("*", F.explode(F.array_distinct(parts)).alias("key"))
         begun = asked.filter("query <> ''").select("query", F.substring("query", 1, 2).alias("key"))
-        found = keyed.join(begun, "key").filter(_matches(F.col("query"), True))
+        # The entries, once for each key, are never what is sent to all: Spark would judge them by the size of their compressed file.
+        size = begun.agg(F.sum(F.octet_length("query") + 64).alias("size")).first().size or 0
+        begun = F.broadcast(begun) if size <= BROADCAST_BYTES else begun
+        found = (keyed if size <= BROADCAST_BYTES else keyed.hint("merge")).join(begun, "key").filter(_matches(F.col("query"), True))
     else:
         keyed = some.select("*", F.explode(F.array_distinct("values")).alias("key"))
         words = keyed.filter("source <> 'unihan'").join(asked, F.col("key") == F.col("query"))

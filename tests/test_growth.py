@@ -67,3 +67,14 @@ def test_regional_vocabulary_of_long_texts(spark):
     assert time.time() - began < 30
     some = lexicon.regional_findings(docs, pairs.filter("wrong <> 'mail'"), None, o)
     assert sorted((r.line, r.sample) for r in some.collect()) == [(1, "网络"), (3, "USB口"), (5, "网络")]
+
+
+def test_lexicon_contains_sends_the_queries(spark, tmp_path):
+    """The entries, which are there once for each key, aren't broadcast because their file is small."""
+    rows = [("jieba", "x", 0, i, [f"word{i}"], None, f"word{i}", "") for i in range(50)]
+    spark.createDataFrame(rows, "source string, authority string, part int, ord long, values array<string>, whole string, term string, detail string").write.parquet(str(tmp_path / "e"))
+    asked = spark.createDataFrame([("rd4",), ("d49",), (None,)], "query string")
+    found = lexicon.lookup_many(spark.read.parquet(str(tmp_path / "e")), asked, contains=True)
+    plan = plan_of(found)
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+    assert sorted((r.query, r.n, r.term) for r in found.collect()) == [("d49", 1, "word49"), *(("rd4", n + 1, t) for n, t in enumerate(["word4", *(f"word4{i}" for i in range(7))]))]
