@@ -78,3 +78,30 @@ def test_lexicon_contains_sends_the_queries(spark, tmp_path):
     plan = plan_of(found)
     assert "BuildRight" in plan and "BuildLeft" not in plan
     assert sorted((r.query, r.n, r.term) for r in found.collect()) == [("d49", 1, "word49"), *(("rd4", n + 1, t) for n, t in enumerate(["word4", *(f"word4{i}" for i in range(7))]))]
+
+
+def cost(spark, pattern, text):
+    """How long a search through a text takes, of three."""
+    p, best = spark._jvm.java.util.regex.Pattern.compile(pattern), 1e9
+    for _ in range(3):
+        m = p.matcher(text)
+        began = time.time()
+        assert not m.find()
+        best = min(best, time.time() - began)
+    return best
+
+
+LONG = "plain words here, " * 100_000
+
+
+def test_phrases_of_labels_are_passed_over_at_the_first_character(spark):
+    """However many words a pattern has, a character that begins none costs about as much as with one class."""
+    assert cost(spark, X.any_of(WORDS), LONG) < 12 * max(0.01, cost(spark, X.CJK, LONG))
+
+
+def test_any_of_is_an_alternation(spark):
+    words = ["ab", "a", "abc", "網路", "網", "𠀀x", "𠀀", "zh-CN", r"\E", "(", "。"]
+    for some in (words, words[2:4], ["𠀀x"], [], ["", "a"]):
+        p = spark._jvm.java.util.regex.Pattern.compile(X.any_of(some))
+        for t in ("", "xab", "網", "\U00020000", "\U00020000x", "b", r"\E", "路。", "ZH-cn", "q("):
+            assert p.matcher(t).find() == any(w in t for w in some), (some, t)
