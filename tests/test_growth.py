@@ -105,3 +105,15 @@ def test_any_of_is_an_alternation(spark):
         p = spark._jvm.java.util.regex.Pattern.compile(X.any_of(some))
         for t in ("", "xab", "網", "\U00020000", "\U00020000x", "b", r"\E", "路。", "ZH-cn", "q("):
             assert p.matcher(t).find() == any(w in t for w in some), (some, t)
+
+
+def test_literal_counts_of_lines(spark, tables):
+    """Counts of hits by brute force, over lines of all the pack's words and of none."""
+    rows = [(i, "\n".join([f"plain {i}", WORDS[i % len(WORDS)] * 2, "x" + WORDS[(7 * i) % len(WORDS)], "网 络"])) for i in range(len(WORDS))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rules = [(t, f"wording.{g['id']}", g["message"]) for g in PACK.wording["literal_groups"] for t in g["terms"]]
+    got = catalogue.findings(docs, lint.literal_findings(X.segments(F.col("text")), rules))
+    want = {(i, n, t) for i, text in rows for n, line in enumerate(text.split("\n"), 1) for t in WORDS if t in line}
+    assert {(r.doc_id, r.line, r.sample) for r in got.collect()} == want
+    # Lines without a wide character aren't searched for words that have one.
+    assert "x{2e80}" in got._jdf.queryExecution().optimizedPlan().toJSON()
