@@ -117,3 +117,8 @@ def test_literal_counts_of_lines(spark, tables):
     assert {(r.doc_id, r.line, r.sample) for r in got.collect()} == want
     # Lines without a wide character aren't searched for words that have one.
     assert "x{2e80}" in got._jdf.queryExecution().optimizedPlan().toJSON()
+
+
+@pytest.mark.parametrize("name", ["diagnostic_json"])
+def test_literal_queries_search_wide_lines(spark, tables, name):
+    assert "x{2e80}" in catalogue.QUERIES[name](spark, tables)._jdf.queryExecution().optimizedPlan().toJSON()
