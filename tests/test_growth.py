@@ -122,3 +122,13 @@ def test_literal_counts_of_lines(spark, tables):
 @pytest.mark.parametrize("name", ["diagnostic_json"])
 def test_literal_queries_search_wide_lines(spark, tables, name):
     assert "x{2e80}" in catalogue.QUERIES[name](spark, tables)._jdf.queryExecution().optimizedPlan().toJSON()
+
+
+@pytest.mark.parametrize("script", [0, 1])
+def test_mixed_script_is_passed_over_by_range(spark, script):
+    """A class of many characters costs about as much as a range, for characters outside of it."""
+    chars = PACK.markers()[script]
+    assert cost(spark, X.one_of(chars), LONG) < 4 * max(0.01, cost(spark, r"[\x{2e80}-\x{10ffff}]", LONG))
+    p = spark._jvm.java.util.regex.Pattern.compile(X.one_of({*chars, "𠀀", "a"}))
+    for c in [*chars, "𠀀", "a", "b", "一", "𠀁", "龥"]:
+        assert p.matcher(c).find() == (c in {*chars, "𠀀", "a"}), c
