@@ -119,7 +119,7 @@ def test_literal_counts_of_lines(spark, tables):
     assert "x{2e80}" in got._jdf.queryExecution().optimizedPlan().toJSON()
 
 
-@pytest.mark.parametrize("name", ["diagnostic_json", "exit_state", "diagnostic_lines"])
+@pytest.mark.parametrize("name", ["diagnostic_json", "exit_state", "diagnostic_lines", "literal_scan"])
 def test_literal_queries_search_wide_lines(spark, tables, name):
     assert "x{2e80}" in catalogue.QUERIES[name](spark, tables)._jdf.queryExecution().optimizedPlan().toJSON()
 
