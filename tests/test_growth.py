@@ -132,3 +132,13 @@ def test_mixed_script_is_passed_over_by_range(spark, script):
     p = spark._jvm.java.util.regex.Pattern.compile(X.one_of({*chars, "𠀀", "a"}))
     for c in [*chars, "𠀀", "a", "b", "一", "𠀁", "龥"]:
         assert p.matcher(c).find() == (c in {*chars, "𠀀", "a"}), c
+
+
+def test_lengths_of_lines_stay_in_the_jvm(spark, tables):
+    """Lines of data are cut by expressions, as str.splitlines() and str.strip() do."""
+    from corpusloom.functions.units import units, units_of
+
+    assert "Python" not in plan_of(catalogue.QUERIES["lengths_of_lines"](spark, tables))
+    texts = ["", "a", "a\n", "\n", "\n\n", " a\t\r\n\x1c b \x85c\x0b\x0cd\x1d\x1e e 　f\xa0​", "\x1f g\x1f", None]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", units_of(F.col("t"), F.lit("data")).alias("u")).collect():
+        assert [tuple(u) for u in r.u] == ([] if r.t is None else units(r.t, "data")), repr(r.t)
