@@ -142,3 +142,20 @@ def test_lengths_of_lines_stay_in_the_jvm(spark, tables):
     texts = ["", "a", "a\n", "\n", "\n\n", " a\t\r\n\x1c b \x85c\x0b\x0cd\x1d\x1e e 　f\xa0​", "\x1f g\x1f", None]
     for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", units_of(F.col("t"), F.lit("data")).alias("u")).collect():
         assert [tuple(u) for u in r.u] == ([] if r.t is None else units(r.t, "data")), repr(r.t)
+
+
+def test_repeated_sentences_of_long_texts(spark):
+    """Ten thousands of sentences, one of them twice: neither their places nor their repeats are sought for each anew."""
+    text = " ".join(f"Sentence number {i}!" for i in range(40_000)) + "\nthe end\nSentence  number 3!!\r\n>Sentence number 7!\n"
+    o = lint.Options(style="strict", script_gate=False)
+    docs = spark.createDataFrame([(text,), ("",), ("no mark at all here",)], "text string")
+    began = time.time()
+    got = docs.select(F.inline(lint.repeated_findings(F.col("text"), o))).collect()
+    assert sorted((r.line, r.sample) for r in got) == [(3, "Sentencenumber3!"), (4, "Sentencenumber7!")]
+    assert time.time() - began < 15
+
+
+def test_sentences_of_a_line(spark):
+    texts = ["", "a", "！", "！！a！？b", "a.b!c? d。", "。a", "a  !", "中文。中文"]
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", lint.in_line(F.col("t")).alias("s")).collect():
+        assert r.s == re.findall("[^。！？!?\n]+[。！？!?]?", r.t)
