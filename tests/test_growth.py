@@ -159,3 +159,12 @@ def test_sentences_of_a_line(spark):
     texts = ["", "a", "！", "！！a！？b", "a.b!c? d。", "。a", "a  !", "中文。中文"]
     for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", lint.in_line(F.col("t")).alias("s")).collect():
         assert r.s == re.findall("[^。！？!?\n]+[。！？!?]?", r.t)
+
+
+def test_wrong_script_looks_no_further_than_the_last_wide_character(spark):
+    o = lint.Options(locale="zh-CN")
+    rows = [("軟體\r\nabc\n為\x85x 皇后 為", 1), ("abc", 2), ("", 3), ("阿里山\n後", 4)]
+    docs = spark.createDataFrame([(t, i) for t, i in rows], "text string, doc_id long")
+    got = docs.select("doc_id", F.inline(lint.locale_findings(F.col("text"), o)))
+    assert sorted((r.doc_id, r.line, r.sample) for r in got.collect()) == [(1, 1, "軟體"), (1, 3, "為"), (1, 4, "為"), (4, 2, "後")]
+    assert [r.x for r in docs.select(X.through_wide(F.col("text")).alias("x")).collect()] == [rows[0][0], "", "", rows[3][0]]
