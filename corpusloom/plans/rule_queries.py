@@ -71,7 +71,7 @@ _EVERY = [*_PACK.wording["regex_rules"], *_PACK.wording["grammar_rules"]]
 def rule_lines(spark, sf_dir):
     """All regex and grammar rules of the pack, of all styles."""
     t = F.col("text")
-    return found(zh(spark, sf_dir), F.concat(*[lint.regex_findings(t, X.segments(t), r["pattern"], r["id"], r["message"]) for r in _EVERY]))
+    return found(zh(spark, sf_dir), X.let(X.segments(t), lambda pieces: lint.rules_findings(t, _EVERY, "", pieces=pieces)))
 
 
 @query(matching([(f"wording.{g['id']}", " OR ".join(f"contains(x, {q(t)})" for t in g["terms"])) for g in _PACK.active("literal_groups", "ui")]))

@@ -168,3 +168,15 @@ def test_wrong_script_looks_no_further_than_the_last_wide_character(spark):
     got = docs.select("doc_id", F.inline(lint.locale_findings(F.col("text"), o)))
     assert sorted((r.doc_id, r.line, r.sample) for r in got.collect()) == [(1, 1, "軟體"), (1, 3, "為"), (1, 4, "為"), (4, 2, "後")]
     assert [r.x for r in docs.select(X.through_wide(F.col("text")).alias("x")).collect()] == [rows[0][0], "", "", rows[3][0]]
+
+
+def test_rule_lines_need_wide_characters():
+    """Rules that only lines with a wide character can break aren't sought in others; where that isn't sure, they are."""
+    rules = [*PACK.wording["regex_rules"], *PACK.wording["grammar_rules"]]
+    lines = [x for listed, _ in passages.SLOTS for x in listed]
+    for r in rules:
+        assert X.needs_wide(r["pattern"])
+        assert all(any(ord(c) >= X.WIDE_FROM for c in x) for x in lines if re.search(r["pattern"], x))
+    for p, wide in (("a", False), ("中?", False), ("中|a", False), ("[中a]", False), ("[^a]", False), ("(?!中)a", False), ("(?<=中)a", True), ("(?:中|文a)b?", True), ("(a中)+", True), ("(a中)*", False), ("[一-龥]", True), (r"\w", False), ("(?i:ａ)", False)):
+        assert X.needs_wide(p) == wide, p
+    assert not X.needs_wide("ａ", re.I) and X.needs_wide("中", re.I)
